@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,26 @@ FILTER_BITS = 26
 #: Rows in one Arrow batch where the session has Spark's own default; documents may be long.
 ARROW_ROWS = 1000
 _own_scratch: str | None = None
+_shipped: str | None = None
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors once, so that they need no installation of it."""
+    global _shipped
+    context = spark.sparkContext
+    if _shipped != context.applicationId:
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="ship-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped = context.applicationId
 
 
 def arrow_rows(spark: SparkSession) -> None:
     """Lower Spark's default of 10,000 rows an Arrow batch, which long texts make too large."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) == 10_000:
         spark.conf.set(key, str(ARROW_ROWS))

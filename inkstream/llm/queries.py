@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, sharding, tokens, warc, winnowing
+from . import compression, minhash, packing, perplexity, sharding, tokens, warc, winnowing
 
 CONTEXT = 1024
 
@@ -27,6 +27,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = perplexity.quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "lower", "upper")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), CONTEXT)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
