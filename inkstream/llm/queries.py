@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, licenses, minhash, packing, perplexity, sharding, tokens, warc, winnowing
+from . import chaining, compression, licenses, minhash, packing, perplexity, sharding, tokens, warc, winnowing
 
 CONTEXT = 1024
 
@@ -54,6 +54,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary(), CONTEXT)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_words", "n_matched", "source_doc_id", "source_start")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.kd_shards(table(spark, sf_dir, "documents"), 24)
 
