@@ -1,28 +1,83 @@
-"""A corpus pipeline of the training-data operators; each stage's rows are written and reread by the next."""
+"""A corpus pipeline of five training-data operators.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame to
+be written as Parquet and reread as the next one's ``docs``. As a stage begins, what the earlier ones wrote
+in the shared folder for their own use is deleted: by then their results are written.
+"""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstream.llm import common, packing, queries
+from inkstream.llm import chaining, common, compression, minhash, packing, queries, winnowing
+
+_spent: list[common.Scratch] = []
+
+
+def _stage(function):
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _spent:
+            _spent.pop().drop()
+        before = {id(x) for x in common._opened}
+        out = function(spark, docs, sf_dir)
+        _spent.extend(x for x in common._opened if id(x) not in before)
+        return out
+
+    return run
+
+
+@_stage
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose score is at least 0.7."""
+    return compression.accepted(docs, queries.table(spark, sf_dir, "labels"))
+
+
+@_stage
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of smallest doc_id."""
+    dropped = common.Scratch(spark, "dropped").table(minhash.near_duplicates(docs).where("not kept").select("doc_id", "tk"))
+    return common.without(docs, dropped)
+
+
+@_stage
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 words or more that an earlier document has; emptied ones go."""
+    return chaining.remove_repeats(docs, emptied=False)
+
+
+@_stage
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without a benchmark window of 10 words."""
+    hit = winnowing.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
+    return common.without(docs, common.Scratch(spark, "dropped").table(hit.where("contaminated").select("doc_id", "tk")))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing of all that is left into sequences of 1024 tokens."""
+    """All that is left, in sequences of 1024 tokens."""
     packed = packing.pack_documents(docs, queries.vocabulary(), queries.CONTEXT)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("quality classifier", classify),
+    ("MinHash near-dedup", deduplicate),
+    ("substring dedup", cut_repeats),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", pack),
+]
 
-#: Learned scores, sketches and tokens are no SQL.
+#: Learned scores, sketches and tokens are no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``."""
     out = common.Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = queries.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = out.table(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

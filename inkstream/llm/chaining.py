@@ -9,11 +9,12 @@ and neighbouring stretches merged. Passages of at least ``least`` words are dupl
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitmapFilter, Scratch, arrow_rows, list_array, slices, text_column, utf8
+from .common import BitmapFilter, Scratch, arrow_rows, list_array, maybe, slices, text_column, text_hash, utf8
 from .textcore import ALNUM, Words, grams, winnow
 
 #: Words of a seed, k-mers of which one is a seed (a shared run of SEED + WINDOW - 1 words shares one),
@@ -164,7 +165,7 @@ def passages(words, chains: list[dict], least: int = LEAST, bridge: int = BRIDGE
 
 def _identified(docs: DataFrame) -> DataFrame:
     """doc_id, tk (a hash of the text; rows that repeat both are one), text."""
-    return docs.select("doc_id", text_column(docs).alias("text")).select("doc_id", F.xxhash64("text").alias("tk"), "text")
+    return docs.select("doc_id", text_hash().alias("tk"), text_column().alias("text"))
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -279,28 +280,27 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode("utf-8", "replace").strip()
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST, emptied: bool = True) -> DataFrame:
     """``docs`` with repeated passages cut from all texts but their first; n_chars, where there, follows.
 
-    Texts without a passage stay as they are, nulls too; a text that was all passage becomes empty. Only
+    Texts without a passage stay as they are, nulls too; a text that was all passage becomes empty, and its
+    row goes if ``emptied`` is false. Only
     rows that a bitmap of the changed texts lets through are joined with their spans.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "chaining")
-    found = scratch.table(repeated_passages(docs, least, scratch).select(F.col("doc_id").alias("d"), F.col("tk").alias("t"), "start", "n_words").groupBy("d", "t").agg(F.collect_set(F.struct("start", "n_words")).alias("spans")))
-    member = spark.sparkContext.broadcast(BitmapFilter.of(found, "t"))
-
-    @F.pandas_udf("boolean")
-    def changed(tk):
-        return tk.map(lambda x: bool(member.value.has(np.array([x], np.int64).view(np.uint64))[0])) if len(tk) else tk.astype(bool)
+    found = scratch.table(repeated_passages(docs, least, scratch).select(F.col("doc_id").alias("__d"), F.col("tk").alias("__t"), "start", "n_words").groupBy("__d", "__t").agg(F.collect_set(F.struct("start", "n_words")).alias("__spans")))
+    member = spark.sparkContext.broadcast(BitmapFilter.of(found, "__t"))
 
     @F.pandas_udf("string")
-    def cut(text, spans):
-        return text.combine(spans, lambda t, s: t if s is None else without_spans(t, [(x["start"], x["start"] + x["n_words"]) for x in s]))
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else without_spans(t, [(x["start"], x["start"] + x["n_words"]) for x in s]) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    keyed = docs.withColumn("__tk", F.xxhash64(text_column(docs)))
-    touched = keyed.where(changed("__tk")).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__tk") == F.col("t")), "left")
-    touched = touched.withColumn("text", F.when(F.col("spans").isNotNull(), cut(F.coalesce("text", F.lit("")), "spans")).otherwise(F.col("text")))
+    keyed = docs.withColumn("__tk", text_hash())
+    touched = keyed.where(maybe(member, "__tk")).join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__tk") == F.col("__t")), "left")
+    touched = touched.withColumn("text", F.when(F.col("__spans").isNotNull(), cut(F.coalesce("text", F.lit("")), "__spans")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        touched = touched.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return keyed.where(~changed("__tk")).select(*docs.columns).unionByName(touched.select(*docs.columns))
+        touched = touched.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    if not emptied:
+        touched = touched.where("__spans is null or text <> ''")
+    return keyed.where(~maybe(member, "__tk")).select(*docs.columns).unionByName(touched.select(*docs.columns))

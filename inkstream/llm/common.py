@@ -12,6 +12,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,7 +89,7 @@ def drop_scratch() -> None:
         s.drop()
 
 
-def text_column(df: DataFrame, name: str = "text") -> Column:
+def text_column(name: str = "text") -> Column:
     """The text as a string, null as empty; invalid UTF-8 is replaced so that Arrow accepts it."""
     return F.coalesce(F.make_valid_utf8(F.col(name).cast("string")), F.lit(""))
 
@@ -155,6 +156,28 @@ class BitmapFilter:
         return ((self.bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def text_key(column: Column) -> Column:
-    """A 160-bit key of a text; equal texts have equal keys."""
-    return F.unhex(F.sha1(column))
+def text_hash(name: str = "text") -> Column:
+    """With doc_id the identity of a document: rows that repeat both are one document."""
+    return F.xxhash64(text_column(name))
+
+
+def maybe(member, column: str) -> Column:
+    """Whether a broadcast bitmap may hold the long column's value."""
+
+    @F.pandas_udf("boolean")
+    def has(values: pd.Series) -> pd.Series:
+        return pd.Series(member.value.has(values.to_numpy(np.int64).view(np.uint64)))
+
+    return has(column)
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the documents ``dropped`` (doc_id, tk), which must be a written table.
+
+    Texts are shuffled only of rows that a bitmap of the dropped ones can't clear.
+    """
+    member = docs.sparkSession.sparkContext.broadcast(BitmapFilter.of(dropped, "tk"))
+    keyed = docs.withColumn("__tk", text_hash())
+    out = dropped.select(F.col("doc_id").alias("__d"), F.col("tk").alias("__t")).distinct()
+    rest = keyed.where(maybe(member, "__tk")).join(out, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__tk") == F.col("__t")), "left_anti")
+    return keyed.where(~maybe(member, "__tk")).unionByName(rest).select(*docs.columns)

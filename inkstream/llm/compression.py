@@ -86,6 +86,21 @@ def remainder():
     return F.coalesce((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4).cast("int"), F.lit(-1))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, in one pass over the texts and without a join."""
+    fitted = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        model = fitted.value
+        good, bad = Sizer(*model.good), Sizer(*model.bad)
+        for batch in batches:
+            x = np.array([features(t or "", good, bad) for t in batch.column(at).to_pylist()]).reshape(-1, 2)
+            yield batch.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _features(rows: DataFrame, fitted, keep: list[str]) -> DataFrame:
     """The kept columns with d and log_size; ``text`` must be the last column."""
     arrow_rows(rows.sparkSession)
@@ -115,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
         return rows.where(f"y = {y} and part {part}").orderBy(order, "doc_id").limit(n)
 
     def texts(chosen):
-        return docs.select("doc_id", text_column(docs).alias("text")).join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id")
+        return docs.select("doc_id", text_column().alias("text")).join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id")
 
     fitting = sample("<> 3", 0, FIT_ROWS).unionByName(sample("<> 3", 1, FIT_ROWS))
     found = texts(fitting).select("doc_id", "y", F.substring("text", 1, FIT_CHARS).alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -141,7 +156,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
     spark = docs.sparkSession
     model = fit(docs, labels, label)
     fitted = spark.sparkContext.broadcast(model)
-    rows = _features(docs.select("doc_id", text_column(docs).alias("text")), fitted, ["doc_id"])
+    rows = _features(docs.select("doc_id", text_column().alias("text")), fitted, ["doc_id"])
     z = F.lit(float(model.weights[0]))
     for i, c in enumerate(("d", "log_size")):
         z = z + (F.col(c) - float(model.mean[i])) / float(model.scale[i]) * float(model.weights[1 + i])

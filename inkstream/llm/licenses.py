@@ -108,7 +108,7 @@ def document_grams(docs: DataFrame, member, k: int = GRAM) -> DataFrame:
             columns = [batch.column(0), pa.array(w.counts, pa.int64()), pa.array(places), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(labels), list_array(g[at].view(np.int64), lengths, pa.int64()), list_array(at - w.first[doc], lengths, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "h", "pos"])
 
-    return docs.select("doc_id", text_column(docs).alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, h array<long>, pos array<long>")
+    return docs.select("doc_id", text_column().alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, h array<long>, pos array<long>")
 
 
 def verify_spans(diagonals: list[dict], lengths: list[int], k: int = GRAM, near: int = NEAR, cover: float = COVER) -> list[tuple[int, int, int, float]]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitmapFilter, Scratch, arrow_rows, list_array, slices, text_column, utf8
+from .common import BitmapFilter, Scratch, arrow_rows, list_array, slices, text_column, text_hash, utf8
 from .textcore import SPACED, U, Words, grams, mix
 
 #: 128 bins in 32 bands of 4: a pair at similarity 0.75 shares no bucket with probability 0.684**32 < 6e-6.
@@ -82,12 +82,12 @@ def _key(sorted_set: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal sets, equal keys), bands; empty texts have no key and no bands."""
+    """doc_id, tk, n_shingles, set_key (equal sets, equal keys), bands; empty texts have no key and no bands."""
     arrow_rows(docs.sparkSession)
 
     def run(batches):
         for batch in slices(batches):
-            raw, offsets = utf8(batch.column(1))
+            raw, offsets = utf8(batch.column(2))
             w = Words(raw, offsets, SPACED, lower=True)
             sizes, keys, out = [], [], []
             for d in range(batch.num_rows):
@@ -98,10 +98,10 @@ def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                     out.append(bands(sketch(s)))
             lengths = np.where(np.array(sizes) > 0, BINS // ROWS, 0)
             flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), list_array(flat, lengths, pa.int64())], ["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), list_array(flat, lengths, pa.int64())], ["doc_id", "tk", "n_shingles", "set_key", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_column(docs).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>")
+    return docs.select("doc_id", text_hash().alias("tk"), text_column().alias("text")).mapInArrow(run, f"doc_id {kind}, tk long, n_shingles long, set_key binary, bands array<long>")
 
 
 _KEY_HASH = "cast(conv(hex(substring(set_key, 1, 8)), 16, -10) as long)"
@@ -135,7 +135,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 flat = np.concatenate(out).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), list_array(flat, np.array([len(s) for s in out]), pa.int64())], ["set_key", "shingles"])
 
-    found = docs.select(text_column(docs).alias("text")).mapInArrow(run, "set_key binary, shingles array<long>")
+    found = docs.select(text_column().alias("text")).mapInArrow(run, "set_key binary, shingles array<long>")
     return wanted.join(found, "set_key").groupBy("vertex").agg(F.first("shingles").alias("shingles"))
 
 
@@ -170,7 +170,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, for every row.
+    """doc_id, tk (hash of the text), n_shingles, component_id (smallest doc_id reachable), kept, for every row.
 
     Null and empty texts have no shingles and are linked with nothing. Repeated rows are links like other
     copies; a null doc_id is never a component's smallest id unless all of its ids are null. Rows alone in
@@ -219,6 +219,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SHINGLE) -> Dat
         named = named.join(lowest, "root").select("set_key", "component")
     else:
         named = named.select("set_key", F.col("low").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    out = rows.select("doc_id", "tk", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "tk", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -57,7 +57,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_column(docs).alias("text")).mapInArrow(run, PIECES.format(id=kind) + (", ids array<int>" if with_ids else ""))
+    return docs.select("doc_id", text_column().alias("text")).mapInArrow(run, PIECES.format(id=kind) + (", ids array<int>" if with_ids else ""))
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

@@ -24,7 +24,7 @@ def metadata(docs: DataFrame) -> DataFrame:
 
     Nulls: null text is empty; a null doc_id, lang or source is a value of its own.
     """
-    raw = F.encode(text_column(docs), "utf-8")
+    raw = F.encode(text_column(), "utf-8")
     spread = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - BITS)
     size = F.octet_length(raw).cast("long") + F.lit(8).cast("long")
     return docs.select(

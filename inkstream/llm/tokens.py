@@ -128,4 +128,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("doc_id"), text_column(docs, text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(id).alias("doc_id"), text_column(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

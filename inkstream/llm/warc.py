@@ -212,7 +212,7 @@ def roles(pages: DataFrame, scratch: Scratch, least: int = 1000) -> DataFrame:
     Only digests and ids are grouped, with partial aggregation; groups of one are dropped before the join,
     which Spark makes a broadcast where the written table of groups is small and splits where a group is hot.
     """
-    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), text_column(pages, "html").alias("html")).withColumn("raw", F.encode("html", "utf-8"))
+    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), text_column("html").alias("html")).withColumn("raw", F.encode("html", "utf-8"))
     pages = pages.withColumn("bytes", F.octet_length("raw")).withColumn("digest", F.when(F.col("bytes") >= least, F.unhex(F.sha1("raw")))).drop("raw")
     groups = pages.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = pages.join(scratch.table(groups), "digest", "left")

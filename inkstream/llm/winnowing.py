@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitmapFilter, Scratch, arrow_rows, list_array, slices, text_column, utf8
+from .common import BitmapFilter, Scratch, arrow_rows, list_array, slices, text_column, text_hash, utf8
 from .textcore import ALNUM, U, Words, grams, mix, winnow
 
 SPAN, GRAM = 10, 5
@@ -59,18 +59,18 @@ def item_fingerprints(items: DataFrame, span: int = SPAN, k: int = GRAM) -> Data
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(np.concatenate(fps).view(np.int64) if fps else [], pa.int64()), pa.array(sizes, pa.int32()), list_array(flat, np.full(len(rows), 2 * span - k), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["item_id", "fp", "size", "around"])
 
-    found = items.select("item_id", text_column(items).alias("text")).mapInArrow(run, f"item_id {kind}, fp long, size int, around array<long>")
+    found = items.select("item_id", text_column().alias("text")).mapInArrow(run, f"item_id {kind}, fp long, size int, around array<long>")
     return found.groupBy("fp", "size", "around").agg(F.collect_set("item_id").alias("items"))
 
 
 def document_fingerprints(docs: DataFrame, member, sizes: list[int], span: int = SPAN, k: int = GRAM) -> DataFrame:
-    """doc_id, n_words, and per fingerprint that ``member`` (a broadcast filter) lets through: fp, size, at, around."""
+    """doc_id, tk, n_words, and per fingerprint that ``member`` (a broadcast filter) lets through: fp, size, at, around."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     width = 2 * span - k
 
     def run(batches):
         for batch in slices(batches):
-            raw, offsets = utf8(batch.column(1))
+            raw, offsets = utf8(batch.column(2))
             w = Words(raw, offsets, ALNUM, lower=True)
             all_grams = grams(w.hash, k)
             passed = member.value.has(all_grams)
@@ -102,10 +102,10 @@ def document_fingerprints(docs: DataFrame, member, sizes: list[int], span: int =
             for x in hits:
                 lengths[x[0]] = len(x[1])
             flat = lambda i, t: np.concatenate([x[i] for x in hits]) if hits else np.zeros(0, t)  # noqa: E731, B023
-            columns = [batch.column(0), pa.array(w.counts, pa.int64()), list_array(flat(1, U).view(np.int64), lengths, pa.int64()), list_array(flat(2, np.int32), lengths, pa.int32()), list_array(flat(3, np.int64), lengths, pa.int64()), list_array(flat(4, U).ravel().view(np.int64), lengths * width, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "fp", "size", "at", "around"])
+            columns = [batch.column(0), batch.column(1), pa.array(w.counts, pa.int64()), list_array(flat(1, U).view(np.int64), lengths, pa.int64()), list_array(flat(2, np.int32), lengths, pa.int32()), list_array(flat(3, np.int64), lengths, pa.int64()), list_array(flat(4, U).ravel().view(np.int64), lengths * width, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tk", "n_words", "fp", "size", "at", "around"])
 
-    return docs.select("doc_id", text_column(docs).alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, fp array<long>, size array<int>, at array<long>, around array<long>")
+    return docs.select("doc_id", text_hash().alias("tk"), text_column().alias("text")).mapInArrow(run, f"doc_id {kind}, tk long, n_words long, fp array<long>, size array<int>, at array<long>, around array<long>")
 
 
 def _extent(span: int, k: int) -> tuple[Column, Column]:
@@ -119,7 +119,7 @@ def _extent(span: int, k: int) -> tuple[Column, Column]:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, item_ids, items_sha256, contaminated, and the hit spans, for every row.
+    """doc_id, tk (hash of the text), n_words, n_hit, n_items, item_ids, items_sha256, contaminated, and the hit spans, for every row.
 
     Null texts have no words; an item with a null id hits words but is not listed; repeated item ids count
     once; repeated rows get equal results. Empty tables give results without hits or rows.
@@ -132,9 +132,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     rows = scratch.table(document_fingerprints(docs, member, sizes, span, k)).withColumn("row", F.monotonically_increasing_id())
     none = F.array().cast("array<struct<from:bigint,to:bigint>>")
     ids = F.array().cast("array<string>")
-    clean = rows.where(F.size("fp") == 0).select("doc_id", "n_words", none.alias("spans"), ids.alias("item_ids"))
+    clean = rows.where(F.size("fp") == 0).select("doc_id", "tk", "n_words", none.alias("spans"), ids.alias("item_ids"))
     width = 2 * span - k
-    hits = rows.where(F.size("fp") > 0).select("row", "doc_id", "n_words", F.posexplode(F.arrays_zip("fp", "size", "at")).alias("i", "x"), "around").select("row", "doc_id", "n_words", "x.*", F.slice("around", F.col("i") * width + 1, width).alias("around"))
+    hits = rows.where(F.size("fp") > 0).select("row", "doc_id", "tk", "n_words", F.posexplode(F.arrays_zip("fp", "size", "at")).alias("i", "x"), "around").select("row", "doc_id", "tk", "n_words", "x.*", F.slice("around", F.col("i") * width + 1, width).alias("around"))
     joined = hits.join(fingerprints.withColumnRenamed("around", "theirs"), ["fp", "size"], "left")
     before, after = _extent(span, k)
     middle = F.lit(True)
@@ -145,12 +145,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     found = F.when(F.col("theirs").isNull(), False).when(F.col("size") > 0, whole).otherwise(middle & (F.col("before") + F.col("after") + k >= span))
     interval = F.when(F.col("size") > 0, F.struct(F.col("at").alias("from"), (F.col("at") + F.col("size")).alias("to"))).otherwise(F.struct((F.col("at") - F.col("before")).alias("from"), (F.col("at") + k + F.col("after")).alias("to")))
     judged = joined.withColumn("found", found)
-    per = judged.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.sort_array(F.collect_set(F.when(F.col("found"), interval))).alias("spans"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("found"), F.col("items"))))).cast("array<string>").alias("item_ids"))
+    per = judged.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("tk").alias("tk"), F.first("n_words").alias("n_words"), F.sort_array(F.collect_set(F.when(F.col("found"), interval))).alias("spans"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("found"), F.col("items"))))).cast("array<string>").alias("item_ids"))
     merged = F.aggregate(
         "spans",
         none,
         lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["to"] >= x["from"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1)["from"].alias("from"), F.greatest(F.element_at(done, -1)["to"], x["to"]).alias("to"))))).otherwise(F.concat(done, F.array(x))),
     )
-    out = clean.unionByName(per.select("doc_id", "n_words", F.when(F.size("spans") > 0, merged).otherwise(none).alias("spans"), F.sort_array("item_ids").alias("item_ids")))
+    out = clean.unionByName(per.select("doc_id", "tk", "n_words", F.when(F.size("spans") > 0, merged).otherwise(none).alias("spans"), F.sort_array("item_ids").alias("item_ids")))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "item_ids", "spans")
+    return out.select("doc_id", "tk", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "item_ids", "spans")
