@@ -1,10 +1,10 @@
 """Near-duplicates by one-permutation hashing with optimal densification, banded buckets and star edges.
 
 Equal shingle sets become one vertex first, so copies cost nothing more. In each band bucket all vertices
-are compared with one centre only (a star); links are confirmed on the full sets. Members of a bucket that
-end in different components may still hide a link: centres are taken out and new ones compared, until the
-pairs left over all buckets are few enough to be compared outright. So no link of a bucket is lost, and a
-group of similar documents costs a multiple of its size, not its square.
+are compared with one centre only (a star), each bucket drawing its own, so that a vertex of many buckets
+meets many centres; links are confirmed on the full sets. Members of a bucket that end in different
+components may hide a link yet: an exact prefix filter over their sets finds those pairs. So no link of a
+bucket is lost, and a group of similar documents costs a multiple of its size, not its square.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BitmapFilter, Scratch, arrow_rows, list_array, slices, text_column, text_hash, utf8
@@ -23,8 +23,6 @@ from .textcore import SPACED, U, Words, grams, mix
 BINS, ROWS = 128, 4
 BIN_BITS = BINS.bit_length() - 1
 SHINGLE = 5
-#: Pairs across components are compared outright when they are at most so many times the bucket entries.
-OUTRIGHT = 4
 
 
 def shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -147,6 +145,31 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _near(a: str, b: str, percent: int) -> Column:
+    """Set sizes that allow the similarity."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def prefix_pairs(vertices: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """a, b: all pairs of ``vertices`` (vertex, n, c) of different c that can reach the similarity.
+
+    Two such sets share a shingle among the rarest n - ceil(percent * n / 100) + 1 of either, and from the
+    first that they share enough must be left in both. Shingles of one set alone drop out at once, so sets
+    that differ from all others by more than that have no pair. For each shingle only the rows outside its
+    most frequent c are compared with the others.
+    """
+    rows = sets.join(vertices, "vertex").select("vertex", "n", "c", F.explode("shingles").alias("s"))
+    shared = rows.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    own = Window.partitionBy("vertex")
+    ranked = rows.join(shared, "s").select("vertex", "n", "c", "s", (F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "s")) - 1).alias("at"))
+    prefix = scratch.table(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)))
+    most = prefix.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1").select("s", "top")
+    minor = prefix.join(most, "s").where("c <> top").select("s", F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("at").alias("pa"))
+    enough = (100 + percent) * F.least(F.col("na") - F.col("pa"), F.col("n") - F.col("at")) >= percent * (F.col("na") + F.col("n"))
+    pairs = minor.join(prefix, "s").where((F.col("c") != F.col("ca")) & _near("n", "na", percent) & enough)
+    return pairs.select(F.least("a", "vertex").alias("a"), F.greatest("a", "vertex").alias("b")).distinct()
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """vertex, root: the smallest vertex reachable, for vertices with a link; alternating large and small stars.
 
@@ -184,41 +207,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SHINGLE) -> Dat
     entries = classes.select("vertex", "n", F.explode("bands").alias("h"))
     crowded = entries.groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select("h")
     entries = scratch.table(entries.join(crowded, "h").select("h", "vertex", "n"))
-    total = entries.count()
     sets = scratch.table(_sets(docs, classes.join(entries.select("vertex").distinct(), "vertex", "left_semi").select("vertex", "set_key"), k))
-    near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    links, roots, step, pending = None, None, 0, total
-    while pending:
-        labelled = entries.withColumn("c", F.col("vertex")) if roots is None else entries.join(roots, "vertex", "left").select("h", "vertex", "n", F.coalesce("root", "vertex").alias("c"))
-        if roots is not None:
-            # pairs in different components, over all buckets
-            per = labelled.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.sum("m").alias("m1"), F.sum(F.col("m") * F.col("m")).alias("m2"), F.count("*").alias("cs")).where("cs > 1")
-            pending = per.agg(F.sum((F.col("m1") * F.col("m1") - F.col("m2")) / 2)).first()[0] or 0
-            if not pending:
-                break
-            labelled = scratch.table(labelled.join(per.select("h"), "h", "left_semi"))
-        if roots is not None and pending <= OUTRIGHT * total:
-            other = labelled.select("h", F.col("vertex").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            pairs = labelled.join(other, "h").where((F.col("vertex") < F.col("b")) & (F.col("c") != F.col("cb")) & near(F.col("n"), F.col("nb"))).select(F.col("vertex").alias("a"), "b")
-            pending = 0
-        else:
-            centre = labelled.groupBy("h").agg(F.min(F.struct(F.xxhash64("vertex", F.lit(step)).alias("p"), F.col("vertex").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))).alias("s")).select("h", "s.a", "s.na", "s.ca")
-            star = labelled.join(centre, "h").where(F.col("vertex") != F.col("a"))
-            pairs = star.where((F.col("c") != F.col("ca")) & near(F.col("n"), F.col("na"))).select("a", F.col("vertex").alias("b"))
-            entries = star.select("h", "vertex", "n")  # the centre has met all of its bucket
-            if roots is not None:
-                entries = scratch.table(entries)
-        found = scratch.table(confirm(pairs.distinct(), sets, percent))
-        links = found if links is None else links.unionByName(found)
-        roots = components(links if roots is None else found.unionByName(roots.where("vertex != root").select(F.col("vertex").alias("a"), F.col("root").alias("b"))), scratch)
-        step += 1
+    # one star per bucket, about a centre of its own
+    centre = entries.groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "vertex").alias("p"), F.col("vertex").alias("a"), F.col("n").alias("na"))).alias("s")).select("h", "s.a", "s.na")
+    star = entries.join(centre, "h").where((F.col("vertex") != F.col("a")) & _near("n", "na", percent)).select("a", F.col("vertex").alias("b"))
+    links = scratch.table(confirm(star.distinct(), sets, percent))
+    roots = components(links, scratch)
+    # buckets that hold more than one component may hide links yet
+    labelled = entries.join(roots, "vertex", "left").select("h", "vertex", "n", F.coalesce("root", "vertex").alias("c"))
+    mixed = labelled.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
+    left = scratch.table(labelled.join(mixed, "h", "left_semi").select("vertex", "n", "c").distinct())
+    more = scratch.table(confirm(prefix_pairs(left, sets, percent, scratch), sets, percent))
+    roots = components(more.unionByName(roots.where("vertex != root").select(F.col("vertex").alias("a"), F.col("root").alias("b"))), scratch)
     named = classes.select("set_key", "vertex", "low")
-    if roots is not None:
-        named = named.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-        lowest = named.groupBy("root").agg(F.min("low").alias("component"))
-        named = named.join(lowest, "root").select("set_key", "component")
-    else:
-        named = named.select("set_key", F.col("low").alias("component"))
+    named = named.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("component"))
+    named = named.join(lowest, "root").select("set_key", "component")
     out = rows.select("doc_id", "tk", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "tk", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
