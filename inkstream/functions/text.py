@@ -113,18 +113,19 @@ def segment_name(box, segment, several) -> Column:
 
 
 def merge_pair(a: str | bytes, b: str | bytes, reach: int = 4):
-    """a + b with their overlap once: the first equal pair, case aside, of a's last and b's first ``reach`` places.
+    """a + b with their overlap once, by one place that a's last and b's first ``reach`` places share, case aside.
 
-    Places of a are tried from the earliest, then places of b; a is cut before its place, b goes on after its.
+    Places of a are tried from its end, then places of b from its start; a ends with the shared place and b
+    goes on after its own.
     """
     if not a or not b:
         return a or b
-    tail, head = a[-reach:], b[:reach]
-    for i in range(len(tail)):
-        for j in range(len(head)):
-            x, y = tail[i : i + 1], head[j : j + 1]
-            if x == y or (x.lower() == y.lower() and (isinstance(a, bytes) or (x.isascii() and y.isascii()))):
-                return a[: len(a) - len(tail) + i] + b[j:] if x == y else a[: len(a) - len(tail) + i] + tail[i : i + 1] + b[j + 1 :]
+    for i in range(min(reach, len(a))):
+        x = a[len(a) - 1 - i : len(a) - i]
+        for j in range(min(reach, len(b))):
+            y = b[j : j + 1]
+            if x == y or (x.isascii() and y.isascii() and x.lower() == y.lower()):
+                return a[: len(a) - i] + b[j + 1 :]
     return a + b
 
 
