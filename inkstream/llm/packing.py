@@ -1,9 +1,10 @@
 """Best-fit packing of token pieces with certified bounds and repacking between partitions.
 
 Each partition packs its pieces by best-fit decreasing and compares its bin count with lower bounds from
-dual-feasible functions. A partition that meets its bound is certified: its bins close, but for the one
-with most room. A partition with a gap keeps its full bins and gives the documents of the others to the
-exchange. What was given is dealt into fewer partitions and packed again, until nothing is open.
+dual-feasible functions. A partition certified by its volume wastes less than a bin: its bins close, but
+for the one with most room. One with a gap, or certified only because its large pieces can't share bins,
+keeps its full bins and gives the documents of the others to the exchange, where pieces of other
+partitions may fill them. What was given is dealt out anew and packed again, until nothing is open.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def pack_part(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
     offsets = np.empty(len(bins), np.int64)
     offsets[order] = before - np.repeat(before[first], np.diff(np.r_[np.flatnonzero(first), len(bins)]))
     bound = lower_bound(lengths, capacity)
-    if n == bound:
+    if n == -(-int(lengths.sum()) // capacity):
         closed = np.ones(n, bool)
         if fill.min() < capacity:
             closed[int(np.argmin(fill))] = False
