@@ -1,7 +1,7 @@
 """Best-fit packing of token pieces with certified bounds and repacking between partitions.
 
 Each partition packs its pieces by best-fit decreasing and compares its bin count with lower bounds from
-dual-feasible functions. A partition certified by its volume wastes less than a bin: its bins close, but
+dual-feasible functions; where that leaves a gap, it also fills bins one by one and keeps the better. A partition certified by its volume wastes less than a bin: its bins close, but
 for the one with most room. One with a gap, or certified only because its large pieces can't share bins,
 keeps its full bins and gives the documents of the others to the exchange, where pieces of other
 partitions may fill them. What was given is dealt out anew and packed again, until nothing is open.
@@ -105,9 +105,44 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+def fill_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The bin of each piece: bin by bin, largest piece first, then a piece or a pair that fills the rest exactly, else the best fit."""
+    places: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i in np.argsort(lengths, kind="stable")[::-1].tolist():
+        places[int(lengths[i])].append(i)
+    mask = sum(1 << s for s, p in enumerate(places) if p)
+    out, used = np.empty(len(lengths), np.int64), 0
+    while mask:
+        room, largest = capacity, mask.bit_length() - 1
+        chosen = [largest]
+        while chosen:
+            for s in chosen:
+                out[places[s].pop()] = used
+                room -= s
+                if not places[s]:
+                    mask &= ~(1 << s)
+            fits = mask & ((1 << (room + 1)) - 1)
+            if not room or not fits:
+                break
+            best = fits.bit_length() - 1
+            chosen, s = [best], best
+            while best < room and 2 * s >= room:
+                if fits >> (room - s) & 1 and (2 * s != room or len(places[s]) > 1):
+                    chosen = [s, room - s]
+                    break
+                s = (fits & ((1 << s) - 1)).bit_length() - 1
+                if s < 0:
+                    break
+        used += 1
+    return out
+
+
 def pack_part(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Bins, offsets, whether each piece's bin closes, and the bound."""
-    bins = best_fit_decreasing(lengths, capacity)
+    bins, bound = best_fit_decreasing(lengths, capacity), lower_bound(lengths, capacity)
+    if bins.max() + 1 > bound:  # a gap: bins filled one by one may close it
+        other = fill_decreasing(lengths, capacity)
+        bins = other if other.max() < bins.max() else bins
     n = int(bins.max()) + 1
     fill = np.bincount(bins, lengths, n).astype(np.int64)
     order = np.argsort(bins, kind="stable")
@@ -115,7 +150,6 @@ def pack_part(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
     first = np.r_[True, bins[order][1:] != bins[order][:-1]]
     offsets = np.empty(len(bins), np.int64)
     offsets[order] = before - np.repeat(before[first], np.diff(np.r_[np.flatnonzero(first), len(bins)]))
-    bound = lower_bound(lengths, capacity)
     if n == -(-int(lengths.sum()) // capacity):
         closed = np.ones(n, bool)
         if fill.min() < capacity:
