@@ -141,13 +141,18 @@ def align(a, b, pos, other, k: int = SEED) -> list[tuple[int, int]]:
 def passages(words, chains: list[dict], least: int = LEAST, bridge: int = BRIDGE) -> list[dict]:
     """Merged stretches of one document's aligned chains that reach ``least`` words, each with its main source."""
     stretches = []
-    for c in chains:
+    seen = np.zeros(len(words), bool)
+    for c in sorted(chains, key=lambda c: (-len(c["pos"]), c["pos"][0], c["source"] is not None, c["source"], c["shift"])):
+        # a chain whose seeds all lie in stretches that longer chains have matched adds nothing
+        if all(seen[p] and seen[p + SEED - 1] for p in c["pos"]):
+            continue
         b, shift = np.asarray(c["words"]), c["shift"]
         matched = align(words, b, c["pos"], [x - shift for x in c["other"]])
         start = 0
         for i in range(1, len(matched) + 1):
             if i == len(matched) or matched[i][0] - matched[i - 1][0] > bridge + 1 or matched[i][1] - matched[i - 1][1] > bridge + 1:
                 part = matched[start:i]
+                seen[part[0][0] : part[-1][0] + 1] = True
                 stretches.append((part[0][0], part[-1][0] + 1, len(part), c["source"], part[0][1] + shift))
                 start = i
     out: list[dict] = []
@@ -181,7 +186,7 @@ def seeds(docs: DataFrame) -> DataFrame:
             for d in range(batch.num_rows):
                 a, b = int(w.first[d]), int(w.first[d + 1])
                 if b - a >= LEAST:
-                    at = winnow(g[a : b - SEED + 1], WINDOW)
+                    at = winnow(g[a : b - SEED + 1], WINDOW, robust=True)
                     lengths[d] = len(at)
                     found.append((g[a + at], at))
             flat = (np.concatenate([x[0] for x in found]).view(np.int64), np.concatenate([x[1] for x in found])) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))

@@ -122,8 +122,12 @@ def text_words(text: str, lower: bool = True, kind: np.ndarray = ALNUM) -> Words
     return Words(raw, np.array([0, len(raw)]), kind, lower)
 
 
-def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the smallest hash in each window, the rightmost of equals; of fewer hashes, of all."""
+def winnow(hashes: np.ndarray, window: int, robust: bool = False) -> np.ndarray:
+    """Positions of the smallest hash in each window, the rightmost of equals; of fewer hashes, of all.
+
+    ``robust`` keeps a hash once while windows hold it, so that a text of one repeated word isn't all
+    fingerprints; equal texts then still share the hash, but not always its place.
+    """
     n = len(hashes)
     if n == 0:
         return np.zeros(0, np.int64)
@@ -131,4 +135,11 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
         return np.array([n - 1 - int(np.argmin(hashes[::-1]))])
     view = np.lib.stride_tricks.sliding_window_view(hashes[::-1], window)
     at = np.arange(len(view)) + np.argmin(view, axis=1)
-    return np.unique(n - 1 - at)
+    out = np.unique(n - 1 - at)
+    if robust and (hashes[out[1:]] == hashes[out[:-1]]).any():
+        kept = [int(out[0])]
+        for p in out[1:].tolist():
+            if hashes[p] != hashes[kept[-1]] or p - kept[-1] >= window:
+                kept.append(p)
+        out = np.array(kept)
+    return out
