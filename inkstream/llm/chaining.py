@@ -97,7 +97,7 @@ def _between(a, i: int, i2: int, b, j: int, j2: int) -> list[tuple[int, int]]:
     n, m = i2 - i, j2 - j
     if n <= 0 or m <= 0:
         return []
-    if n == m and (a[i:i2] == b[j:j2]).all():
+    if n == m and list(a[i:i2]) == list(b[j:j2]):
         return [(i + x, j + x) for x in range(n)]
     if n > 80 or m > 80:
         front = _extend(a[:i2], i, b[:j2], j, 1)
@@ -141,18 +141,15 @@ def align(a, b, pos, other, k: int = SEED) -> list[tuple[int, int]]:
 def passages(words, chains: list[dict], least: int = LEAST, bridge: int = BRIDGE) -> list[dict]:
     """Merged stretches of one document's aligned chains that reach ``least`` words, each with its main source."""
     stretches = []
-    seen = np.zeros(len(words), bool)
+    words = np.asarray(words).tolist()
+    # every chain is aligned: seeds that another chain covers don't tell how far this one's alignment goes
     for c in sorted(chains, key=lambda c: (-len(c["pos"]), c["pos"][0], c["source"] is not None, c["source"], c["shift"])):
-        # a chain whose seeds all lie in stretches that longer chains have matched adds nothing
-        if all(seen[p] and seen[p + SEED - 1] for p in c["pos"]):
-            continue
-        b, shift = np.asarray(c["words"]), c["shift"]
+        b, shift = np.asarray(c["words"]).tolist(), c["shift"]
         matched = align(words, b, c["pos"], [x - shift for x in c["other"]])
         start = 0
         for i in range(1, len(matched) + 1):
             if i == len(matched) or matched[i][0] - matched[i - 1][0] > bridge + 1 or matched[i][1] - matched[i - 1][1] > bridge + 1:
                 part = matched[start:i]
-                seen[part[0][0] : part[-1][0] + 1] = True
                 stretches.append((part[0][0], part[-1][0] + 1, len(part), c["source"], part[0][1] + shift))
                 start = i
     out: list[dict] = []

@@ -333,6 +333,14 @@ def test_every_exact_passage_is_found(spark):
                 assert set(range(j, j + 50)) <= covered[i]
 
 
+def test_chains_within_others_are_aligned():
+    own = list(range(200))
+    fuzzy = [w if w % 9 else -1 - w for w in own[:100]]
+    chains = [{"source": 1, "shift": 0, "words": fuzzy, "pos": [10, 19, 28], "other": [10, 19, 28]}, {"source": 2, "shift": 0, "words": own[28:180], "pos": [28], "other": [0]}]
+    got = chaining.passages(np.array(own), chains)
+    assert [(x["from"], x["to"], x["sources"]) for x in got] == [(1, 180, {1, 2})]
+
+
 def test_chains():
     assert chaining.chain([0, 10, 20, 30], [5, 15, 25, 35]) == [[0, 1, 2, 3]]
     parts = chaining.chain([0, 10, 20], [500, 10, 20])
