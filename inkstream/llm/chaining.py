@@ -11,15 +11,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BitmapFilter, Scratch, arrow_rows, list_array, maybe, slices, text_column, text_hash, utf8
 from .textcore import ALNUM, Words, grams, winnow
 
 #: Words of a seed, k-mers of which one is a seed (a shared run of SEED + WINDOW - 1 words shares one),
-#: words of a duplicate passage, and words that may differ between two merged stretches.
-SEED, WINDOW, LEAST, BRIDGE = 6, 24, 50, 3
+#: words of a duplicate passage (with 4 changed words it has a run of 10 yet), and words that may differ between two merged stretches.
+SEED, WINDOW, LEAST, BRIDGE = 6, 5, 50, 3
 #: Cost of a word of gap on either side, words that are looked at beyond a chain, and the drop that ends an extension.
 GAP, MARGIN, DROP = 0.05, 40, 6
 
@@ -221,10 +221,10 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, scratch: Scratch | No
     scratch = scratch or Scratch(spark, "chaining")
     least = max(least, LEAST)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = scratch.table(seeds(docs)).select("doc_id", "tk", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("doc_id", "tk", "x.h", "x.pos")
-    who = F.struct("doc_id", "tk")
-    sources = found.groupBy("h").agg(F.min(F.struct("doc_id", "tk", "pos")).alias("s"), F.max(who).alias("last")).where(~F.struct("s.doc_id", "s.tk").eqNullSafe(F.col("last"))).select("h", F.col("s.doc_id").alias("sdoc"), F.col("s.tk").alias("stk"), F.col("s.pos").alias("spos"))
-    anchors = found.join(sources, "h").where(~(F.col("doc_id").eqNullSafe(F.col("sdoc")) & (F.col("tk") == F.col("stk"))))
+    found = seeds(docs).select("doc_id", "tk", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("doc_id", "tk", "x.h", "x.pos")
+    who, same = F.struct("doc_id", "tk"), Window.partitionBy("h")  # one shuffle and one sort of the seeds
+    anchors = found.withColumn("s", F.min(F.struct("doc_id", "tk", "pos")).over(same)).where(~who.eqNullSafe(F.struct("s.doc_id", "s.tk")))
+    anchors = anchors.select("doc_id", "tk", "pos", F.col("s.doc_id").alias("sdoc"), F.col("s.tk").alias("stk"), F.col("s.pos").alias("spos"))
     grouped = anchors.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("sdoc", "stk", "pos", "spos")).alias("anchors"))
 
     def chains(batches):

@@ -341,6 +341,30 @@ def test_chains_within_others_are_aligned():
     assert [(x["from"], x["to"], x["sources"]) for x in got] == [(1, 180, {1, 2})]
 
 
+@pytest.mark.parametrize("n", [9, 10, 11, 14, 17, 20])
+def test_passages_of_one_repeated_line_are_whole(spark, n):
+    line, times = words(300 + n, n), 160 // n
+    texts = [(i, " ".join([words(40 + i, 30), *[line] * times, words(60 + i, 30)])) for i in range(3)]
+    got = collected(chaining.repeated_passages(spark.createDataFrame(texts, "doc_id int, text string")))
+    assert sorted((r["doc_id"], r["start"], r["n_words"]) for r in got) == [(1, 30, n * times), (2, 30, n * times)]
+
+
+def test_fuzzy_passages_are_found(spark):
+    """Passages of 50 to 60 words with 1 to 4 changed words, spread so that no long exact run is left."""
+    texts, where = [], {}
+    for i in range(80):
+        n, changes = 50 + i % 11, 1 + i % 4
+        passage = words(5000 + i, n).split()
+        texts.append((i, " ".join([words(6000 + i, 30), *passage, words(7000 + i, 30)])))
+        for c in range(changes):
+            passage[(c + 1) * n // (changes + 1)] = f"changed{i}x{c}"
+        texts.append((1000 + i, " ".join([words(8000 + i, 25), *passage, words(9000 + i, 25)])))
+        where[1000 + i] = (25, n)
+    got = {r["doc_id"]: (r["start"], r["n_words"]) for r in collected(chaining.repeated_passages(spark.createDataFrame(texts, "doc_id int, text string")))}
+    missed = {d: (x, got.get(d)) for d, x in where.items() if d not in got or got[d][0] > x[0] or sum(got[d]) < sum(x)}
+    assert not missed
+
+
 def test_chains():
     assert chaining.chain([0, 10, 20, 30], [5, 15, 25, 35]) == [[0, 1, 2, 3]]
     parts = chaining.chain([0, 10, 20], [500, 10, 20])
