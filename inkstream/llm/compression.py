@@ -26,7 +26,7 @@ def dictionary(texts: list[str]) -> tuple[bytes, bool]:
     """Trained on pieces of the texts; where they are too few, their plain content (second value false)."""
     pieces = [b[i : i + PIECE] for b in (t.encode("utf-8", "replace") for t in texts) for i in range(0, len(b), PIECE)]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces[: 4 * FIT_ROWS]).as_bytes(), True
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes(), True
     except zstandard.ZstdError:
         return b"".join(pieces)[-DICTIONARY_BYTES:], False
 

@@ -461,6 +461,19 @@ def test_classifier(docs, labels, empty):
     assert compression.classify(empty, labels).count() == 0 and compression.accepted(empty, labels).count() == 0
 
 
+def test_dictionaries_are_trained_on_every_sampled_text(monkeypatch):
+    seen = []
+
+    def train(size, pieces):
+        seen.extend(pieces)
+        raise compression.zstandard.ZstdError
+
+    monkeypatch.setattr(compression.zstandard, "train_dictionary", train)
+    texts = [f"{i:05d}" + "x" * 15_995 for i in range(1600)]
+    compression.dictionary(texts)
+    assert b"".join(seen) == "".join(texts).encode()
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     d, y = queries.table(spark, folder, "documents"), queries.table(spark, folder, "labels")
