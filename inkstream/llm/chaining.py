@@ -3,18 +3,23 @@
 Seeds are the minimisers of the word k-mers. Each seed's first place (smallest doc_id) is its source; every
 other document's occurrence meets that one place only, so a passage in n documents costs n rows. Seeds of
 a document against a source are chained through a Fenwick tree; chains are aligned on the words of both
-and neighbouring stretches merged. Passages of at least ``least`` words are duplicates of their source.
+and a source's neighbouring stretches merged. Passages of at least ``least`` words are duplicates of their source.
+
+A phrase that many documents have can hide a passage's own source: its seeds then meet other documents.
+So what is left of a document where enough seeds have been seen before is searched once more with long
+k-mers: the first documents that have those are further sources, chained and aligned in the same way. As the
+longest of them are as long as a passage, no passage that an earlier document has word for word is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BitmapFilter, Scratch, arrow_rows, list_array, maybe, slices, text_column, text_hash, utf8
+from .common import BitmapFilter, Scratch, list_array, map_arrow, maybe, slices, spare, text_column, text_hash, utf8
 from .textcore import ALNUM, Words, grams, winnow
 
 #: Words of a seed, k-mers of which one is a seed (a shared run of SEED + WINDOW - 1 words shares one),
@@ -22,6 +27,10 @@ from .textcore import ALNUM, Words, grams, winnow
 SEED, WINDOW, LEAST, BRIDGE = 6, 5, 50, 3
 #: Cost of a word of gap on either side, words that are looked at beyond a chain, and the drop that ends an extension.
 GAP, MARGIN, DROP = 0.05, 40, 6
+#: Words of the long k-mers of the second search, beside those as long as a passage.
+LONG = 16
+#: K-mers of which one task keeps the first places at a time, before any are shuffled.
+HELD = 1 << 19
 
 
 def chain(pos: list[int], other: list[int], k: int = SEED, gap: float = GAP) -> list[list[int]]:
@@ -138,22 +147,36 @@ def align(a, b, pos, other, k: int = SEED) -> list[tuple[int, int]]:
     return out
 
 
-def passages(words, chains: list[dict], least: int = LEAST, bridge: int = BRIDGE) -> list[dict]:
-    """Merged stretches of one document's aligned chains that reach ``least`` words, each with its main source."""
-    stretches = []
-    words = np.asarray(words).tolist()
+def stretches(words: list[int], chains: list[dict], bridge: int = BRIDGE) -> list[tuple]:
+    """(from, to, matched words, source, source_from) of one document's aligned chains."""
+    out = []
     # every chain is aligned: seeds that another chain covers don't tell how far this one's alignment goes
-    for c in sorted(chains, key=lambda c: (-len(c["pos"]), c["pos"][0], c["source"] is not None, c["source"], c["shift"])):
+    for c in chains:
         b, shift = np.asarray(c["words"]).tolist(), c["shift"]
         matched = align(words, b, c["pos"], [x - shift for x in c["other"]])
         start = 0
         for i in range(1, len(matched) + 1):
             if i == len(matched) or matched[i][0] - matched[i - 1][0] > bridge + 1 or matched[i][1] - matched[i - 1][1] > bridge + 1:
                 part = matched[start:i]
-                stretches.append((part[0][0], part[-1][0] + 1, len(part), c["source"], part[0][1] + shift))
+                out.append((part[0][0], part[-1][0] + 1, len(part), c["source"], part[0][1] + shift))
                 start = i
+    return out
+
+
+def merge(parts: list[tuple], least: int = LEAST, bridge: int = BRIDGE) -> list[dict]:
+    """The passages that stretches make: those of one source within ``bridge`` words of each other are one, and count
+    from ``least`` words on; passages that meet are one row, with its main source and all others."""
+    whole: list[list] = []
+    for a, z, n, source, at in sorted(parts, key=lambda x: (x[3] is not None, x[3], x[0], -x[1], -x[2], x[4])):
+        if whole and source == whole[-1][3] and a <= whole[-1][1] + bridge:
+            last = whole[-1]
+            last[1] = max(last[1], z)
+            if n > last[2]:
+                last[2], last[4] = n, at
+        else:
+            whole.append([a, z, n, source, at])
     out: list[dict] = []
-    for a, z, n, source, at in sorted(stretches, key=lambda x: (x[0], -x[1])):
+    for a, z, n, source, at in sorted((x for x in whole if x[1] - x[0] >= least), key=lambda x: (x[0], -x[1], -x[2], x[3] is not None, x[3])):
         if out and a <= out[-1]["to"] + bridge:
             last = out[-1]
             last["to"] = max(last["to"], z)
@@ -162,7 +185,69 @@ def passages(words, chains: list[dict], least: int = LEAST, bridge: int = BRIDGE
                 last |= {"matched": n, "source": source, "source_from": at}
         else:
             out.append({"from": a, "to": z, "matched": n, "source": source, "source_from": at, "sources": {source}})
-    return [x for x in out if x["to"] - x["from"] >= least]
+    return out
+
+
+def passages(words, chains: list[dict], least: int = LEAST, bridge: int = BRIDGE) -> list[dict]:
+    """Merged stretches of one document's aligned chains that reach ``least`` words."""
+    return merge(stretches(np.asarray(words).tolist(), chains, bridge), least, bridge)
+
+
+def suspect(pos: list[int], order: list[int], least: int = LEAST) -> list[tuple[int, int]]:
+    """Word ranges that may hold a passage: seeds seen in earlier documents (their places and numbers) lie close there.
+
+    A passage word for word has all its seeds seen but for some near its ends, so a run of seen seeds spans 20 of
+    50 words at least; a fuzzy one has half of them seen.
+    """
+    out: list[tuple[int, int]] = []
+    span, j, edge = max(1, least - 30), 0, WINDOW + SEED
+
+    def put(a: int, z: int) -> None:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+
+    first = 0
+    for k in range(len(pos)):
+        if k and order[k] - order[k - 1] > 1:
+            first = k
+        while pos[k] - pos[j] > least - SEED:
+            j += 1
+        if pos[k] - pos[first] >= span:
+            put(max(0, pos[first] - edge), pos[k] + SEED + edge)
+        if pos[k] - pos[j] >= span and k - j >= 4 and 2 * (k - j + 1) >= order[k] - order[j] + 1:
+            put(max(0, pos[k] + SEED - least - edge), pos[j] + least + edge)
+    return out
+
+
+def uncovered(ranges: list[tuple[int, int]], found: list[tuple[int, int]], n: int, least: int = LEAST) -> np.ndarray:
+    """Starts of the windows of ``least`` words in the ranges that no found passage holds whole."""
+    start = np.zeros(max(0, n - least + 1), bool)
+    for a, z in ranges:
+        start[a : max(a, z - least + 1)] = True
+    for a, z in found:
+        start[a : max(a, z - least + 1)] = False
+    return np.flatnonzero(start)
+
+
+def long_grams(words: np.ndarray, at: np.ndarray, least: int = LEAST, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the long k-mers in the windows of ``least`` words at ``at``; ``words`` are 32-bit hashes."""
+    whole = _long(words, least)
+    within = np.zeros(len(words) - long + 1, bool)
+    for x in at.tolist() if len(at) < 64 else ():
+        within[x : x + least - long + 1] = True
+    if len(at) >= 64:
+        edge = np.zeros(len(within) + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + least - long + 1, -1)
+        within = np.cumsum(edge)[:-1] > 0
+    parts = np.flatnonzero(within)
+    return np.concatenate((whole[at], _long(words, long)[parts])), np.concatenate((at, parts))
+
+
+def _long(words: np.ndarray, k: int) -> np.ndarray:
+    return grams(words.view(np.uint32).astype(np.uint64), k) ^ np.uint64(k)
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -170,103 +255,236 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_hash().alias("tk"), text_column().alias("text"))
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """doc_id, tk, and the minimisers h at the words pos."""
+def _word_slices(batches):
+    """(slice of doc_id, tk, text; its Words)."""
+    for batch in batches:
+        for part in slices([batch]):
+            raw, offsets = utf8(part.column(2))
+            yield part, Words(raw, offsets, ALNUM, lower=True)
+
+
+def _seeds(w: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, hash, place and number within its text of each seed."""
+    g = grams(w.hash, SEED)
+    found = []
+    for d in np.flatnonzero(w.counts >= max(least, SEED)).tolist():
+        a, b = int(w.first[d]), int(w.first[d + 1])
+        at = winnow(g[a : b - SEED + 1], WINDOW, robust=True)
+        found.append((np.full(len(at), d), g[a + at], at, np.arange(len(at))))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def first_places(docs: DataFrame, hashed) -> DataFrame:
+    """h, sdoc, stk, spos: the first place of each k-mer that more than one document has.
+
+    ``hashed`` gives texts, hashes and places of a slice's k-mers. A task keeps the first place of each in
+    blocks of HELD, so that a k-mer which most documents have is shuffled once a block and not once a document.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        held, ids, size, base = [], [], 0, 0
+
+        def flush():
+            table = pa.Table.from_batches(ids).combine_chunks()
+            order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("tk", "ascending")], null_placement="at_start").to_numpy()
+            near, far = table.take(order[:-1]), table.take(order[1:])
+            same = pc.and_(pc.equal(near["tk"], far["tk"]), pc.or_(pc.fill_null(pc.equal(near["doc_id"], far["doc_id"]), False), pc.and_(pc.is_null(near["doc_id"]), pc.is_null(far["doc_id"])))).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.cumsum(np.concatenate(([0], ~same.astype(bool))))
+            doc, h, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            by = np.lexsort((pos, rank[doc], h))
+            doc, h, pos, r = doc[by], h[by], pos[by], rank[doc[by]]
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            last = np.concatenate((first[1:], [len(h)])) - 1
+            who = table.take(doc[first])
+            for i in range(0, len(first), 50_000):
+                at = slice(i, i + 50_000)
+                part = who.slice(i, 50_000).combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.array(h[first[at]].view(np.int64)), *(part.column(c).combine_chunks() if part.num_rows else pa.array([], part.schema.field(c).type) for c in (0, 1)), pa.array(pos[first[at]].astype(np.int32)), pa.array(r[first[at]] != r[last[at]])], ["h", "sdoc", "stk", "spos", "many"])
+
+        for part, w in _word_slices(batches):
+            doc, h, pos = hashed(w)
+            if len(h):
+                held.append((doc + base, h, pos))
+                ids.append(pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["doc_id", "tk"]))
+                base, size = base + part.num_rows, size + len(h)
+            if size >= HELD:
+                yield from flush()
+                held, ids, size, base = [], [], 0, 0
+        if size:
+            yield from flush()
+
+    found = map_arrow(_identified(docs), run, f"h long, sdoc {kind}, stk long, spos int, many boolean")
+    same = Window.partitionBy("h")
+    found = found.withColumn("n", F.count("*").over(same)).withColumn("seen", F.max("many").over(same)).withColumn("at", F.row_number().over(same.orderBy("sdoc", "stk", "spos")))
+    return found.where("at = 1 and (n > 1 or seen)").select("h", "sdoc", "stk", "spos")
+
+
+def seeds(docs: DataFrame, member, least: int = LEAST) -> DataFrame:
+    """doc_id, tk, h, pos, i: the seeds that a bitmap lets through, with their places and numbers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in slices(batches):
-            raw, offsets = utf8(batch.column(2))
-            w = Words(raw, offsets, ALNUM, lower=True)
-            g = grams(w.hash, SEED)
-            found, lengths = [], np.zeros(batch.num_rows, np.int64)
-            for d in range(batch.num_rows):
-                a, b = int(w.first[d]), int(w.first[d + 1])
-                if b - a >= LEAST:
-                    at = winnow(g[a : b - SEED + 1], WINDOW, robust=True)
-                    lengths[d] = len(at)
-                    found.append((g[a + at], at))
-            flat = (np.concatenate([x[0] for x in found]).view(np.int64), np.concatenate([x[1] for x in found])) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(flat[0], lengths, pa.int64()), list_array(flat[1], lengths, pa.int32())], ["doc_id", "tk", "h", "pos"])
-
-    return _identified(docs).mapInArrow(run, f"doc_id {kind}, tk long, h array<long>, pos array<int>")
+        for part, w in _word_slices(batches):
+            doc, h, pos, i = _seeds(w, least)
+            keep = member.value.has(h) if len(h) else np.zeros(0, bool)
+            if keep.any():
+                doc = pa.array(doc[keep])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), pa.array(h[keep].view(np.int64)), pa.array(pos[keep].astype(np.int32)), pa.array(i[keep].astype(np.int32))], ["doc_id", "tk", "h", "pos", "i"])
+
+    return map_arrow(_identified(docs), run, f"doc_id {kind}, tk long, h long, pos int, i int")
 
 
 def _word_hashes(docs: DataFrame, member) -> DataFrame:
-    """doc_id, tk, 32-bit word hashes of the documents that a bitmap of tk lets through."""
+    """d, t (doc_id and tk), 32-bit word hashes of the documents that a bitmap of tk lets through."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             keep = member.value.has(batch.column(1).to_numpy().view(np.uint64))
             if keep.any():
-                for part in slices([batch.filter(pa.array(keep))]):
-                    raw, offsets = utf8(part.column(2))
-                    w = Words(raw, offsets, ALNUM, lower=True)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), list_array((w.hash >> np.uint64(32)).astype(np.uint32).view(np.int32), w.counts, pa.int32())], ["doc_id", "tk", "words"])
+                for part, w in _word_slices([batch.filter(pa.array(keep))]):
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), list_array((w.hash >> np.uint64(32)).astype(np.uint32).view(np.int32), w.counts, pa.int32())], ["d", "t", "words"])
 
-    return _identified(docs).mapInArrow(run, f"doc_id {kind}, tk long, words array<int>")
+    return map_arrow(_identified(docs), run, f"d {kind}, t long, words array<int>")
 
 
-def repeated_passages(docs: DataFrame, least: int = LEAST, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, tk, start, n_words, n_matched, source_doc_id, source_start, source_doc_ids: a row per passage.
+def _chained(anchors: DataFrame) -> DataFrame:
+    """doc_id, tk, sdoc, stk, pos, other, ranges: a row per chain of the anchors (doc_id, tk, pos, i, sdoc, stk, spos).
 
-    A passage is a stretch of at least ``least`` words of a document that occurs, word for word or nearly,
-    in a document of smaller doc_id (nulls first; among equal ids, of smaller tk). The first occurrence has
-    no row, nor has a text of fewer words; repeats within one text are not looked for. Rows that repeat id
-    and text are one document. Empty tables and null texts give no rows.
+    ``i`` numbers a text's seeds; the ranges, on a text's first row, are those where a passage may be. A text's
+    anchors are in one cell, as its words are.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark)
-    scratch = scratch or Scratch(spark, "chaining")
-    least = max(least, LEAST)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = seeds(docs).select("doc_id", "tk", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("doc_id", "tk", "x.h", "x.pos")
-    who, same = F.struct("doc_id", "tk"), Window.partitionBy("h")  # one shuffle and one sort of the seeds
-    anchors = found.withColumn("s", F.min(F.struct("doc_id", "tk", "pos")).over(same)).where(~who.eqNullSafe(F.struct("s.doc_id", "s.tk")))
-    anchors = anchors.select("doc_id", "tk", "pos", F.col("s.doc_id").alias("sdoc"), F.col("s.tk").alias("stk"), F.col("s.pos").alias("spos"))
-    grouped = anchors.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("sdoc", "stk", "pos", "spos")).alias("anchors"))
+    kind = anchors.schema["doc_id"].dataType.simpleString()
+    grouped = anchors.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("sdoc", "stk", "pos", "spos", "i")).alias("anchors"))
 
-    def chains(batches):
+    def run(batches):
         for batch in batches:
-            rows = []
+            rows, sources = [], []
+            cell = batch.column(2)
+            inner = cell.flatten()
+            at = [0, *np.cumsum(pc.list_value_length(cell).to_numpy(zero_copy_only=False)).tolist()]
+            stk, pos, spos, number = (inner.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("stk", "pos", "spos", "i"))
+            sdoc = inner.field("sdoc").to_pylist()
             for r in range(batch.num_rows):
                 per: dict[tuple, list] = {}
-                for x in batch.column(2)[r].as_py():
-                    per.setdefault((x["sdoc"], x["stk"]), []).append((x["pos"], x["spos"]))
-                for (sdoc, stk), places in per.items():
+                for x in range(at[r], at[r + 1]):
+                    per.setdefault((sdoc[x], stk[x]), []).append((pos[x], spos[x]))
+                ranges = suspect(*map(list, zip(*sorted({(pos[x], number[x]) for x in range(at[r], at[r + 1])}), strict=True)))
+                for (source, key), places in sorted(per.items(), key=lambda x: (x[0][0] is not None, x[0])):
                     places.sort()
                     p, q = [x[0] for x in places], [x[1] for x in places]
-                    rows += [(r, sdoc, stk, [p[i] for i in part], [q[i] for i in part]) for part in chain(p, q)]
-            if rows:
-                at = pa.array([x[0] for x in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([x[1] for x in rows], batch.schema.field(2).type.value_type.field("sdoc").type), pa.array([x[2] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.list_(pa.int32())), pa.array([x[4] for x in rows], pa.list_(pa.int32()))], ["doc_id", "tk", "sdoc", "stk", "pos", "other"])
-
-    chained = scratch.table(grouped.mapInArrow(chains, f"doc_id {kind}, tk long, sdoc {kind}, stk long, pos array<int>, other array<int>"))
-    member = lambda c: spark.sparkContext.broadcast(BitmapFilter.of(chained.select(F.col(c).alias("k")), "k"))
-    theirs = _word_hashes(docs, member("stk")).withColumnsRenamed({"doc_id": "d", "tk": "t"})
+                    for part in chain(p, q):
+                        rows.append((r, key, [p[i] for i in part], [q[i] for i in part], [{"a": a, "z": z} for a, z in ranges]))
+                        sources.append(source)
+                        ranges = []
+                if len(rows) > 20_000 or r == batch.num_rows - 1:
+                    where = pa.array([x[0] for x in rows], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(sources, inner.type.field("sdoc").type), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.list_(pa.int32())), pa.array([x[3] for x in rows], pa.list_(pa.int32())), pa.array([x[4] for x in rows], pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))], ["doc_id", "tk", "sdoc", "stk", "pos", "other", "ranges"])
+                    rows, sources = [], []
+
+    return map_arrow(grouped, run, f"doc_id {kind}, tk long, sdoc {kind}, stk long, pos array<int>, other array<int>, ranges array<struct<a:int,z:int>>")
+
+
+def _beside_words(docs: DataFrame, chained: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, tk, words, chains, ranges: each text of the written chains with its words and its chains' parts of the sources."""
+    member = lambda c: scratch.share(BitmapFilter.of(chained.select(F.col(c).alias("k")).distinct(), "k"))
     low = F.greatest(F.array_min("other") - MARGIN, F.lit(0))
-    near = chained.join(theirs, F.col("sdoc").eqNullSafe(F.col("d")) & (F.col("stk") == F.col("t")))
-    near = near.select("doc_id", "tk", F.struct(F.col("sdoc").alias("source"), "pos", "other", low.alias("shift"), F.slice("words", low + 1, F.array_max("other") - low + SEED + MARGIN).alias("words")).alias("c"))
-    near = near.groupBy("doc_id", "tk").agg(F.collect_set("c").alias("chains"))
-    own = _word_hashes(docs, member("tk")).withColumnsRenamed({"doc_id": "d", "tk": "t"}).dropDuplicates(["d", "t"])
-    both = near.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t"))).select("doc_id", "tk", "words", "chains")
-    schema = f"doc_id {kind}, tk long, start long, n_words long, n_matched long, source_doc_id {kind}, source_start long, source_doc_ids array<{kind}>"
-
-    def aligned(batches):
+    near = chained.join(_word_hashes(docs, member("stk")), F.col("sdoc").eqNullSafe(F.col("d")) & (F.col("stk") == F.col("t")))
+    near = near.select("doc_id", "tk", "ranges", F.struct(F.col("sdoc").alias("source"), "pos", "other", low.alias("shift"), F.slice("words", low + 1, F.array_max("other") - low + SEED + MARGIN).alias("words")).alias("c"))
+    near = near.groupBy("doc_id", "tk").agg(F.collect_set("c").alias("chains"), F.flatten(F.collect_set("ranges")).alias("ranges"))
+    own = _word_hashes(docs, member("tk")).dropDuplicates(["d", "t"])
+    return near.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t"))).select("doc_id", "tk", "words", "chains", "ranges")
+
+
+def _aligned(docs: DataFrame, chained: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """doc_id, tk, parts (stretches), h and pos (long k-mers of the ranges where no passage was found)."""
+    both = _beside_words(docs, chained, scratch)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64()), ("n", pa.int64()), ("source", _arrow_type(docs)), ("at", pa.int64())]))
+
+    def run(batches):
         for batch in batches:
-            id_type = batch.schema.field(0).type
-            rows = []
+            parts, hashes, places = [], [], []
             for r in range(batch.num_rows):
                 words = np.asarray(batch.column(2)[r].values)
-                for x in passages(words, batch.column(3)[r].as_py(), least):
+                one = stretches(words.tolist(), batch.column(3)[r].as_py())
+                found = [(x["from"], x["to"]) for x in merge(one, least)]
+                at = uncovered([(x["a"], x["z"]) for x in batch.column(4)[r].as_py()], found, len(words), least)
+                h, pos = long_grams(words, at, least) if len(at) else (np.zeros(0, np.uint64), at)
+                parts.append([{"a": a, "z": z, "n": n, "source": s, "at": b} for a, z, n, s, b in one])
+                hashes.append(h.view(np.int64))
+                places.append(pos.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, kinds), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "tk", "parts", "h", "pos"])
+
+    return map_arrow(both, run, f"doc_id {kind}, tk long, parts array<struct<a:bigint,z:bigint,n:bigint,source:{kind},at:bigint>>, h array<long>, pos array<int>")
+
+
+def _arrow_type(docs: DataFrame) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(docs.schema["doc_id"].dataType)
+
+
+def repeated_passages(docs: DataFrame, least: int = LEAST, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, tk, start, n_words, n_matched, source_doc_id, source_start, source_doc_ids: a row per passage.
+
+    A passage is a stretch of at least ``least`` words (LEAST or more) of a document that occurs, word for word
+    or nearly, in a document of smaller doc_id (nulls first; among equal ids, of smaller tk). The first occurrence
+    has no row, nor has a text of fewer words; repeats within one text are not looked for. Rows that repeat id
+    and text are one document. Empty tables and null texts give no rows; other columns aren't read.
+    """
+    if least < LEAST:
+        raise ValueError(f"passages of fewer than {LEAST} words are not sure to have seeds")
+    scratch = scratch or Scratch(docs.sparkSession, "chaining")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    earlier = ~F.struct("doc_id", "tk").eqNullSafe(F.struct("sdoc", "stk"))
+    firsts = scratch.table(first_places(docs, lambda w: _seeds(w, least)[:3]))
+    anchors = seeds(docs, scratch.share(BitmapFilter.of(firsts, "h")), least).join(firsts, "h").where(earlier)
+    chained = scratch.table(_chained(anchors.select("doc_id", "tk", "pos", "i", "sdoc", "stk", "spos")))
+    aligned = scratch.table(_aligned(docs, chained, least, scratch))
+
+    # what is left: long k-mers, those of the passage's own length among them
+    wanted = aligned.where(F.size("h") > 0).select("doc_id", "tk", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("doc_id", "tk", "x.h", "x.pos")
+    member = scratch.share(BitmapFilter.of(wanted.select("h").distinct(), "h"))
+
+    def longs(w: Words):
+        words, out = (w.hash >> np.uint64(32)).astype(np.uint32), []
+        for k in (least, LONG):
+            h = _long(words, k)
+            at = np.flatnonzero(member.value.has(h))
+            doc = np.searchsorted(w.first, at, side="right") - 1
+            inside = (at + k <= w.first[doc + 1]) & (w.counts[doc] >= least)
+            out.append((doc[inside], h[at[inside]], at[inside] - w.first[doc[inside]]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    more = wanted.join(first_places(docs, longs), "h").where(earlier)
+    # hits on one diagonal that go on are one run; its seeds lie side by side
+    side = Window.partitionBy("doc_id", "tk", "sdoc", "stk", F.col("spos") - F.col("pos")).orderBy("pos")
+    runs = more.select("doc_id", "tk", "sdoc", "stk", "pos", "spos").distinct().withColumn("new", (F.col("pos") > F.coalesce(F.lag("pos").over(side), F.lit(-9)) + 1).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(side)).groupBy("doc_id", "tk", "sdoc", "stk", (F.col("spos") - F.col("pos")).alias("shift"), "run").agg(F.min("pos").alias("a"), F.max("pos").alias("z"))
+    runs = runs.select("doc_id", "tk", "sdoc", "stk", "shift", F.explode(F.sequence("a", F.col("z") + LONG - SEED, F.lit(SEED))).alias("pos"))
+    anchors = runs.select("doc_id", "tk", "pos", F.col("pos").alias("i"), "sdoc", "stk", (F.col("pos") + F.col("shift")).cast("int").alias("spos"))
+    chained = scratch.table(_chained(anchors).withColumn("ranges", F.array().cast("array<struct<a:int,z:int>>")))
+    again = scratch.table(_aligned(docs, chained, least, scratch))
+    parts = aligned.select("doc_id", "tk", "parts").unionByName(again.select("doc_id", "tk", "parts"))
+    parts = parts.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("parts")).alias("parts"))
+
+    def run(batches):
+        for batch in batches:
+            id_type = batch.schema.field(2).type.value_type.field("source").type
+            rows = []
+            for r in range(batch.num_rows):
+                for x in merge([(p["a"], p["z"], p["n"], p["source"], p["at"]) for p in batch.column(2)[r].as_py()], least):
                     rows.append((r, x["from"], x["to"] - x["from"], x["matched"], x["source"], x["source_from"], sorted(s for s in x["sources"] if s is not None)))
-            if rows:
-                at = pa.array([x[0] for x in rows], pa.int64())
-                kinds = [pa.int64(), pa.int64(), pa.int64(), id_type, pa.int64(), pa.list_(id_type)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array([x[i + 1] for x in rows], t) for i, t in enumerate(kinds))], ["doc_id", "tk", "start", "n_words", "n_matched", "source_doc_id", "source_start", "source_doc_ids"])
+            at = pa.array([x[0] for x in rows], pa.int64())
+            kinds = [pa.int64(), pa.int64(), pa.int64(), id_type, pa.int64(), pa.list_(id_type)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array([x[i + 1] for x in rows], t) for i, t in enumerate(kinds))], ["doc_id", "tk", "start", "n_words", "n_matched", "source_doc_id", "source_start", "source_doc_ids"])
 
-    return both.mapInArrow(aligned, schema)
+    return map_arrow(parts, run, f"doc_id {kind}, tk long, start long, n_words long, n_matched long, source_doc_id {kind}, source_start long, source_doc_ids array<{kind}>")
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -286,23 +504,24 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, emptied: bool = True) ->
     """``docs`` with repeated passages cut from all texts but their first; n_chars, where there, follows.
 
     Texts without a passage stay as they are, nulls too; a text that was all passage becomes empty, and its
-    row goes if ``emptied`` is false. Only
-    rows that a bitmap of the changed texts lets through are joined with their spans.
+    row goes if ``emptied`` is false. Repeated rows are cut alike; columns of any name are kept. Only rows that
+    a bitmap of the changed texts lets through are joined with their spans.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "chaining")
-    found = scratch.table(repeated_passages(docs, least, scratch).select(F.col("doc_id").alias("__d"), F.col("tk").alias("__t"), "start", "n_words").groupBy("__d", "__t").agg(F.collect_set(F.struct("start", "n_words")).alias("__spans")))
-    member = spark.sparkContext.broadcast(BitmapFilter.of(found, "__t"))
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else without_spans(t, [(x["start"], x["start"] + x["n_words"]) for x in s]) for t, s in zip(text, spans, strict=True)], dtype=object)
-
-    keyed = docs.withColumn("__tk", text_hash())
-    touched = keyed.where(maybe(member, "__tk")).join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__tk") == F.col("__t")), "left")
-    touched = touched.withColumn("text", F.when(F.col("__spans").isNotNull(), cut(F.coalesce("text", F.lit("")), "__spans")).otherwise(F.col("text")))
+    scratch = Scratch(docs.sparkSession, "chaining")
+    tk, d, t, spans = spare(docs, "_tk", "_d", "_t", "_spans")
+    found = repeated_passages(docs, least, scratch).groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", "n_words")).alias(spans))
+    found = scratch.table(found.withColumnsRenamed({"doc_id": d, "tk": t}))
+    member = scratch.share(BitmapFilter.of(found, t))
+
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, cells: pa.Array) -> pa.Array:
+        return pa.array([without_spans(x, [(y["start"], y["start"] + y["n_words"]) for y in c]) if c is not None else x for x, c in zip(text.to_pylist(), cells.to_pylist(), strict=True)], pa.string())
+
+    keyed = docs.withColumn(tk, text_hash())
+    touched = keyed.where(maybe(member, tk)).join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(tk) == F.col(t)), "left")
+    touched = touched.withColumn("text", F.when(F.col(spans).isNotNull(), cut(text_column(), F.col(spans))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        touched = touched.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        touched = touched.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     if not emptied:
-        touched = touched.where("__spans is null or text <> ''")
-    return keyed.where(~maybe(member, "__tk")).select(*docs.columns).unionByName(touched.select(*docs.columns))
+        touched = touched.where(F.col(spans).isNull() | (F.col("text") != ""))
+    return keyed.where(~maybe(member, tk)).select(*docs.columns).unionByName(touched.select(*docs.columns))

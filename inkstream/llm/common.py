@@ -6,21 +6,21 @@ Every intermediate that must survive the loss of an executor is a Parquet table
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A bitmap filter never has more than 2**FILTER_BITS bits (8 MB), whatever it is built from.
-FILTER_BITS = 26
-#: Rows in one Arrow batch where the session has Spark's own default; documents may be long.
-ARROW_ROWS = 1000
+#: A bitmap filter has 16 bits or more for each entry, and between these powers of two (the most: 16 MB).
+FILTER_BITS = (16, 27)
+#: Rows and bytes in one Arrow batch where the session has Spark's own defaults; documents may be long.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 _own_scratch: str | None = None
 _shipped: str | None = None
 
@@ -40,42 +40,96 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow_rows(spark: SparkSession) -> None:
-    """Lower Spark's default of 10,000 rows an Arrow batch, which long texts make too large."""
+    """Lower Spark's defaults of 10,000 rows and 64 MB an Arrow batch, which long texts make too large."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) == 10_000:
-        spark.conf.set(key, str(ARROW_ROWS))
+    for key, default, value in (("maxRecordsPerBatch", "10000", ARROW_ROWS), ("maxBytesPerBatch", "67108864b", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, str(value))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers, and what they hold, for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of bounded size by workers that give their memory back as a task ends."""
+    arrow_rows(df.sparkSession)
+
+    def frugal(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(frugal, schema)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before those that ``df`` has, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for written intermediates; one of our own only where none is set."""
+    """The shared folder for written intermediates; one of our own only where none is set and Spark is local."""
     global _own_scratch
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if _own_scratch is None:
         _own_scratch = "file://" + tempfile.mkdtemp(prefix="scratch-")
     return _own_scratch
 
 
 class Scratch:
-    """Written intermediates of one operator call."""
+    """Written intermediates and broadcasts of one operator call; deleted by ``drop``, or as the JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.count = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.shared: list = []
         _opened.append(self)
 
+    def _folder(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def table(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back: cuts the lineage, fixes nondeterminism, gives real sizes."""
+        if not self.count:
+            path, system = self._folder()
+            system.mkdirs(path)
+            system.deleteOnExit(path)
         self.count += 1
         path = f"{self.path}/{self.count}"
-        df.write.option("compression", "lz4").parquet(path)
+        # small row groups: a task holds one in memory while it writes
+        df.write.option("compression", "lz4").option("parquet.block.size", 16 << 20).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def share(self, value):
+        """A broadcast that ``drop`` ends."""
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
     def drop(self) -> None:
         """Delete what was written; for callers that have consumed the result."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for x in self.shared:
+            x.destroy()
+        self.shared.clear()
+        path, system = self._folder()
+        system.delete(path, True)
         if self in _opened:
             _opened.remove(self)
 
@@ -110,7 +164,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(batches, rows: int = 256, name: str = "text", most: int = 4 << 20):
+def slices(batches, rows: int = 256, name: str = "text", most: int = 1 << 20):
     """Cut Arrow batches so that a slice has at most ``rows`` rows and, but for one long text, ``most`` bytes."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -131,28 +185,30 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
 
 
 class BitmapFilter:
-    """Set membership for 64-bit hashes in a bitmap of fixed size: no false negatives."""
+    """Set membership for 64-bit hashes in a bitmap of bounded size: no false negatives; what it lets through is joined."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
+        self.shift = np.uint64(64 - (len(bits).bit_length() + 5))
 
     @staticmethod
     def of(hashes: DataFrame, column: str) -> "BitmapFilter":
-        """Built by Spark from a column of longs; at most 2**(FILTER_BITS - 6) words reach the driver."""
-        slot = F.shiftrightunsigned(F.col(column), 64 - FILTER_BITS)
+        """Built by Spark from a column of longs, best of a written table; only the bitmap's words reach the driver."""
+        power = min(max((16 * hashes.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+        slot = F.shiftrightunsigned(F.col(column), 64 - power)
         words = (
             hashes.where(F.col(column).isNotNull())
-            .select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - FILTER_BITS}) & 63 as int))").alias("bit"))
+            .select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - power}) & 63 as int))").alias("bit"))
             .groupBy("word")
             .agg(F.bit_or("bit").alias("bits"))
             .toArrow()
         )
-        bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        bits = np.zeros(1 << (power - 6), np.uint64)
         bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.int64).view(np.uint64)
         return BitmapFilter(bits)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        slot = hashes >> np.uint64(64 - FILTER_BITS)
+        slot = hashes >> self.shift
         return ((self.bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
@@ -164,20 +220,25 @@ def text_hash(name: str = "text") -> Column:
 def maybe(member, column: str) -> Column:
     """Whether a broadcast bitmap may hold the long column's value."""
 
-    @F.pandas_udf("boolean")
-    def has(values: pd.Series) -> pd.Series:
-        return pd.Series(member.value.has(values.to_numpy(np.int64).view(np.uint64)))
+    @F.arrow_udf("boolean")
+    def has(values: pa.Array) -> pa.Array:
+        return pa.array(member.value.has(values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
 
-    return has(column)
+    return has(F.col(column))
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+def without(docs: DataFrame, dropped: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` without the documents ``dropped`` (doc_id, tk), which must be a written table.
 
-    Texts are shuffled only of rows that a bitmap of the dropped ones can't clear.
+    Texts are shuffled only of rows that a bitmap of the dropped ones can't clear. Its size is bounded: of
+    more than about 10**8 dropped documents most texts are shuffled. Null ids and texts are compared like
+    others; rows that repeat id and text go together; columns of any name are kept.
     """
-    member = docs.sparkSession.sparkContext.broadcast(BitmapFilter.of(dropped, "tk"))
-    keyed = docs.withColumn("__tk", text_hash())
-    out = dropped.select(F.col("doc_id").alias("__d"), F.col("tk").alias("__t")).distinct()
-    rest = keyed.where(maybe(member, "__tk")).join(out, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__tk") == F.col("__t")), "left_anti")
-    return keyed.where(~maybe(member, "__tk")).unionByName(rest).select(*docs.columns)
+    arrow_rows(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession, "without")
+    tk, d, t = spare(docs, "_tk", "_d", "_t")
+    member = scratch.share(BitmapFilter.of(dropped, "tk"))
+    keyed = docs.withColumn(tk, text_hash())
+    out = dropped.select(F.col("doc_id").alias(d), F.col("tk").alias(t)).distinct()
+    rest = keyed.where(maybe(member, tk)).join(out, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(tk) == F.col(t)), "left_anti")
+    return keyed.where(~maybe(member, tk)).unionByName(rest).select(*docs.columns)

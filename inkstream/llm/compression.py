@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, text_column
+from .common import map_arrow, text_column
 
 #: Bounds of the fitting sample: labelled rows per class for the dictionaries and for the calibration, the
 #: characters of each that are read for a dictionary, and the size of its pieces.
@@ -98,12 +98,11 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
             x = np.array([features(t or "", good, bad) for t in batch.column(at).to_pylist()]).reshape(-1, 2)
             yield batch.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def _features(rows: DataFrame, fitted, keep: list[str]) -> DataFrame:
     """The kept columns with d and log_size; ``text`` must be the last column."""
-    arrow_rows(rows.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", d double, log_size double"
 
     def run(batches):
@@ -112,7 +111,7 @@ def _features(rows: DataFrame, fitted, keep: list[str]) -> DataFrame:
             x = np.array([features(t, good, bad) for t in batch.column(len(keep)).to_pylist()]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(x[:, 0]), pa.array(x[:, 1])], [*keep, "d", "log_size"])
 
-    return rows.select(*keep, "text").mapInArrow(run, schema)
+    return map_arrow(rows.select(*keep, "text"), run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BitmapFilter, Scratch, arrow_rows, list_array, slices, text_column, utf8
+from .common import BitmapFilter, Scratch, map_arrow, list_array, slices, text_column, utf8
 from .textcore import ALNUM, ALNUM_RE, U, Words, fold, grams, text_words
 
 GRAM = 3
@@ -108,7 +108,7 @@ def document_grams(docs: DataFrame, member, k: int = GRAM) -> DataFrame:
             columns = [batch.column(0), pa.array(w.counts, pa.int64()), pa.array(places), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(labels), list_array(g[at].view(np.int64), lengths, pa.int64()), list_array(at - w.first[doc], lengths, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "h", "pos"])
 
-    return docs.select("doc_id", text_column().alias("text")).mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, h array<long>, pos array<long>")
+    return map_arrow(docs.select("doc_id", text_column().alias("text")), run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, h array<long>, pos array<long>")
 
 
 def verify_spans(diagonals: list[dict], lengths: list[int], k: int = GRAM, near: int = NEAR, cover: float = COVER) -> list[tuple[int, int, int, float]]:
@@ -150,10 +150,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, k: int = GRAM) -> DataFrame:
     no words and no labels; repeated rows get equal results; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     scratch = Scratch(spark, "licenses")
     wanted = template_grams(spark, templates, k)
-    member = spark.sparkContext.broadcast(BitmapFilter.of(wanted, "h"))
+    member = scratch.share(BitmapFilter.of(wanted, "h"))
     lengths, names = [len(text_words(t).hash) for _, t in templates], [label for label, _ in templates]
     rows = scratch.table(document_grams(docs, member, k)).withColumn("row", F.monotonically_increasing_id())
     base = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
@@ -171,7 +170,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, k: int = GRAM) -> DataFrame:
             found = [[{"label": names[t], "from": a, "to": b, "share": s} for t, a, b, s in verify_spans(x, lengths, k)] for x in batch.column(len(base)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(base))), pa.array(found, kind)], [*base, "spans"])
 
-    out = rows.where(F.size("h") == 0).select(*base, none.alias("spans")).unionByName(gathered.select(*base, "diagonals").mapInArrow(run, schema))
+    out = rows.where(F.size("h") == 0).select(*base, none.alias("spans")).unionByName(map_arrow(gathered.select(*base, "diagonals"), run, schema))
     own = F.when(F.col("base_labels") == "", F.array().cast("array<string>")).otherwise(F.split("base_labels", ","))
     labels = F.array_join(F.array_sort(F.array_union(own, F.transform("spans", lambda x: x["label"]))), ",")
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("spans", lambda x: x["share"])), F.lit(0.0)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BitmapFilter, Scratch, arrow_rows, list_array, slices, text_column, text_hash, utf8
+from .common import BitmapFilter, Scratch, map_arrow, list_array, slices, text_column, text_hash, utf8
 from .textcore import SPACED, U, Words, grams, mix
 
 #: 128 bins in 32 bands of 4: a pair at similarity 0.75 shares no bucket with probability 0.684**32 < 6e-6.
@@ -81,7 +81,6 @@ def _key(sorted_set: np.ndarray) -> bytes:
 
 def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, tk, n_shingles, set_key (equal sets, equal keys), bands; empty texts have no key and no bands."""
-    arrow_rows(docs.sparkSession)
 
     def run(batches):
         for batch in slices(batches):
@@ -99,17 +98,16 @@ def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), list_array(flat, lengths, pa.int64())], ["doc_id", "tk", "n_shingles", "set_key", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_hash().alias("tk"), text_column().alias("text")).mapInArrow(run, f"doc_id {kind}, tk long, n_shingles long, set_key binary, bands array<long>")
+    return map_arrow(docs.select("doc_id", text_hash().alias("tk"), text_column().alias("text")), run, f"doc_id {kind}, tk long, n_shingles long, set_key binary, bands array<long>")
 
 
 _KEY_HASH = "cast(conv(hex(substring(set_key, 1, 8)), 16, -10) as long)"
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """vertex, shingle set for the ``wanted`` vertices (vertex, set_key): a second pass that emits little else."""
-    spark = docs.sparkSession
     wanted = wanted.withColumn("h", F.xxhash64("set_key"))
-    member = spark.sparkContext.broadcast(BitmapFilter.of(wanted.select(F.expr(_KEY_HASH).alias("h")), "h"))
+    member = scratch.share(BitmapFilter.of(wanted.select(F.expr(_KEY_HASH).alias("h")), "h"))
 
     def run(batches):
         seen: set[bytes] = set()
@@ -133,7 +131,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 flat = np.concatenate(out).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), list_array(flat, np.array([len(s) for s in out]), pa.int64())], ["set_key", "shingles"])
 
-    found = docs.select(text_column().alias("text")).mapInArrow(run, "set_key binary, shingles array<long>")
+    found = map_arrow(docs.select(text_column().alias("text")), run, "set_key binary, shingles array<long>")
     return wanted.join(found, "set_key").groupBy("vertex").agg(F.first("shingles").alias("shingles"))
 
 
@@ -207,7 +205,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SHINGLE) -> Dat
     entries = classes.select("vertex", "n", F.explode("bands").alias("h"))
     crowded = entries.groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select("h")
     entries = scratch.table(entries.join(crowded, "h").select("h", "vertex", "n"))
-    sets = scratch.table(_sets(docs, classes.join(entries.select("vertex").distinct(), "vertex", "left_semi").select("vertex", "set_key"), k))
+    sets = scratch.table(_sets(docs, classes.join(entries.select("vertex").distinct(), "vertex", "left_semi").select("vertex", "set_key"), k, scratch))
     # one star per bucket, about a centre of its own
     centre = entries.groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "vertex").alias("p"), F.col("vertex").alias("a"), F.col("n").alias("na"))).alias("s")).select("h", "s.a", "s.na")
     star = entries.join(centre, "h").where((F.col("vertex") != F.col("a")) & _near("n", "na", percent)).select("a", F.col("vertex").alias("b"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, text_column
+from .common import Scratch, map_arrow, text_column
 from .tokens import bpe
 
 #: Pieces that one task packs at a time.
@@ -31,7 +31,6 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
 
     Null text is empty and gives one piece of the end id alone.
     """
-    arrow_rows(docs.sparkSession)
 
     def run(batches):
         model = bpe(path)
@@ -58,7 +57,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_column().alias("text")).mapInArrow(run, PIECES.format(id=kind) + (", ids array<int>" if with_ids else ""))
+    return map_arrow(docs.select("doc_id", text_column().alias("text")), run, PIECES.format(id=kind) + (", ids array<int>" if with_ids else ""))
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

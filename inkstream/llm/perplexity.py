@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, slices, text_column, utf8
+from .common import Scratch, map_arrow, slices, text_column, utf8
 from .textcore import SPACED, Words, grams, span_hashes
 
 ORDER, SYMBOL_BITS = 4, 6
@@ -83,7 +83,7 @@ def counts(docs: DataFrame) -> DataFrame:
                 k = keys[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.astype(np.int32)), pa.array(n[i : i + 50_000])], ["lang", "code", "n"])
 
-    found = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_column().alias("text")).mapInArrow(run, "lang string, code int, n long")
+    found = map_arrow(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text_column().alias("text")), run, "lang string, code int, n long")
     return found.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
@@ -194,7 +194,7 @@ def statistics(docs: DataFrame, fitted) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", *(x.split()[0] for x in STATS.split(", "))])
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")
-    return docs.select("doc_id", lang, text_column().alias("text")).mapInArrow(run, f"doc_id {kind}, lang string, {STATS}")
+    return map_arrow(docs.select("doc_id", lang, text_column().alias("text")), run, f"doc_id {kind}, lang string, {STATS}")
 
 
 def bands(scored: DataFrame, width: float = WIDTH, low: float = LOW, high: float = HIGH) -> dict[str, tuple[float, float]]:
@@ -220,7 +220,6 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     count as often as they occur; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     scratch = Scratch(spark, "perplexity")
     fitted = spark.sparkContext.broadcast(models(counts(docs)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -105,11 +105,16 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, U)
-    out = hashes[:n].copy()
-    for j in range(1, k):
-        out *= U(_G)
-        out += hashes[j : j + n]
-    return mix(out)
+    out, size, run, length = np.zeros(len(hashes), U), 0, hashes, 1
+    while True:  # runs of 1, 2, 4, ... words; those of k's bits are put together
+        if k & length:
+            m = len(hashes) - (size + length) + 1
+            out = out[:m] * U(pow(_G, length, 1 << 64)) + run[size : size + m]
+            size += length
+        if size == k:
+            return mix(out)
+        run = run[: len(run) - length] * U(pow(_G, length, 1 << 64)) + run[length:]
+        length *= 2
 
 
 def gram(hashes: np.ndarray) -> int:

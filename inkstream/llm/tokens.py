@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, text_column, utf8
+from .common import map_arrow, text_column, utf8
 
 #: Fixed value: the split pattern of this family of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -117,7 +117,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
     No shuffle: one Arrow pass. Repeated rows give repeated results; other columns are not read. The
     cache of merged pieces is bounded per worker and only saves time.
     """
-    arrow_rows(docs.sparkSession)
 
     def run(batches):
         model = bpe(path)
@@ -128,4 +127,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("doc_id"), text_column(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(docs.select(F.col(id).alias("doc_id"), text_column(text).alias("text")), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

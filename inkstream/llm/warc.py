@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, text_column
+from .common import Scratch, map_arrow, text_column
 
 #: Frame magics of the format.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -222,7 +222,6 @@ def roles(pages: DataFrame, scratch: Scratch, least: int = 1000) -> DataFrame:
 
 def write_archives(rows: DataFrame) -> DataFrame:
     """archive binary: the records of ``roles`` in archives, some for each task."""
-    arrow_rows(rows.sparkSession)
 
     def run(batches):
         writer = Writer()
@@ -234,7 +233,7 @@ def write_archives(rows: DataFrame) -> DataFrame:
         for done in writer.end():
             yield one(done)
 
-    return rows.mapInArrow(run, "archive binary")
+    return map_arrow(rows, run, "archive binary")
 
 
 def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
@@ -252,7 +251,7 @@ def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return archives.select("archive").mapInArrow(run, READ)
+    return map_arrow(archives.select("archive"), run, READ)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -274,7 +273,7 @@ def archive_files(archives: DataFrame, folder: str) -> DataFrame:
                 os.replace(part, name)
                 yield pa.RecordBatch.from_arrays([pa.array([name])], ["path"])
 
-    return archives.select("archive").mapInArrow(run, "path string")
+    return map_arrow(archives.select("archive"), run, "path string")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

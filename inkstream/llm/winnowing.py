@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitmapFilter, Scratch, arrow_rows, list_array, slices, text_column, text_hash, utf8
+from .common import BitmapFilter, Scratch, map_arrow, list_array, slices, text_column, text_hash, utf8
 from .textcore import ALNUM, U, Words, grams, mix, winnow
 
 SPAN, GRAM = 10, 5
@@ -33,7 +33,6 @@ def _short(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def item_fingerprints(items: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
     """fp, size (0: a fingerprint; else the words of a short item), around, and the items that have them."""
-    arrow_rows(items.sparkSession)
     kind = items.schema["item_id"].dataType.simpleString()
 
     def run(batches):
@@ -59,7 +58,7 @@ def item_fingerprints(items: DataFrame, span: int = SPAN, k: int = GRAM) -> Data
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(np.concatenate(fps).view(np.int64) if fps else [], pa.int64()), pa.array(sizes, pa.int32()), list_array(flat, np.full(len(rows), 2 * span - k), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["item_id", "fp", "size", "around"])
 
-    found = items.select("item_id", text_column().alias("text")).mapInArrow(run, f"item_id {kind}, fp long, size int, around array<long>")
+    found = map_arrow(items.select("item_id", text_column().alias("text")), run, f"item_id {kind}, fp long, size int, around array<long>")
     return found.groupBy("fp", "size", "around").agg(F.collect_set("item_id").alias("items"))
 
 
@@ -105,7 +104,7 @@ def document_fingerprints(docs: DataFrame, member, sizes: list[int], span: int =
             columns = [batch.column(0), batch.column(1), pa.array(w.counts, pa.int64()), list_array(flat(1, U).view(np.int64), lengths, pa.int64()), list_array(flat(2, np.int32), lengths, pa.int32()), list_array(flat(3, np.int64), lengths, pa.int64()), list_array(flat(4, U).ravel().view(np.int64), lengths * width, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tk", "n_words", "fp", "size", "at", "around"])
 
-    return docs.select("doc_id", text_hash().alias("tk"), text_column().alias("text")).mapInArrow(run, f"doc_id {kind}, tk long, n_words long, fp array<long>, size array<int>, at array<long>, around array<long>")
+    return map_arrow(docs.select("doc_id", text_hash().alias("tk"), text_column().alias("text")), run, f"doc_id {kind}, tk long, n_words long, fp array<long>, size array<int>, at array<long>, around array<long>")
 
 
 def _extent(span: int, k: int) -> tuple[Column, Column]:
@@ -127,7 +126,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     spark = docs.sparkSession
     scratch = Scratch(spark, "winnowing")
     fingerprints = scratch.table(item_fingerprints(items, span, k))
-    member = spark.sparkContext.broadcast(BitmapFilter.of(fingerprints, "fp"))
+    member = scratch.share(BitmapFilter.of(fingerprints, "fp"))
     sizes = sorted(r["size"] for r in fingerprints.select("size").distinct().collect() if r["size"])
     rows = scratch.table(document_fingerprints(docs, member, sizes, span, k)).withColumn("row", F.monotonically_increasing_id())
     none = F.array().cast("array<struct<from:bigint,to:bigint>>")

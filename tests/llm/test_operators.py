@@ -333,6 +333,42 @@ def test_every_exact_passage_is_found(spark):
                 assert set(range(j, j + 50)) <= covered[i]
 
 
+def covered_words(spark, texts):
+    out = {}
+    for r in collected(chaining.repeated_passages(spark.createDataFrame(texts, "doc_id int, text string"))):
+        out.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["n_words"]))
+    return out
+
+
+def every_window_is_covered(texts, covered, n=50):
+    """By brute force: each window of n words that an earlier text has is covered."""
+    first, missed = {}, []
+    for i, t in sorted(texts):
+        w = ALNUM_RE.findall(fold(t))
+        missed += [(i, j) for j in range(len(w) - n + 1) if first.setdefault(tuple(w[j : j + n]), i) != i and not set(range(j, j + n)) <= covered.get(i, set())]
+    return not missed
+
+
+def test_phrases_of_other_documents_hide_no_passage(spark):
+    """Ten earlier documents hold 12 words each of a passage of 60 that two later ones share."""
+    passage = words(800, 60).split()
+    texts = [(i, " ".join([words(810 + i, 60), *passage[5 * i : 5 * i + 12], words(830 + i, 60)])) for i in range(10)]
+    texts += [(50, " ".join([words(850, 40), *passage, words(851, 40)])), (60, " ".join([words(852, 30), *passage, words(853, 30)]))]
+    got = [(r["doc_id"], r["start"], r["n_words"], 50 in r["source_doc_ids"]) for r in collected(chaining.repeated_passages(spark.createDataFrame(texts, "doc_id int, text string")))]
+    assert got == [(60, 30, 60, True)]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.integers(0, 10_000))
+def test_passages_of_few_words(spark, seed):
+    """Texts of 2 to 40 different words, with copied stretches: nothing that is repeated is missed."""
+    r = np.random.default_rng(seed)
+    vocabulary = [f"w{i}" for i in range(int(r.integers(2, 40)))]
+    lines = [r.choice(vocabulary, int(r.integers(5, 30))).tolist() for _ in range(12)]
+    texts = [(i, " ".join(x for _ in range(int(r.integers(2, 9))) for x in lines[int(r.integers(12))])) for i in range(25)]
+    assert every_window_is_covered(texts, covered_words(spark, texts))
+
+
 def test_chains_within_others_are_aligned():
     own = list(range(200))
     fuzzy = [w if w % 9 else -1 - w for w in own[:100]]
