@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BitmapFilter, Scratch, list_array, map_arrow, maybe, slices, spare, text_column, text_hash, utf8
+from .common import BitmapFilter, Scratch, flagged, list_array, map_arrow, slices, spare, text_column, text_hash, utf8
 from .textcore import ALNUM, Words, grams, winnow
 
 #: Words of a seed, k-mers of which one is a seed (a shared run of SEED + WINDOW - 1 words shares one),
@@ -30,7 +30,7 @@ GAP, MARGIN, DROP = 0.05, 40, 6
 #: Words of the long k-mers of the second search, beside those as long as a passage.
 LONG = 16
 #: K-mers of which one task keeps the first places at a time, before any are shuffled.
-HELD = 1 << 19
+HELD = 1 << 18
 
 
 def chain(pos: list[int], other: list[int], k: int = SEED, gap: float = GAP) -> list[list[int]]:
@@ -338,18 +338,16 @@ def seeds(docs: DataFrame, member, least: int = LEAST) -> DataFrame:
     return map_arrow(_identified(docs), run, f"doc_id {kind}, tk long, h long, pos int, i int")
 
 
-def _word_hashes(docs: DataFrame, member) -> DataFrame:
-    """d, t (doc_id and tk), 32-bit word hashes of the documents that a bitmap of tk lets through."""
+def _word_hashes(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """d, t (doc_id and tk), 32-bit word hashes of the documents whose tk may be among the keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            keep = member.value.has(batch.column(1).to_numpy().view(np.uint64))
-            if keep.any():
-                for part, w in _word_slices([batch.filter(pa.array(keep))]):
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), list_array((w.hash >> np.uint64(32)).astype(np.uint32).view(np.int32), w.counts, pa.int32())], ["d", "t", "words"])
+        for part, w in _word_slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), list_array((w.hash >> np.uint64(32)).astype(np.uint32).view(np.int32), w.counts, pa.int32())], ["d", "t", "words"])
 
-    return map_arrow(_identified(docs), run, f"d {kind}, t long, words array<int>")
+    wanted = flagged(_identified(docs), "tk", keys.select(F.col(key).alias("k")).distinct(), "k", "flag").where("flag").drop("flag")
+    return map_arrow(wanted, run, f"d {kind}, t long, words array<int>")
 
 
 def _chained(anchors: DataFrame) -> DataFrame:
@@ -389,20 +387,19 @@ def _chained(anchors: DataFrame) -> DataFrame:
     return map_arrow(grouped, run, f"doc_id {kind}, tk long, sdoc {kind}, stk long, pos array<int>, other array<int>, ranges array<struct<a:int,z:int>>")
 
 
-def _beside_words(docs: DataFrame, chained: DataFrame, scratch: Scratch) -> DataFrame:
+def _beside_words(docs: DataFrame, chained: DataFrame) -> DataFrame:
     """doc_id, tk, words, chains, ranges: each text of the written chains with its words and its chains' parts of the sources."""
-    member = lambda c: scratch.share(BitmapFilter.of(chained.select(F.col(c).alias("k")).distinct(), "k"))
     low = F.greatest(F.array_min("other") - MARGIN, F.lit(0))
-    near = chained.join(_word_hashes(docs, member("stk")), F.col("sdoc").eqNullSafe(F.col("d")) & (F.col("stk") == F.col("t")))
+    near = chained.join(_word_hashes(docs, chained, "stk"), F.col("sdoc").eqNullSafe(F.col("d")) & (F.col("stk") == F.col("t")))
     near = near.select("doc_id", "tk", "ranges", F.struct(F.col("sdoc").alias("source"), "pos", "other", low.alias("shift"), F.slice("words", low + 1, F.array_max("other") - low + SEED + MARGIN).alias("words")).alias("c"))
     near = near.groupBy("doc_id", "tk").agg(F.collect_set("c").alias("chains"), F.flatten(F.collect_set("ranges")).alias("ranges"))
-    own = _word_hashes(docs, member("tk")).dropDuplicates(["d", "t"])
+    own = _word_hashes(docs, chained, "tk").dropDuplicates(["d", "t"])
     return near.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t"))).select("doc_id", "tk", "words", "chains", "ranges")
 
 
-def _aligned(docs: DataFrame, chained: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+def _aligned(docs: DataFrame, chained: DataFrame, least: int) -> DataFrame:
     """doc_id, tk, parts (stretches), h and pos (long k-mers of the ranges where no passage was found)."""
-    both = _beside_words(docs, chained, scratch)
+    both = _beside_words(docs, chained)
     kind = docs.schema["doc_id"].dataType.simpleString()
     kinds = pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64()), ("n", pa.int64()), ("source", _arrow_type(docs)), ("at", pa.int64())]))
 
@@ -445,7 +442,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, scratch: Scratch | No
     firsts = scratch.table(first_places(docs, lambda w: _seeds(w, least)[:3]))
     anchors = seeds(docs, scratch.share(BitmapFilter.of(firsts, "h")), least).join(firsts, "h").where(earlier)
     chained = scratch.table(_chained(anchors.select("doc_id", "tk", "pos", "i", "sdoc", "stk", "spos")))
-    aligned = scratch.table(_aligned(docs, chained, least, scratch))
+    aligned = scratch.table(_aligned(docs, chained, least))
 
     # what is left: long k-mers, those of the passage's own length among them
     wanted = aligned.where(F.size("h") > 0).select("doc_id", "tk", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("doc_id", "tk", "x.h", "x.pos")
@@ -469,7 +466,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, scratch: Scratch | No
     runs = runs.select("doc_id", "tk", "sdoc", "stk", "shift", F.explode(F.sequence("a", F.col("z") + LONG - SEED, F.lit(SEED))).alias("pos"))
     anchors = runs.select("doc_id", "tk", "pos", F.col("pos").alias("i"), "sdoc", "stk", (F.col("pos") + F.col("shift")).cast("int").alias("spos"))
     chained = scratch.table(_chained(anchors).withColumn("ranges", F.array().cast("array<struct<a:int,z:int>>")))
-    again = scratch.table(_aligned(docs, chained, least, scratch))
+    again = scratch.table(_aligned(docs, chained, least))
     parts = aligned.select("doc_id", "tk", "parts").unionByName(again.select("doc_id", "tk", "parts"))
     parts = parts.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("parts")).alias("parts"))
 
@@ -508,20 +505,19 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, emptied: bool = True) ->
     a bitmap of the changed texts lets through are joined with their spans.
     """
     scratch = Scratch(docs.sparkSession, "chaining")
-    tk, d, t, spans = spare(docs, "_tk", "_d", "_t", "_spans")
+    tk, d, t, spans, flag = spare(docs, "_tk", "_d", "_t", "_spans", "_flag")
     found = repeated_passages(docs, least, scratch).groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", "n_words")).alias(spans))
     found = scratch.table(found.withColumnsRenamed({"doc_id": d, "tk": t}))
-    member = scratch.share(BitmapFilter.of(found, t))
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, cells: pa.Array) -> pa.Array:
         return pa.array([without_spans(x, [(y["start"], y["start"] + y["n_words"]) for y in c]) if c is not None else x for x, c in zip(text.to_pylist(), cells.to_pylist(), strict=True)], pa.string())
 
-    keyed = docs.withColumn(tk, text_hash())
-    touched = keyed.where(maybe(member, tk)).join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(tk) == F.col(t)), "left")
+    keyed = flagged(docs.withColumn(tk, text_hash()), tk, found, t, flag)
+    touched = keyed.where(flag).join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(tk) == F.col(t)), "left")
     touched = touched.withColumn("text", F.when(F.col(spans).isNotNull(), cut(text_column(), F.col(spans))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     if not emptied:
         touched = touched.where(F.col(spans).isNull() | (F.col("text") != ""))
-    return keyed.where(~maybe(member, tk)).select(*docs.columns).unionByName(touched.select(*docs.columns))
+    return keyed.where(~F.col(flag)).select(*docs.columns).unionByName(touched.select(*docs.columns))

@@ -184,6 +184,19 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def _slot(column: Column, power: int) -> tuple[Column, Column]:
+    """Word and bit of a hash in a bitmap of 2**power bits."""
+    slot = F.shiftrightunsigned(column, 64 - power)
+    return F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+
+
+def bitmap_words(hashes: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """word, bits of the bitmap of a column of longs, and the power of two that is its size."""
+    power = min(max((16 * hashes.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    word, bit = _slot(F.col(column), power)
+    return hashes.where(F.col(column).isNotNull()).select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), power
+
+
 class BitmapFilter:
     """Set membership for 64-bit hashes in a bitmap of bounded size: no false negatives; what it lets through is joined."""
 
@@ -194,15 +207,8 @@ class BitmapFilter:
     @staticmethod
     def of(hashes: DataFrame, column: str) -> "BitmapFilter":
         """Built by Spark from a column of longs, best of a written table; only the bitmap's words reach the driver."""
-        power = min(max((16 * hashes.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
-        slot = F.shiftrightunsigned(F.col(column), 64 - power)
-        words = (
-            hashes.where(F.col(column).isNotNull())
-            .select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - power}) & 63 as int))").alias("bit"))
-            .groupBy("word")
-            .agg(F.bit_or("bit").alias("bits"))
-            .toArrow()
-        )
+        words, power = bitmap_words(hashes, column)
+        words = words.toArrow()
         bits = np.zeros(1 << (power - 6), np.uint64)
         bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.int64).view(np.uint64)
         return BitmapFilter(bits)
@@ -217,28 +223,27 @@ def text_hash(name: str = "text") -> Column:
     return F.xxhash64(text_column(name))
 
 
-def maybe(member, column: str) -> Column:
-    """Whether a broadcast bitmap may hold the long column's value."""
-
-    @F.arrow_udf("boolean")
-    def has(values: pa.Array) -> pa.Array:
-        return pa.array(member.value.has(values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+def flagged(docs: DataFrame, column: str, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """``docs`` with the boolean ``flag``: false where no key of the written table ``keys`` equals the long column.
 
-    return has(F.col(column))
+    A join with the words of a bitmap, which its bounded size lets Spark broadcast, and no Python.
+    """
+    words, power = bitmap_words(keys, key)
+    w, bits = spare(docs, "_word", "_bits")
+    word, bit = _slot(F.col(column), power)
+    joined = docs.withColumn(w, word).join(F.broadcast(words.withColumnsRenamed({"word": w, "bits": bits})), w, "left")
+    return joined.select(*docs.columns, F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False)).alias(flag))
 
 
-def without(docs: DataFrame, dropped: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the documents ``dropped`` (doc_id, tk), which must be a written table.
 
     Texts are shuffled only of rows that a bitmap of the dropped ones can't clear. Its size is bounded: of
     more than about 10**8 dropped documents most texts are shuffled. Null ids and texts are compared like
     others; rows that repeat id and text go together; columns of any name are kept.
     """
-    arrow_rows(docs.sparkSession)
-    scratch = scratch or Scratch(docs.sparkSession, "without")
-    tk, d, t = spare(docs, "_tk", "_d", "_t")
-    member = scratch.share(BitmapFilter.of(dropped, "tk"))
-    keyed = docs.withColumn(tk, text_hash())
+    tk, d, t, flag = spare(docs, "_tk", "_d", "_t", "_flag")
+    keyed = flagged(docs.withColumn(tk, text_hash()), tk, dropped, "tk", flag)
     out = dropped.select(F.col("doc_id").alias(d), F.col("tk").alias(t)).distinct()
-    rest = keyed.where(maybe(member, tk)).join(out, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(tk) == F.col(t)), "left_anti")
-    return keyed.where(~maybe(member, tk)).unionByName(rest).select(*docs.columns)
+    rest = keyed.where(flag).join(out, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(tk) == F.col(t)), "left_anti")
+    return keyed.where(~F.col(flag)).unionByName(rest).select(*docs.columns)

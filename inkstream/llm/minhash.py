@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BitmapFilter, Scratch, map_arrow, list_array, slices, text_column, text_hash, utf8
+from .common import Scratch, flagged, list_array, map_arrow, slices, text_column, text_hash, utf8
 from .textcore import SPACED, U, Words, grams, mix
 
 #: 128 bins in 32 bands of 4: a pair at similarity 0.75 shares no bucket with probability 0.684**32 < 6e-6.
@@ -101,13 +101,8 @@ def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return map_arrow(docs.select("doc_id", text_hash().alias("tk"), text_column().alias("text")), run, f"doc_id {kind}, tk long, n_shingles long, set_key binary, bands array<long>")
 
 
-_KEY_HASH = "cast(conv(hex(substring(set_key, 1, 8)), 16, -10) as long)"
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """vertex, shingle set for the ``wanted`` vertices (vertex, set_key): a second pass that emits little else."""
-    wanted = wanted.withColumn("h", F.xxhash64("set_key"))
-    member = scratch.share(BitmapFilter.of(wanted.select(F.expr(_KEY_HASH).alias("h")), "h"))
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """vertex, shingle set for the written ``wanted`` vertices (vertex, set_key, tk of one text): a pass over those texts."""
 
     def run(batches):
         seen: set[bytes] = set()
@@ -117,12 +112,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, scratch: Scratch) -> DataF
             keys, out = [], []
             for d in range(batch.num_rows):
                 s = shingles(w.hash[w.first[d] : w.first[d + 1]], k)
-                if not len(s):
-                    continue
                 key = _key(s)
-                if key in seen or not member.value.has(np.frombuffer(key[:8], ">u8").astype(U))[0]:
+                if not len(s) or key in seen:
                     continue
-                if len(seen) >= 200_000:
+                if len(seen) >= 20_000:
                     seen.clear()
                 seen.add(key)  # copies in this task are not sent again
                 keys.append(key)
@@ -131,8 +124,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, scratch: Scratch) -> DataF
                 flat = np.concatenate(out).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), list_array(flat, np.array([len(s) for s in out]), pa.int64())], ["set_key", "shingles"])
 
-    found = map_arrow(docs.select(text_column().alias("text")), run, "set_key binary, shingles array<long>")
-    return wanted.join(found, "set_key").groupBy("vertex").agg(F.first("shingles").alias("shingles"))
+    texts = flagged(docs.select(text_hash().alias("tk"), text_column().alias("text")), "tk", wanted, "tk", "flag").where("flag").select("text")
+    found = map_arrow(texts, run, "set_key binary, shingles array<long>")
+    return wanted.select("vertex", "set_key").join(found, "set_key").groupBy("vertex").agg(F.first("shingles").alias("shingles"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,12 +194,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SHINGLE) -> Dat
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     rows = scratch.table(sketches(docs, k))
-    classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("low"), F.min("tk").alias("tk"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = scratch.table(classes.withColumn("vertex", F.monotonically_increasing_id()))
     entries = classes.select("vertex", "n", F.explode("bands").alias("h"))
     crowded = entries.groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select("h")
     entries = scratch.table(entries.join(crowded, "h").select("h", "vertex", "n"))
-    sets = scratch.table(_sets(docs, classes.join(entries.select("vertex").distinct(), "vertex", "left_semi").select("vertex", "set_key"), k, scratch))
+    wanted = scratch.table(classes.join(entries.select("vertex").distinct(), "vertex", "left_semi").select("vertex", "set_key", "tk"))
+    sets = scratch.table(_sets(docs, wanted, k))
     # one star per bucket, about a centre of its own
     centre = entries.groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "vertex").alias("p"), F.col("vertex").alias("a"), F.col("n").alias("na"))).alias("s")).select("h", "s.a", "s.na")
     star = entries.join(centre, "h").where((F.col("vertex") != F.col("a")) & _near("n", "na", percent)).select("a", F.col("vertex").alias("b"))
