@@ -11,24 +11,24 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_column
+from .common import map_arrow, slices, text_column, text_hash
 
-#: Bounds of the fitting sample: labelled rows per class for the dictionaries and for the calibration, the
-#: characters of each that are read for a dictionary, and the size of its pieces.
-FIT_ROWS, CALIBRATION_ROWS, FIT_CHARS, PIECE = 4000, 4000, 16_000, 1500
+#: Bounds of the fitting sample, for each class: labelled rows for the dictionaries and for the calibration, and the
+#: bytes that these rows' whole texts have together. PIECE: size of the samples that dictionaries are trained on.
+FIT_ROWS, CALIBRATION_ROWS, FIT_BYTES, PIECE = 4000, 4000, 24 << 20, 1500
 DICTIONARY_BYTES, BLOCK, LEVEL = 64 << 10, 4096, 3
 
 
 def dictionary(texts: list[str]) -> tuple[bytes, bool]:
-    """Trained on pieces of the texts; where they are too few, their plain content (second value false)."""
+    """Trained on all pieces of the texts; where they are too few to train on, their plain content (second value false)."""
     pieces = [b[i : i + PIECE] for b in (t.encode("utf-8", "replace") for t in texts) for i in range(0, len(b), PIECE)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes(), True
     except zstandard.ZstdError:
-        return b"".join(pieces)[-DICTIONARY_BYTES:], False
+        return b"".join(pieces), False
 
 
 class Sizer:
@@ -43,101 +43,115 @@ class Sizer:
         return sum(len(self.compressor.compress(data[i : i + BLOCK])) for i in range(0, len(data), BLOCK))
 
 
-def features(text: str, good: Sizer, bad: Sizer) -> tuple[float, float]:
-    """(bad - good) / size, and the log size; 0, 0 of an empty text."""
+def feature(text: str, good: Sizer, bad: Sizer) -> float:
+    """(bad - good) / size; 0 of an empty text."""
     data = text.encode("utf-8", "replace")
-    n = max(1, len(data))
-    return (bad.size(data) - good.size(data)) / n, math.log(n)
+    return (bad.size(data) - good.size(data)) / max(1, len(data))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Weights (constant first) by Newton steps."""
+    """Constant and slope by Newton steps."""
     a = np.c_[np.ones(len(x)), x]
-    w = np.zeros(a.shape[1])
+    w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
+        w += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), a.T @ (y - p) - ridge * w)
     return w
 
 
 class Model:
-    """Dictionaries and calibration; ``score`` of a text is the probability of label 1."""
+    """Dictionaries and calibration; ``score`` of a feature is the probability of label 1."""
 
     def __init__(self, good: tuple[bytes, bool], bad: tuple[bytes, bool]):
         self.good, self.bad = good, bad
-        self.mean, self.scale, self.weights = np.zeros(2), np.ones(2), np.zeros(3)
+        self.mean, self.scale, self.weights = 0.0, 1.0, np.zeros(2)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         """Platt scaling; with one class only, its smoothed rate."""
-        self.mean, self.scale = (x.mean(0), np.maximum(x.std(0), 1e-9)) if len(x) else (self.mean, self.scale)
+        if len(x):
+            self.mean, self.scale = float(x.mean()), max(float(x.std()), 1e-9)
         if len(set(y.tolist())) == 2:
             self.weights = logistic((x - self.mean) / self.scale, y)
         else:
             rate = (y.sum() + 1) / (len(y) + 2)
-            self.weights = np.array([math.log(rate / (1 - rate)), 0, 0])
+            self.weights = np.array([math.log(rate / (1 - rate)), 0.0])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.c_[np.ones(len(x)), (x - self.mean) / self.scale] @ self.weights
+        z = self.weights[0] + (x - self.mean) / self.scale * self.weights[1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    def of(self, texts: pa.Array, good: Sizer, bad: Sizer) -> np.ndarray:
+        return self.score(np.fromiter((feature(t or "", good, bad) for t in texts.to_pylist()), float, len(texts)))
+
 
 def remainder():
     """crc32 of the id as text modulo 4; null ids have none and are not held out."""
     return F.coalesce((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4).cast("int"), F.lit(-1))
 
 
+def _scored(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The kept columns and the score of ``text``."""
+    fitted = rows.sparkSession.sparkContext.broadcast(model)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", score double"
+
+    def run(batches):
+        model = fitted.value
+        good, bad = Sizer(*model.good), Sizer(*model.bad)
+        for batch in slices(batches):
+            score = model.of(batch.column(len(keep)), good, bad)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(score)], [*keep, "score"])
+
+    return map_arrow(rows.select(*keep, text_column().alias("text")), run, schema)
+
+
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, in one pass over the texts and without a join."""
+    """The rows of ``docs`` that the classifier accepts, in one pass over the texts and without a join.
+
+    Null texts score as empty ones, invalid UTF-8 as with its replacement; repeated rows fare alike; columns of
+    any name are kept.
+    """
     fitted = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label))
+    valid = docs.select(*[F.make_valid_utf8(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in docs.schema])
     at = docs.columns.index("text")
 
     def run(batches):
         model = fitted.value
         good, bad = Sizer(*model.good), Sizer(*model.bad)
         for batch in batches:
-            x = np.array([features(t or "", good, bad) for t in batch.column(at).to_pylist()]).reshape(-1, 2)
-            yield batch.filter(pa.array(model.score(x) >= threshold))
+            yield batch.filter(pa.array(model.of(batch.column(at), good, bad) >= threshold))
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(valid, run, docs.schema)
 
 
-def _features(rows: DataFrame, fitted, keep: list[str]) -> DataFrame:
-    """The kept columns with d and log_size; ``text`` must be the last column."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", d double, log_size double"
+def settled(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y, part of the labelled ids; ids with both labels, with others than 0 and 1 or held out are left out."""
+    rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
+    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
+    return rows.withColumn("part", remainder()).where("part <> 2")
 
-    def run(batches):
-        good, bad = Sizer(*fitted.value.good), Sizer(*fitted.value.bad)
-        for batch in batches:
-            x = np.array([features(t, good, bad) for t in batch.column(len(keep)).to_pylist()]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(x[:, 0]), pa.array(x[:, 1])], [*keep, "d", "log_size"])
 
-    return map_arrow(rows.select(*keep, "text"), run, schema)
+def sample(docs: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """doc_id, y, text of a bounded sample of a class's labelled rows: the first by a hash of the id.
 
+    At most ``most`` ids, ``most`` different rows of them, and so many of those as have FIT_BYTES together; texts are
+    whole, and none longer than FIT_BYTES is taken.
+    """
+    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "y")
+    found = docs.select("doc_id", text_hash().alias("tk"), text_column().alias("text")).join(F.broadcast(chosen), "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("tk")]
+    listed = found.select("doc_id", "tk", F.octet_length("text").alias("bytes")).distinct().where(F.col("bytes") <= FIT_BYTES).orderBy(*order).limit(most)
+    listed = listed.withColumn("sum", F.sum("bytes").over(Window.orderBy(*order))).where(F.col("sum") <= FIT_BYTES).select("doc_id", "tk")
+    return found.join(F.broadcast(listed), ["doc_id", "tk"]).dropDuplicates(["doc_id", "tk"]).select("doc_id", "tk", "y", "text")
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """Fitted on a bounded sample of the labelled rows that aren't held out.
 
-    The sample is the rows of smallest id hash of each class, chosen from the labels alone; its ids, at
-    most 2 * (FIT_ROWS + CALIBRATION_ROWS), are broadcast to find their texts. Labels other than 0 and 1
-    and null ids are left out.
-    """
-    spark = docs.sparkSession
-    rows = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").withColumn("part", remainder()).where("part <> 2")
-    order = F.xxhash64("doc_id")
-
-    def sample(part, y, n):
-        return rows.where(f"y = {y} and part {part}").orderBy(order, "doc_id").limit(n)
-
-    def texts(chosen):
-        return docs.select("doc_id", text_column().alias("text")).join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id")
-
-    fitting = sample("<> 3", 0, FIT_ROWS).unionByName(sample("<> 3", 1, FIT_ROWS))
-    found = texts(fitting).select("doc_id", "y", F.substring("text", 1, FIT_CHARS).alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    y, t = found.column("y").to_pylist(), found.column("text").to_pylist()
-    model = Model(*(dictionary([x for x, k in zip(t, y, strict=True) if k == c]) for c in (1, 0)))
-    calibrating = sample("= 3", 0, CALIBRATION_ROWS).unionByName(sample("= 3", 1, CALIBRATION_ROWS))
-    measured = _features(texts(calibrating).select("doc_id", "y", "text"), spark.sparkContext.broadcast(model), ["doc_id", "y"]).toArrow().sort_by("doc_id")
-    x, y = np.c_[measured.column("d").to_numpy(), measured.column("log_size").to_numpy()], measured.column("y").to_numpy().astype(float)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+    """Fitted on a bounded sample of the labelled rows that aren't held out; see ``settled`` and ``sample``."""
+    rows = settled(labels, label)
+    one = lambda y, part, most: sample(docs, rows.where(f"y = {y} and part {part}"), most)
+    order = [("doc_id", "ascending"), ("tk", "ascending")]
+    model = Model(*(dictionary(one(y, "<> 3", FIT_ROWS).toArrow().sort_by(order).column("text").to_pylist()) for y in (1, 0)))
+    measured = _features(one(0, "= 3", CALIBRATION_ROWS).unionByName(one(1, "= 3", CALIBRATION_ROWS)), model).toArrow().sort_by(order)
+    x, y = measured.column("x").to_numpy(), measured.column("y").to_numpy().astype(float)
     model.calibrate(x, y)
     # each class has its own sample, so the constant is set back to the classes' true shares
     shares = {r["y"]: r["count"] for r in rows.where("part = 3").groupBy("y").count().collect()}
@@ -146,18 +160,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     return model
 
 
+def _features(rows: DataFrame, model: Model) -> DataFrame:
+    """doc_id, tk, y and the feature x of the texts."""
+    fitted = rows.sparkSession.sparkContext.broadcast(model)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        good, bad = Sizer(*fitted.value.good), Sizer(*fitted.value.bad)
+        for batch in slices(batches):
+            x = np.fromiter((feature(t, good, bad) for t in batch.column(3).to_pylist()), float, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(x)], ["doc_id", "tk", "y", "x"])
+
+    return map_arrow(rows, run, f"doc_id {kind}, tk long, y int, x double")
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; only the text makes the score.
 
     Null texts score as empty ones; repeated rows get equal results; without labels every score is the
-    smoothed rate of no rows, 0.5.
+    smoothed rate of no rows, 0.5; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    model = fit(docs, labels, label)
-    fitted = spark.sparkContext.broadcast(model)
-    rows = _features(docs.select("doc_id", text_column().alias("text")), fitted, ["doc_id"])
-    z = F.lit(float(model.weights[0]))
-    for i, c in enumerate(("d", "log_size")):
-        z = z + (F.col(c) - float(model.mean[i])) / float(model.scale[i]) * float(model.weights[1 + i])
-    score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
-    return rows.select("doc_id", (remainder() == 2).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = _scored(docs, fit(docs, labels, label), ["doc_id"])
+    return rows.select("doc_id", (remainder() == 2).alias("held_out"), "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -16,40 +16,66 @@ from .common import BitmapFilter, Scratch, map_arrow, list_array, slices, text_c
 from .textcore import ALNUM, ALNUM_RE, U, Words, fold, grams, text_words
 
 GRAM = 3
-#: Diagonals this near are one span (words put in or left out); the share of a template's words to be covered.
-NEAR, COVER = 4, 0.6
+#: Diagonals this near are one span (words put in or left out); the share of a template's words to be covered,
+#: and of its own: those in k-grams that no other label's template has. Short templates must be covered whole.
+NEAR, COVER, SHORT = 4, 0.6, 15
 #: Phrases that are labels by themselves.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Customary notices, by label.
+#: Customary notices and short licences, by label, each with the name that tells it from its like
+#: (empty where the wording is its own).
 TEMPLATES = (
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."),
-    ("agpl", "GNU Affero General Public License as published by the Free Software Foundation."),
-    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("mit", "Released under the MIT License."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("unlicense", "This is free and unencumbered software released into the public domain."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("cc0", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work."),
+    ("gpl", "gnu general public license", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl", "gnu general public license", "This work is licensed under the GNU General Public License, version 3."),
+    ("gpl", "gnu general public license", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("lgpl", "gnu lesser general public license", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl", "gnu lesser general public license", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("agpl", "gnu affero general public license", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("apache", "apache license", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache", "apache license", "Licensed under the Apache License, Version 2.0."),
+    ("apache", "", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("mit", "", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("mit", "mit license", "Released under the MIT License."),
+    ("bsd", "", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", "", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("zlib", "", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("mpl", "mozilla public license", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("unlicense", "public domain", "This is free and unencumbered software released into the public domain."),
+    ("cc-by", "creative commons attribution 4", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "cc by sa", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-sa", "attribution sharealike", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nc", "cc by nc", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-nc", "attribution noncommercial 4", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nc-sa", "attribution noncommercial sharealike", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nd", "attribution noderivatives", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc0", "", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work."),
 )
 
 
+class Template:
+    """Label, number of words, the words of the telling name, and those in k-grams that no other label's template has."""
+
+    def __init__(self, at: int, templates, k: int):
+        self.label, name, text = templates[at]
+        found = ALNUM_RE.findall(fold(text))
+        runs = lambda w: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+        others = {g for label, _, t in templates if label != self.label for g in runs(ALNUM_RE.findall(fold(t)))}
+        self.length, name = len(found), ALNUM_RE.findall(fold(name))
+        self.name = {i + j for i in range(len(found)) if name and found[i : i + len(name)] == name for j in range(len(name))}
+        self.own = {i + j for i, g in enumerate(runs(found)) if g not in others for j in range(k)}
+        self.cover = COVER if self.length >= SHORT else 1.0
+
+
+def prepared(templates=TEMPLATES, k: int = GRAM) -> list[Template]:
+    return [Template(i, templates, k) for i in range(len(templates))]
+
+
 def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = GRAM) -> DataFrame:
     """h, template, tpos: every k-gram position of the templates; as many rows as their words."""
     rows = []
-    for i, (_, text) in enumerate(templates):
+    for i, (_, _, text) in enumerate(templates):
         rows += [(int(g), i, at) for at, g in enumerate(grams(text_words(text).hash, k).view(np.int64).tolist())]
     return spark.createDataFrame(rows, "h long, template int, tpos int")
 
@@ -111,49 +137,56 @@ def document_grams(docs: DataFrame, member, k: int = GRAM) -> DataFrame:
     return map_arrow(docs.select("doc_id", text_column().alias("text")), run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, h array<long>, pos array<long>")
 
 
-def verify_spans(diagonals: list[dict], lengths: list[int], k: int = GRAM, near: int = NEAR, cover: float = COVER) -> list[tuple[int, int, int, float]]:
-    """(template, from, to, share of its words covered) of the spans of one text that reach ``cover``.
+def verify_spans(diagonals: list[dict], templates: list[Template], k: int = GRAM, near: int = NEAR) -> list[tuple[int, int, int, float]]:
+    """(template, from, to, share of its words covered) of the verified spans of one text.
 
     ``diagonals``: template, diagonal and the template positions hit on it. Diagonals within ``near`` of the
-    one before are merged; each template word counts once, at places that go on in the text.
+    one before are merged. Hits that go on in text and template make a span; a step back or a gap as long as the
+    template begins the next. A span counts when it covers enough of the template's words, enough of its own words and
+    its whole telling name. Of spans that overlap by half, that with most words stays.
     """
-    out, group = [], []
-
-    def close():
-        if not group:
-            return
-        t = group[0]["template"]
-        hits = sorted((p + x["diagonal"], p) for x in group for p in x["tpos"])
-        covered, reached, start, stop = set(), -1, None, 0
-        for at, p in hits:
-            if p < reached - k:  # a repeat of an earlier part
-                continue
-            covered.update(range(p, p + k))
-            reached, start, stop = p, at if start is None else start, at + k
-        share = len(covered) / lengths[t]
-        if share >= cover:
-            out.append((t, start, stop, min(1.0, share)))
+    found, group = [], []
+
+    def judge(t: int, hits: list[tuple[int, int]]) -> None:
+        x, covered = templates[t], {p + j for _, p in hits for j in range(k)}
+        if len(covered) >= x.cover * x.length and x.name <= covered and len(covered & x.own) >= x.cover * len(x.own):
+            found.append((t, hits[0][0], hits[-1][0] + k, len(covered) / x.length, len(covered)))
+
+    def close() -> None:
+        if group:
+            t = group[0]["template"]
+            part: list[tuple[int, int]] = []
+            for at, p in sorted((p + x["diagonal"], p) for x in group for p in x["tpos"]):
+                if part and (p < part[-1][1] - k or at - part[-1][0] > templates[t].length):
+                    judge(t, part)
+                    part = []
+                part.append((at, p))
+            judge(t, part)
+            group.clear()
 
     for x in sorted(diagonals, key=lambda x: (x["template"], x["diagonal"])):
         if group and (x["template"] != group[-1]["template"] or x["diagonal"] - group[-1]["diagonal"] > near):
             close()
-            group = []
         group.append(x)
     close()
-    return out
+    out: list[tuple] = []
+    for x in sorted(found, key=lambda x: (-x[4], -x[3], x[0], x[1])):
+        if all(2 * (min(x[2], y[2]) - max(x[1], y[1])) < min(x[2] - x[1], y[2] - y[1]) for y in out):
+            out.append(x)
+    return sorted(x[:4] for x in out)
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, k: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans, for every row.
 
-    score: 1 with a base phrase, else the largest covered share of a verified span, else 0. Null texts have
+    ``templates``: (label, telling name or empty, text), of any length. score: 1 with a base phrase, else the largest covered share of a verified span, else 0. Null texts have
     no words and no labels; repeated rows get equal results; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "licenses")
     wanted = template_grams(spark, templates, k)
     member = scratch.share(BitmapFilter.of(wanted, "h"))
-    lengths, names = [len(text_words(t).hash) for _, t in templates], [label for label, _ in templates]
+    known = prepared(templates, k)
     rows = scratch.table(document_grams(docs, member, k)).withColumn("row", F.monotonically_increasing_id())
     base = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
     spans = "array<struct<label:string,from:bigint,to:bigint,share:double>>"
@@ -167,7 +200,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, k: int = GRAM) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [[{"label": names[t], "from": a, "to": b, "share": s} for t, a, b, s in verify_spans(x, lengths, k)] for x in batch.column(len(base)).to_pylist()]
+            found = [[{"label": known[t].label, "from": a, "to": b, "share": s} for t, a, b, s in verify_spans(x, known, k)] for x in batch.column(len(base)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(base))), pa.array(found, kind)], [*base, "spans"])
 
     out = rows.where(F.size("h") == 0).select(*base, none.alias("spans")).unionByName(map_arrow(gathered.select(*base, "diagonals"), run, schema))

@@ -1,10 +1,11 @@
 """Best-fit packing of token pieces with certified bounds and repacking between partitions.
 
 Each partition packs its pieces by best-fit decreasing and compares its bin count with lower bounds from
-dual-feasible functions; where that leaves a gap, it also fills bins one by one and keeps the better. A partition certified by its volume wastes less than a bin: its bins close, but
+dual-feasible functions. A partition certified by its volume wastes less than a bin: its bins close, but
 for the one with most room. One with a gap, or certified only because its large pieces can't share bins,
 keeps its full bins and gives the documents of the others to the exchange, where pieces of other
-partitions may fill them. What was given is dealt out anew and packed again, until nothing is open.
+partitions may fill them. What was given is dealt out anew and packed again, until nothing is open or an
+exchange saves no bin; what is open then stays as packed, with the bins and the bound of its part beside it.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from .tokens import bpe
 
 #: Pieces that one task packs at a time.
 PART_PIECES = 20_000
-#: Exchanges after the first packing; a bound on time only: what is open then is packed and stays so.
-ROUNDS = 4
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -61,14 +60,19 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    """``lower_bound_of`` a list of lengths."""
+    sizes, counts = np.unique(np.asarray(lengths, np.int64), return_counts=True)
+    return lower_bound_of(sizes, counts, capacity)
+
+
+def lower_bound_of(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
     """The largest of these bounds on the bins: total size, and two families of dual-feasible functions.
 
     u(k): x -> x if x * (k + 1) is a multiple of the capacity, else capacity * floor((k + 1) x / capacity) / k.
     v(t): x -> capacity if x > capacity - t, 0 if x < t, else x, for t up to half the capacity.
     """
-    if len(lengths) == 0:
+    if len(sizes) == 0:
         return 0
-    sizes, counts = np.unique(np.asarray(lengths, np.int64), return_counts=True)
     best = -(-int((sizes * counts).sum()) // capacity)
     for k in range(1, 21):  # sums are scaled by k, to stay whole
         scaled = np.where(sizes * (k + 1) % capacity == 0, sizes * k, capacity * (sizes * (k + 1) // capacity))
@@ -104,44 +108,9 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def fill_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """The bin of each piece: bin by bin, largest piece first, then a piece or a pair that fills the rest exactly, else the best fit."""
-    places: list[list[int]] = [[] for _ in range(capacity + 1)]
-    for i in np.argsort(lengths, kind="stable")[::-1].tolist():
-        places[int(lengths[i])].append(i)
-    mask = sum(1 << s for s, p in enumerate(places) if p)
-    out, used = np.empty(len(lengths), np.int64), 0
-    while mask:
-        room, largest = capacity, mask.bit_length() - 1
-        chosen = [largest]
-        while chosen:
-            for s in chosen:
-                out[places[s].pop()] = used
-                room -= s
-                if not places[s]:
-                    mask &= ~(1 << s)
-            fits = mask & ((1 << (room + 1)) - 1)
-            if not room or not fits:
-                break
-            best = fits.bit_length() - 1
-            chosen, s = [best], best
-            while best < room and 2 * s >= room:
-                if fits >> (room - s) & 1 and (2 * s != room or len(places[s]) > 1):
-                    chosen = [s, room - s]
-                    break
-                s = (fits & ((1 << s) - 1)).bit_length() - 1
-                if s < 0:
-                    break
-        used += 1
-    return out
-
-
 def pack_part(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Bins, offsets, whether each piece's bin closes, and the bound."""
     bins, bound = best_fit_decreasing(lengths, capacity), lower_bound(lengths, capacity)
-    if bins.max() + 1 > bound:  # a gap: bins filled one by one may close it
-        other = fill_decreasing(lengths, capacity)
-        bins = other if other.max() < bins.max() else bins
     n = int(bins.max()) + 1
     fill = np.bincount(bins, lengths, n).astype(np.int64)
     order = np.argsort(bins, kind="stable")
@@ -158,11 +127,11 @@ def pack_part(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
     return bins, offsets, closed[bins], bound
 
 
-def _packer(last: bool, capacity: int):
+def _packer(capacity: int):
     def run(pieces: pa.Table) -> pa.Table:
         pieces = pieces.combine_chunks().sort_by([("length", "descending"), ("row", "ascending")])
         bins, offsets, closed, bound = pack_part(pieces.column("length").to_numpy(), capacity)
-        for name, values in (("bin", bins), ("offset", offsets), ("closed", closed | last), ("part_bound", np.full(len(bins), bound, np.int64))):
+        for name, values in (("bin", bins), ("offset", offsets), ("closed", closed), ("part_bins", np.full(len(bins), bins.max() + 1, np.int64)), ("part_bound", np.full(len(bins), bound, np.int64))):
             pieces = pieces.append_column(name, pa.array(values))
         return pieces
 
@@ -170,36 +139,36 @@ def _packer(last: bool, capacity: int):
 
 
 def pack(pieces: DataFrame, capacity: int = 1024, scratch: Scratch | None = None) -> DataFrame:
-    """``pieces`` with sequence_id, offset, and the round and bound of the part that placed them.
+    """``pieces`` with sequence_id, offset, and the round, bins and bound of the part that placed them.
 
     Pieces of full length are sequences already. No piece is dropped or capped; a task never holds more
-    than about PART_PIECES pieces. Repeated rows are packed one by one.
+    than about PART_PIECES pieces. Repeated rows are packed one by one. An exchange follows as long as the last one
+    needed fewer bins for its pieces than they had before, and other parts are left to exchange with.
     """
     spark = pieces.sparkSession
     scratch = scratch or Scratch(spark, "packing")
     pieces = scratch.table(pieces.withColumn("row", F.monotonically_increasing_id()))
     names = [c for c in pieces.columns if c != "row"]
+    one = F.lit(1).cast("long")
     # rows of the table have unique places, and so full sequences have unique numbers
-    full = pieces.where(F.col("length") == capacity).select(*names, (-F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).alias("round"), F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("part_bound"))
-    opened = pieces.where(F.col("length") < capacity)
-    done = [full]
+    full = pieces.where(F.col("length") == capacity).select(*names, (-F.col("row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).alias("round"), F.lit(0).cast("long").alias("part"), one.alias("part_bins"), one.alias("part_bound"))
+    opened, done, k, before = pieces.where(F.col("length") < capacity), [full], 0, None
     kinds = {f.name: f.dataType.simpleString() for f in pieces.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*names, "row"]) + ", part long, bin long, offset long, closed boolean, part_bound long"
-    for k in range(1, ROUNDS + 2):
-        n = opened.count()
-        if n == 0:
-            break
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*names, "row"]) + ", part long, bin long, offset long, closed boolean, part_bins long, part_bound long"
+    run = _packer(capacity)
+    while n := opened.count():
+        k += 1
         parts = -(-n // PART_PIECES)
-        last = k == ROUNDS + 1 or parts == 1
-
-        run = _packer(last, capacity)
         dealt = opened.select(*names, "row", F.pmod(F.xxhash64("row", F.lit(k)), F.lit(parts)).alias("part"))
         packed = scratch.table(dealt.groupBy("part").applyInArrow(run, schema))
         number = F.lit(k << 54) + F.shiftleft(F.col("part"), 20) + F.col("bin")
-        done.append(packed.where("closed").select(*names, number.alias("sequence_id"), "offset", F.lit(k).alias("round"), "part", "part_bound"))
-        if last:
+        placed = lambda rows, number=number, k=k: rows.select(*names, number.alias("sequence_id"), "offset", F.lit(k).alias("round"), "part", "part_bins", "part_bound")
+        used = packed.where("offset = 0").agg(F.count("*"), F.count(F.when(~F.col("closed"), 1))).first()
+        if parts == 1 or (before is not None and used[0] >= before):
+            done.append(placed(packed))
             break
-        opened = packed.where("not closed").select(*names, "row")
+        done.append(placed(packed.where("closed")))
+        opened, before = packed.where("not closed").select(*names, "row"), used[1]
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
@@ -218,13 +187,3 @@ def certificate(packed: DataFrame, capacity: int = 1024) -> dict[str, int]:
     lengths = {r["length"]: r["count"] for r in histogram}
     sizes = np.array(sorted(lengths), np.int64)
     return {"sequences": used, "bound": lower_bound_of(sizes, np.array([lengths[s] for s in sizes.tolist()], np.int64), capacity)}
-
-
-def lower_bound_of(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
-    """``lower_bound`` of a histogram; whole pieces of full length fill a bin each."""
-    best = -(-int((sizes * counts).sum()) // capacity) if len(sizes) else 0
-    for t in np.unique(np.minimum(sizes, capacity - sizes)):
-        if 0 < t <= capacity // 2:
-            cut = np.where(sizes > capacity - t, capacity, np.where(sizes < t, 0, sizes))
-            best = max(best, -(-int((cut * counts).sum()) // capacity))
-    return best

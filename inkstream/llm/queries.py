@@ -38,7 +38,7 @@ def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), CONTEXT)
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "round", "part", "part_bins", "part_bound")
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

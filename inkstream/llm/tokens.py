@@ -22,8 +22,9 @@ from .common import map_arrow, text_column, utf8
 
 #: Fixed value: the split pattern of this family of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts with other code points take the slow path: libraries' Unicode versions differ beyond this range.
-_BEYOND = re.compile("[^\x00-ԯ]")
+#: Code points that newer Unicode versions made letters or numbers, and the planes most of them lie in.
+#: Texts with one of them are split by the encoder itself; a sweep over all others holds the splitters equal.
+_NEWER = re.compile("[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7e2\ua7f1\uab6c\uab6d\U00010000-\U0001efff\U0002b000-\U0010ffff]")
 #: Pieces kept with their counts in one worker, and the longest piece that is kept.
 CACHE_PIECES, CACHE_LENGTH = 400_000, 48
 
@@ -59,7 +60,7 @@ class Bpe:
                 s = token.decode("utf-8")
             except UnicodeDecodeError:
                 continue
-            if not _BEYOND.search(s) and self.split(s) == [s] and self.core.encode_single_piece(token) == [i]:
+            if not _NEWER.search(s) and self.split(s) == [s] and self.core.encode_single_piece(token) == [i]:
                 out[s] = 1
         return out
 
@@ -83,7 +84,7 @@ class Bpe:
 
     def count(self, text: str) -> int:
         """len(ids(text)): pre-tokens that are whole tokens count one, only the rest are merged."""
-        if _BEYOND.search(text):
+        if _NEWER.search(text):
             return len(self.ids(text))
         n, parts = 0, [text]
         if self.at_special and self.at_special.search(text):

@@ -18,13 +18,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, text_column
+from .common import Scratch, flagged, map_arrow, text_column
 
 #: Frame magics of the format.
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 #: An archive is closed at so many bytes, and a dictionary is trained on so many bytes of its first records.
 ARCHIVE_BYTES, TRAIN_BYTES, DICTIONARY_BYTES = 8 << 20, 1 << 20, 16 << 10
-RECORD_LIMIT = 1 << 30
+RECORD_LIMIT, DICTIONARY_LIMIT = 1 << 30, 16 << 20
 TYPES = {"response": "application/http; msgtype=response", "revisit": "application/http; msgtype=response"}
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, payload binary"
 
@@ -44,7 +44,10 @@ def record_id(page_id: int | None) -> str:
 def page_of(rid: str) -> int | None:
     if not (rid.startswith("<urn:uuid:") and rid.endswith(">")):
         raise WarcError(f"record id {rid!r}")
-    x = uuid.UUID(rid[10:-1]).int
+    try:
+        x = uuid.UUID(rid[10:-1]).int
+    except ValueError as e:
+        raise WarcError(f"record id {rid!r}") from e
     if x >> 96:
         return None
     n = ((x >> 64) & 3) << 62 | (x & (2**62 - 1))
@@ -72,7 +75,10 @@ def _headers(data: bytes, what: str) -> tuple[str, dict[str, str], int]:
     end = data.find(b"\r\n\r\n")
     if end < 0:
         raise WarcError(f"{what}: head doesn't end")
-    first, *lines = data[:end].decode("utf-8").split("\r\n")
+    try:
+        first, *lines = data[:end].decode("utf-8").split("\r\n")
+    except UnicodeDecodeError as e:
+        raise WarcError(f"{what}: head is no UTF-8") from e
     out = {}
     for line in lines:
         name, colon, value = line.partition(":")
@@ -115,8 +121,14 @@ def decode_record(data: bytes) -> tuple:
         raise WarcError("a revisit with a payload")
     if not digest.startswith("sha1:"):
         raise WarcError(f"payload digest {digest!r}")
+    if kind == "revisit" and "warc-refers-to" not in headers:
+        raise WarcError("a revisit that refers to no record")
     refers = page_of(headers["warc-refers-to"]) if kind == "revisit" else None
-    return page_of(headers["warc-record-id"]), size, base64.b32decode(digest[5:]).hex(), kind, refers, headers.get("warc-target-uri"), payload if kind == "response" else None
+    try:
+        sha = base64.b32decode(digest[5:]).hex()
+    except ValueError as e:
+        raise WarcError(f"payload digest {digest!r}") from e
+    return page_of(headers["warc-record-id"]), size, sha, kind, refers, headers.get("warc-target-uri"), payload if kind == "response" else None
 
 
 def train(records: list[bytes]) -> bytes | None:
@@ -184,15 +196,20 @@ def frames(archive: bytes):
             raise WarcError("dictionary is cut off")
         packed, at = bytes(view[8 : 8 + size]), 8 + size
         if packed[:4] == struct.pack("<I", FRAME_MAGIC):
-            packed = zstandard.ZstdDecompressor().decompress(packed, max_output_size=RECORD_LIMIT)
+            try:
+                packed = zstandard.ZstdDecompressor().decompress(packed, max_output_size=DICTIONARY_LIMIT)
+            except zstandard.ZstdError as e:
+                raise WarcError(f"dictionary: {e}") from e
         dictionary = zstandard.ZstdCompressionDict(packed)
     decompressor = zstandard.ZstdDecompressor(dict_data=dictionary)
     while at < len(view):
         if len(view) - at >= 8 and 0x184D2A50 <= struct.unpack_from("<I", view, at)[0] <= 0x184D2A5F:
             at += 8 + struct.unpack_from("<I", view, at + 4)[0]  # other skippable frames
+            if at > len(view):
+                raise WarcError("a skippable frame is cut off")
             continue
         d = decompressor.decompressobj(read_across_frames=False)
-        out, start = [], at
+        out, start, size = [], at, 0
         while not d.eof:
             if at >= len(view):
                 raise WarcError(f"frame at byte {start} is cut off")
@@ -201,23 +218,29 @@ def frames(archive: bytes):
                 out.append(d.decompress(piece))
             except zstandard.ZstdError as e:
                 raise WarcError(f"frame at byte {start}: {e}") from e
-            at += len(piece)
+            at, size = at + len(piece), size + len(out[-1])
+            if size > RECORD_LIMIT:
+                raise WarcError(f"frame at byte {start}: a record of more than {RECORD_LIMIT} bytes")
         at -= len(d.unused_data)
         yield b"".join(out)
 
 
 def roles(pages: DataFrame, scratch: Scratch, least: int = 1000) -> DataFrame:
-    """page_id, url, payload, refers_to: non-null for revisits, whose payload goes unwritten but is still digested.
+    """page_id, url, html, refers_to: non-null for revisits, whose payload goes unwritten but is still digested.
 
-    Only digests and ids are grouped, with partial aggregation; groups of one are dropped before the join,
-    which Spark makes a broadcast where the written table of groups is small and splits where a group is hot.
+    Only digests and ids are grouped, with partial aggregation. Pages whose digest a bitmap of the repeated ones
+    clears, small pages among them, are in no join; the others' join splits where a digest is hot.
     """
-    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), text_column("html").alias("html")).withColumn("raw", F.encode("html", "utf-8"))
-    pages = pages.withColumn("bytes", F.octet_length("raw")).withColumn("digest", F.when(F.col("bytes") >= least, F.unhex(F.sha1("raw")))).drop("raw")
+    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), text_column("html").alias("html"))
+    raw = F.encode("html", "utf-8")
+    pages = pages.withColumn("digest", F.when(F.octet_length(raw) >= least, F.unhex(F.sha1(raw)))).withColumn("key", F.xxhash64("digest"))
     groups = pages.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = pages.join(scratch.table(groups), "digest", "left")
+    groups = scratch.table(groups.withColumn("key", F.xxhash64("digest")))
+    marked = flagged(pages, "key", groups, "key", "flag").withColumn("flag", F.col("flag") & F.col("digest").isNotNull())
+    joined = marked.where("flag").join(groups.drop("key"), "digest", "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return joined.select("page_id", "url", "html", F.when(revisit, F.col("keeper")).alias("refers_to"))
+    joined = joined.select("page_id", "url", "html", F.when(revisit, F.col("keeper")).alias("refers_to"))
+    return marked.where("not flag").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")).unionByName(joined)
 
 
 def write_archives(rows: DataFrame) -> DataFrame:

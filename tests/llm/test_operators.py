@@ -52,6 +52,17 @@ def test_whole_tokens_are_proved(library):
     assert len(model.whole) > 20_000 and all(len(library.encode(s, add_special_tokens=False).ids) == 1 for s in some)
 
 
+def test_counts_of_all_code_points():
+    """Each code point but surrogates, within words, numbers and marks: counts, and so splits, are the library's."""
+    model = tokens.bpe(queries.vocabulary())
+    for base in range(0, 0x110000, 256):
+        if 0x30000 < base < 0xE0000:
+            continue
+        text = "".join(f"a{chr(c)}b1{chr(c)}2!{chr(c)}? {chr(c)} " for c in range(base, base + 256) if not 0xD800 <= c <= 0xDFFF)
+        if text:
+            assert model.count(text) == len(model.library.encode(text, add_special_tokens=False).ids), hex(base)
+
+
 def test_packing(docs, empty, library):
     got = collected(packing.pack_documents(docs, queries.vocabulary()))
     want = Counter()
@@ -286,7 +297,7 @@ def test_decontamination_of_few_words(spark, seed):
 
 
 def test_licences(spark, empty):
-    mit = next(t for label, t in licenses.TEMPLATES if t.startswith("Permission is hereby"))
+    mit = next(t for _, _, t in licenses.TEMPLATES if t.startswith("Permission is hereby"))
     worn = mit.replace("free of charge, ", "").replace("publish", "print")
     texts = ["The MIT License and CC-BY; apache  license GNU General Public License.", f"{words(1, 40)}\n{mit}\n{words(2, 20)}", worn, None, "", words(3, 200), "mit mit license license", "Licensed under CC BY-NC 4.0.", " ".join(mit.split()[:12])]
     docs = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1])]
@@ -304,6 +315,45 @@ def test_licences(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def brute_labels(text):
+    """By alignment without seeds: every template's words as a longest common subsequence of each window of the text."""
+    import difflib
+
+    w = ALNUM_RE.findall(fold(text))
+    found = []
+    for t, x in zip(licenses.TEMPLATES, licenses.prepared(), strict=True):
+        words = ALNUM_RE.findall(fold(t[2]))
+        blocks = [b for b in difflib.SequenceMatcher(None, w, words, autojunk=False).get_matching_blocks() if b.size >= licenses.GRAM]
+        covered = {b.b + j for b in blocks for j in range(b.size)}
+        if len(covered) >= x.cover * x.length and x.name <= covered and len(covered & x.own) >= x.cover * len(x.own):
+            found.append((len(covered), x.label, {b.a + j for b in blocks for j in range(b.size)}))
+    kept = []
+    for n, label, at in sorted(found, key=lambda x: -x[0]):
+        if all(2 * len(at & other) < min(len(at), len(other)) for _, _, other in kept):
+            kept.append((n, label, at))
+    return {label for _, label, _ in kept}
+
+
+def test_labels_of_every_notice_and_of_prose(spark):
+    """Each template, plain and with a word in twelve changed, has its own label alone; prose near a notice has none."""
+    docs, want = [], {}
+    for i, (label, _, text) in enumerate(licenses.TEMPLATES):
+        w = text.split()
+        docs.append((i, f"{words(i, 30)} {text} {words(100 + i, 30)}"))
+        want[i] = {label}
+        if len(w) >= 40:
+            keep = set(next(iter([x for x in licenses.prepared() if x.label == label])).name)
+            worn = " ".join(f"worn{j}" if j % 12 == 11 and "lic" not in x.lower() and "gnu" not in x.lower() and j not in keep else x for j, x in enumerate(w))
+            docs.append((1000 + i, f"{words(200 + i, 30)} {worn} {words(300 + i, 30)}"))
+            want[1000 + i] = {label}
+    prose = ["Released under the Apache License", "The album was released under the title Blue Moon", "This work is licensed to the museum until 2030", "Permission is hereby granted to enter the garden", "an international license for drivers"]
+    docs += [(2000 + i, t) for i, t in enumerate(prose)]
+    want |= {2000 + i: {"apache"} if i == 0 else set() for i in range(len(prose))}
+    got = {r["doc_id"]: {*filter(None, r["labels"].split(","))} - ({"cc-by"} if "CC BY-" in dict(docs)[r["doc_id"]] else set()) for r in collected(licenses.scan(spark.createDataFrame(docs, "doc_id int, text string")))}
+    assert {k: (got[k], v) for k, v in want.items() if got[k] != v} == {}
+    assert all(brute_labels(dict(docs)[i]) == {x for x in want[i]} for i in want if i < 1000)
+
+
 # --- op8
 
 
