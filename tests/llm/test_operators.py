@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from inkstream.llm import chaining, common, compression, licenses, minhash, packing, perplexity, queries, sharding, tokens, warc, winnowing
 from inkstream.llm.textcore import ALNUM_RE, SPACED_RE, fold
+from pyspark.sql import functions as F
 
 from .conftest import rows, words
 
@@ -507,29 +508,77 @@ def test_word_statistics(docs, empty):
     assert perplexity.quality_rules(empty).count() == 0
 
 
-def test_models_are_distributions():
-    text = np.frombuffer((words(1, 400) + ". A1!").encode(), np.uint8)
-    keys, n = np.unique(perplexity.codes(text, np.array([0, len(text)])), return_counts=True)
-    m = perplexity.KneserNey(keys, n)
-    for context in (keys[0] >> 6, keys[len(keys) // 2] >> 6, 12345):
-        assert abs(np.exp(m.score((np.uint32(context) << np.uint32(6)) + np.arange(64, dtype=np.uint32)).astype(float)).sum() - 1) < 1e-3
+def brute_models(rows):
+    """Modified Kneser-Ney over text counts of 5-grams, in plain dictionaries; log perplexity of each row that passes."""
+    def grams_of(t):
+        s = " " * 4 + "".join(" " if c in " \t\n\v\f\r" else "0" if c in "0123456789" else c for c in t)
+        return [s[i : i + 5] for i in range(len(s) - 4)]
 
-
-def test_counts_over_all_documents(docs):
-    got = {(r["lang"], r["code"]): r["n"] for r in collected(perplexity.counts(docs))}
-    want = Counter()
-    for i, t, *_ in rows():
-        b = np.frombuffer((t or "").encode(), np.uint8)
-        for c in perplexity.codes(b, np.array([0, len(b)])).tolist():
-            want[("" if i == 3 else "en", c)] += 1
-    assert got == dict(want)
+    per = {}
+    for _, t, lang in rows:
+        per.setdefault(lang or "", Counter()).update(set(grams_of(t)))
+    logp = {}
+    for lang, top in per.items():
+        levels, alone = {5: top}, {5: {g for g, v in top.items() if v == 1}}
+        for m in (4, 3, 2, 1):
+            levels[m] = Counter(g[1:] for g in levels[m + 1])
+            alone[m] = {g[1:] for g in levels[m + 1] if levels[m][g[1:]] == 1 and g in alone[m + 1]}
+        p = q = {"": 1 / (len(levels[1]) + 1)}
+        for m in range(1, 6):
+            c = levels[m]
+            n = [0] + [sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
+            if n[1] and n[2] and n[3]:
+                y = n[1] / (n[1] + 2 * n[2])
+                d = [0] + [max(0.01, min(i - 0.01, i - (i + 1) * y * n[i + 1] / n[i])) for i in (1, 2, 3)]
+            else:
+                d = [0, 0.5, 0.5, 0.5]
+            total, rest = Counter(), Counter()
+            for g, v in c.items():
+                total[g[:-1]] += v
+                rest[g[:-1]] += d[min(v, 3)]
+            left = {g: rest[g[:-1]] / total[g[:-1]] for g in c}
+            seen = {g: left[g] * p[g[1:]] + (v - d[min(v, 3)]) / total[g[:-1]] for g, v in c.items()}
+            p, q = seen, {g: seen[g] if g not in alone[m] else q[g[1:]] * (1 if total[g[:-1]] == 1 else left[g]) for g in c}
+        logp[lang] = {g: np.log(q[g]) for g in top}
+    return [-np.mean([logp[lang or ""][g] for g in grams_of(t)]) for _, t, lang in rows]
+
+
+@pytest.mark.parametrize("shard", [1 << 22, 300])
+def test_perplexity_is_kneser_ney(spark, monkeypatch, shard):
+    """Scores, bands and verdicts against dictionaries, with one shard and with many."""
+    monkeypatch.setattr(perplexity, "SHARD", shard)
+    r = np.random.default_rng(5)
+    cyrillic = [chr(c) for c in range(0x430, 0x450)]
+    texts = [(i, " ".join("".join(r.choice(list("abcdeé"), int(r.integers(1, 5)))) for _ in range(80)) + f". {i}", "en") for i in range(25)]
+    texts += [(100 + i, " ".join("".join(r.choice(cyrillic[:6], int(r.integers(1, 5)))) for _ in range(80)), None if i % 2 else "ru") for i in range(20)]
+    texts += [(0, texts[0][1], "en"), (200, "".join(chr(0x4E00 + int(x)) + " " for x in r.integers(0, 3000, 90)), "ru")]
+    got = {r["doc_id"]: r for r in collected(perplexity.quality_rules(spark.createDataFrame(texts, "doc_id long, text string, lang string")))}
+    want = brute_models(texts)
+    for (i, _, _), x in zip(texts, want, strict=True):
+        assert abs(got[i]["log_perplexity"] - x) < 1e-4
+    for lang in ("en", "ru", ""):
+        bins = sorted(round(x * perplexity.BINS) for (_, _, y), x in zip(texts, want, strict=True) if (y or "") == lang)
+        middle = np.median(bins)
+        half = max(perplexity.LEAST, perplexity.WIDTH * 1.4826 * np.median(np.abs(np.array(bins) - middle)) / perplexity.BINS)
+        for (i, t, y), x in zip(texts, want, strict=True):
+            if (y or "") == lang:
+                room = half + perplexity.SHORT / len(t) ** 0.5
+                assert abs(got[i]["lower"] - (middle / perplexity.BINS - room)) < 0.01 and abs(got[i]["upper"] - (middle / perplexity.BINS + room)) < 0.01
+                assert got[i]["kept"] == (got[i]["lower"] <= got[i]["log_perplexity"] <= got[i]["upper"])
+    assert not got[200]["kept"]
 
 
 def test_bands_reject_the_unlike(spark):
+    """Symbol strings, and gibberish of the same non-Latin letters as the prose around it, leave the band."""
+    r = np.random.default_rng(4)
+    letters = [chr(c) for c in range(0x430, 0x450)]
+    syllables = ["".join(r.choice(letters, 2)) for _ in range(40)]
     normal = [(i, words(i, 200), "en") for i in range(60)]
+    normal += [(1000 + i, " ".join("".join(r.choice(syllables, int(r.integers(1, 4)))) for _ in range(200)), "ru") for i in range(60)]
     odd = [(100, " ".join(["zq7%Xw"] * 10 + [f"{i}#Q{i * 7}ZZ&J" for i in range(190)]), "en")]
+    odd += [(2000, " ".join("".join(r.choice(letters, int(r.integers(2, 8)))) for _ in range(200)), "ru")]
     out = {r["doc_id"]: r["kept"] for r in collected(perplexity.quality_rules(spark.createDataFrame(normal + odd, "doc_id long, text string, lang string")))}
-    assert not out[100] and sum(out[i] for i in range(60)) == 60
+    assert not out[100] and not out[2000] and all(out[i] for i, _, _ in normal)
 
 
 # --- op2
@@ -547,6 +596,38 @@ def test_classifier(docs, labels, empty):
     assert compression.classify(empty, labels).count() == 0 and compression.accepted(empty, labels).count() == 0
 
 
+def test_scores_are_those_of_the_whole_tables(spark):
+    """The dictionaries, the calibration and every score again without Spark, on a small table within the sample's bounds."""
+    d, y = (queries.table(spark, "/root/testdata/sf0.01", x) for x in ("documents", "labels"))
+    d = d.where("doc_id < 400")
+    y = y.unionByName(y.where("doc_id = 3").withColumn("quality", 1 - F.col("quality")))  # an id with both labels is no evidence
+    part = lambda i: zlib.crc32(str(i).encode()) % 4
+    texts = {r.doc_id: r.text or "" for r in d.collect()}
+    seen = {}
+    for r in y.collect():
+        seen.setdefault(r.doc_id, set()).add(r.quality)
+    label = {i: next(iter(v)) for i, v in seen.items() if len(v) == 1 and v <= {0, 1} and part(i) != 2}
+    model = compression.Model(*(compression.dictionary([texts[i] for i in sorted(texts) if label.get(i) == c and part(i) != 3]) for c in (1, 0)))
+    good, bad = compression.Sizer(*model.good), compression.Sizer(*model.bad)
+    size = lambda c, t: sum(len(c.compressor.compress(t.encode()[i : i + 4096])) for i in range(0, len(t.encode()), 4096))
+    x = {i: (size(bad, t) - size(good, t)) / max(1, len(t.encode())) for i, t in texts.items()}
+    held = [i for i in sorted(texts) if i in label and part(i) == 3]
+    model.calibrate(np.array([x[i] for i in held]), np.array([float(label[i]) for i in held]))
+    every, rows_ = [label[i] for i in label if part(i) == 3], [label[i] for i in held]
+    model.weights[0] += np.log(sum(every) / (len(every) - sum(every))) - np.log(sum(rows_) / (len(rows_) - sum(rows_)))
+    got = {r["doc_id"]: r["score"] for r in collected(compression.classify(d, y))}
+    assert len(got) == len(texts) and max(abs(got[i] - model.score(np.array([x[i]]))[0]) for i in texts) < 1e-9
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """Whole rows up to so many bytes, also where one id has very many rows."""
+    monkeypatch.setattr(compression, "FIT_BYTES", 5000)
+    d = spark.createDataFrame([(1, words(i, 100)) for i in range(300)] + [(2, words(7, 3000))] + [(i, words(i, 50)) for i in range(3, 60)], "doc_id long, text string")
+    y = spark.createDataFrame([(i, 1) for i in range(1, 60)], "doc_id long, quality int")
+    got = compression.sample(d, y.withColumnRenamed("quality", "y"), 4000).collect()
+    assert got and sum(len(r.text.encode()) for r in got) <= 5000 and {r.text for r in got} <= {r.text for r in d.collect()}
+
+
 def test_dictionaries_are_trained_on_every_sampled_text(monkeypatch):
     seen = []
 
