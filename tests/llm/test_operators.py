@@ -187,6 +187,28 @@ def test_equal_rows_are_split(spark):
     assert len(sizes) == 6 and max(sizes.values()) - min(sizes.values()) < 400
 
 
+def test_nodes_are_cut_at_medians_of_the_widest_dimension(spark):
+    """All dimensions are as wide at first, so sizes are cut; then two sources far apart in dictionary order are."""
+    df = spark.createDataFrame([(i, words(i, 10 + i // 2 % 90), "aaa" if i % 2 else "zzz", "en") for i in range(400)], "doc_id long, text string, source string, lang string")
+    by, sources, sizes = Counter(), {}, {}
+    for r in collected(sharding.kd_shards(df, 4).join(df.select("doc_id", "source"), "doc_id")):
+        by[r["shard"]] += r["size"]
+        sources.setdefault(r["shard"], Counter())[r["source"]] += r["size"]
+        sizes.setdefault(r["shard"] // 2, []).append(r["size"])
+    assert len(by) == 4 and max(by.values()) < 1.02 * min(by.values()) and max(sizes[0]) <= min(sizes[1])
+    assert all(sources[i]["zzz"] < 0.1 * by[i] and sources[i + 1]["aaa"] < 0.1 * by[i + 1] for i in (0, 2))
+    total = sum(by.values())
+    assert {r["shard"] for r in collected(sharding.kd_shards(df, target_bytes=total // 5))} == set(range(5))
+
+
+def test_equal_texts_lie_together(spark):
+    df = spark.createDataFrame([(i, words(i // 8, 30), "s", "en") for i in range(640)], "doc_id long, text string, source string, lang string")
+    where = {}
+    for r in collected(sharding.kd_shards(df, 5)):
+        where.setdefault(r["doc_id"] // 8, set()).add(r["shard"])
+    assert sum(len(x) > 1 for x in where.values()) <= 4
+
+
 # --- op10
 
 
