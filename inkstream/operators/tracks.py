@@ -83,15 +83,25 @@ def solve_assignment(cost: np.ndarray) -> np.ndarray:
 def assign(cost: np.ndarray, limit: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
     """Cheapest one-to-one pairs under ``limit``, and what is left of rows and columns.
 
-    Leaving a row or a column unmatched costs half the limit, so a pair is made only where that pays.
+    Leaving a row or a column unmatched costs half the limit, so a pair is made only where that pays: rows
+    and columns without a pair under the limit stay out, and a pair that is the only one of both is made.
     """
     rows, cols = cost.shape
-    if not rows or not cols:
-        return [], list(range(rows)), list(range(cols))
-    full = np.full((rows + cols, rows + cols), limit / 2)
-    full[:rows, :cols] = cost
-    full[rows:, cols:] = 0
-    to = solve_assignment(full)
-    pairs = [(i, int(to[i])) for i in range(rows) if to[i] < cols and cost[i, to[i]] <= limit]
-    a, b = {i for i, _ in pairs}, {j for _, j in pairs}
-    return pairs, [i for i in range(rows) if i not in a], [j for j in range(cols) if j not in b]
+    pairs: list[tuple[int, int]] = []
+    near = cost < limit
+    if near.any():
+        per_row, per_col = near.sum(1), near.sum(0)
+        a, b = np.nonzero(near)
+        alone = (per_row[a] == 1) & (per_col[b] == 1)
+        pairs = list(zip(a[alone].tolist(), b[alone].tolist(), strict=True))
+        a, b = np.unique(a[~alone]), np.unique(b[~alone])
+        if len(a):
+            full = np.full((len(a) + len(b), len(a) + len(b)), limit / 2)
+            part = cost[np.ix_(a, b)]
+            full[: len(a), : len(b)] = np.where(part < limit, part, 2 * limit)
+            full[len(a) :, len(b) :] = 0
+            to = solve_assignment(full)
+            pairs += [(int(a[i]), int(b[to[i]])) for i in range(len(a)) if to[i] < len(b) and part[i, to[i]] < limit]
+    pairs.sort()
+    done, taken = {i for i, _ in pairs}, {j for _, j in pairs}
+    return pairs, [i for i in range(rows) if i not in done], [j for j in range(cols) if j not in taken]

@@ -124,11 +124,11 @@ def first_segment(i: Inputs) -> DataFrame:
     return i.segments().where("sub_idx > 0").groupBy("box_idx").agg(F.min_by(F.length("text").cast("long"), "sub_idx").alias("first_length"))
 
 
-@query("SELECT box_idx, sub_idx, CASE WHEN lead(box_idx) OVER w = box_idx OR lag(box_idx) OVER w = box_idx THEN concat('text_', lpad(CAST(box_idx AS VARCHAR), 3, '0'), '_', CAST(sub_idx AS VARCHAR), '.png') ELSE concat('text_', lpad(CAST(box_idx AS VARCHAR), 3, '0'), '.png') END AS name FROM segments WHERE box_idx < 999 WINDOW w AS (PARTITION BY box_idx ORDER BY sub_idx)", "segments")
+@query("SELECT box_idx, sub_idx, CASE WHEN lead(box_idx) OVER w = box_idx OR lag(box_idx) OVER w = box_idx THEN concat('text_', lpad(CAST(box_idx AS VARCHAR), CAST(greatest(3, length(CAST(box_idx AS VARCHAR))) AS INT), '0'), '_', CAST(sub_idx AS VARCHAR), '.png') ELSE concat('text_', lpad(CAST(box_idx AS VARCHAR), CAST(greatest(3, length(CAST(box_idx AS VARCHAR))) AS INT), '0'), '.png') END AS name FROM segments WINDOW w AS (PARTITION BY box_idx ORDER BY sub_idx)", "segments")
 def segment_names(i: Inputs) -> DataFrame:
     w = Window.partitionBy("box_idx").orderBy("sub_idx")
     several = F.coalesce(F.lead("box_idx").over(w), F.lag("box_idx").over(w)).isNotNull()
-    return i.segments().where("box_idx < 999").withColumn("several", several).select("box_idx", "sub_idx", tx.segment_name("box_idx", "sub_idx", "several").alias("name"))
+    return i.segments().withColumn("several", several).select("box_idx", "sub_idx", tx.segment_name("box_idx", "sub_idx", "several").alias("name"))
 
 
 # --- heatmaps ------------------------------------------------------------------------------------
@@ -195,7 +195,7 @@ def _components(i: Inputs) -> DataFrame:
     return heat.components(heat.merge_or(i.heat(), 0.2))
 
 
-@query(None)
+@query(_COMPONENTS.strip() + " SELECT image_id, y, x, CAST(label AS BIGINT) AS label FROM comp", "heat")
 def connected_components(i: Inputs) -> DataFrame:
     return _components(i)
 
@@ -208,7 +208,10 @@ def component_boxes(i: Inputs) -> DataFrame:
     return b.select("image_id", "label", "pixels", *[v.alias(n) for v, n in zip(grown, ("x1", "y1", "x2", "y2"), strict=True)])
 
 
-@query(None)
+_BOXES = ", box AS (SELECT image_id, label, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM comp GROUP BY image_id, label), px AS (SELECT image_id, y, x, CAST(max(val) AS DOUBLE) AS v FROM heat WHERE val > CAST(0.2 AS FLOAT) GROUP BY image_id, y, x)"
+
+
+@query(_COMPONENTS.strip() + _BOXES + " SELECT b.image_id, CAST(label AS BIGINT) AS label, round(avg(v), 6) AS confidence FROM box b JOIN px ON px.image_id = b.image_id AND px.x >= x1 AND px.x < x2 AND px.y >= y1 AND px.y < y2 GROUP BY b.image_id, label", "heat")
 def box_confidence(i: Inputs) -> DataFrame:
     return heat.box_confidence(heat.component_boxes(_components(i)), i.heat(), 0.2).withColumn("confidence", F.round("confidence", 6))
 
@@ -479,11 +482,13 @@ def frame_cache(i: Inputs) -> DataFrame:
     return rank.newest(i.detection().select("stream_id", "frame_id").distinct(), ["stream_id"], 5).withColumn("age", F.col("age").cast("long"))
 
 
-@query("WITH f AS (SELECT DISTINCT stream_id, frame_id FROM detection), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id DESC) AS n FROM f WHERE frame_id < 300) WHERE n <= 5), w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id DESC) AS n FROM f WHERE frame_id < 303) WHERE n <= 5) SELECT stream_id, frame_id FROM o WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.stream_id = o.stream_id AND w.frame_id = o.frame_id)", "detection")
+@query("WITH f AS (SELECT DISTINCT stream_id, frame_id FROM detection), l AS (SELECT *, lead(frame_id, 5) OVER (PARTITION BY stream_id ORDER BY frame_id) AS dropped_at FROM f) SELECT stream_id, frame_id, dropped_at FROM l WHERE dropped_at IS NOT NULL", "detection")
 def cache_dropped(i: Inputs) -> DataFrame:
+    """The frames that a cache of the newest five drops, and the frame at which each is dropped."""
     f = i.detection().select("stream_id", "frame_id").distinct()
-    old, new = (rank.newest(f.where(F.col("frame_id") < n), ["stream_id"], 5).select("stream_id", "frame_id") for n in (300, 303))
-    return old.join(new, ["stream_id", "frame_id"], "left_anti")
+    kept = rank.newest(f, ["stream_id"], 5).select("stream_id", "frame_id")
+    at = F.lead("frame_id", 5).over(Window.partitionBy("stream_id").orderBy("frame_id"))
+    return f.withColumn("dropped_at", at).join(kept, ["stream_id", "frame_id"], "left_anti")
 
 
 @query("SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(v.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(v.embedding, lambda x: CAST(x AS DOUBLE))) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) WHERE rank <= 5")
@@ -550,9 +555,10 @@ def heat_in_tiles(i: Inputs) -> DataFrame:
     return i.heat().where(F.col("val") > F.lit(0.5).cast("float")).join(F.broadcast(tiles), "tile_id").select("image_id", "y", "x", "tile_id", (F.col("x") - F.col("x0")).alias("lx"))
 
 
-@query("SELECT s.box_idx, s.sub_idx, coalesce(b.x1, 0) AS x, coalesce(b.y1, 0) AS y FROM segments s LEFT JOIN boxes b ON b.image_id = 0 AND b.box_idx = s.box_idx - 1", "segments", "boxes")
+@query("SELECT s.box_idx, s.sub_idx, coalesce(b.x1, 0) AS x, coalesce(b.y1, 0) AS y FROM segments s LEFT JOIN boxes b ON b.image_id = s.box_idx // 16 AND b.box_idx = s.box_idx % 16 - 1", "segments", "boxes")
 def segment_places(i: Inputs) -> DataFrame:
-    b = i.boxes().where("image_id = 0").select((F.col("box_idx") + 1).cast("long").alias("box_idx"), "x1", "y1")
+    """Each text's windows at its box: 16 texts to an image, boxes numbered from the one after."""
+    b = i.boxes().select((F.col("image_id") * 16 + F.col("box_idx") + 1).cast("long").alias("box_idx"), "x1", "y1").where("box_idx % 16 > 0")
     return i.segments().join(b, "box_idx", "left").select("box_idx", "sub_idx", F.coalesce("x1", F.lit(0)).alias("x"), F.coalesce("y1", F.lit(0)).alias("y"))
 
 
@@ -562,15 +568,15 @@ def capable_pipelines(i: Inputs) -> DataFrame:
     return trk.capable(need, i.table("supplier").select(F.col("s_nationkey").alias("model")))
 
 
-@query("SELECT c_nationkey AS track_id, 'left' AS side_of FROM customer WHERE c_nationkey < 15 GROUP BY 1 UNION ALL SELECT n_nationkey, 'right' FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey < 15)")
+@query("SELECT o_custkey AS track_id, 'left' AS side_of FROM orders GROUP BY 1 UNION ALL SELECT c_custkey, 'right' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def union_tracks(i: Inputs) -> DataFrame:
-    left = i.table("customer").where("c_nationkey < 15").select(F.col("c_nationkey").alias("track_id")).distinct().withColumn("side_of", F.lit("left"))
-    return trk.union_tracks(left, i.table("nation").select(F.col("n_nationkey").alias("track_id"), F.lit("right").alias("side_of")))
+    left = i.table("orders").select(F.col("o_custkey").alias("track_id")).distinct().withColumn("side_of", F.lit("left"))
+    return trk.union_tracks(left, i.table("customer").select(F.col("c_custkey").alias("track_id"), F.lit("right").alias("side_of")))
 
 
-@query("SELECT n_nationkey AS track_id FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 8)")
+@query("SELECT c_custkey AS track_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def except_tracks(i: Inputs) -> DataFrame:
-    return trk.except_tracks(i.table("nation").select(F.col("n_nationkey").alias("track_id")), i.table("supplier").where("s_suppkey < 8").select(F.col("s_nationkey").alias("track_id")))
+    return trk.except_tracks(i.table("customer").select(F.col("c_custkey").alias("track_id")), i.table("orders").select(F.col("o_custkey").alias("track_id")))
 
 
 @query("SELECT DISTINCT class, CAST(dense_rank() OVER (ORDER BY class) - 1 AS INT) AS colour FROM detection", "detection")
@@ -625,9 +631,9 @@ def versions_and_levels(i: Inputs) -> DataFrame:
     return i.table("events").select("event_id", tx.model_version(name).alias("version"), tx.log_level(level).alias("level"))
 
 
-@query("SELECT doc_id, hex(substring(text, 1, 20)) AS bytes FROM documents")
+@query("SELECT doc_id, hex(text) AS bytes FROM documents")
 def hex_dump(i: Inputs) -> DataFrame:
-    return i.table("documents").select("doc_id", tx.hex_bytes(F.substring("text", 1, 20)).alias("bytes"))
+    return i.table("documents").select("doc_id", tx.hex_bytes("text").alias("bytes"))
 
 
 # --- timing --------------------------------------------------------------------------------------

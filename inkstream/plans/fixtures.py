@@ -58,9 +58,9 @@ class Inputs:
         )
 
     def segments(self) -> DataFrame:
-        """box_idx, sub_idx, text: overlapping windows of a document's first characters."""
-        docs = self.table("documents").select(F.col("doc_id").alias("box_idx"), "text", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("sub_idx"))
-        return docs.where(F.length("text") > F.col("sub_idx") * 16).select("box_idx", "sub_idx", F.substring(F.col("text"), F.col("sub_idx") * 16 + 1, F.lit(20)).alias("text"))
+        """box_idx, sub_idx, text: overlapping windows over a document's whole text."""
+        docs = self.table("documents").where(F.length("text") > 0).select(F.col("doc_id").alias("box_idx"), "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 16).cast("int"))).alias("sub_idx"))
+        return docs.select("box_idx", "sub_idx", F.substring(F.col("text"), F.col("sub_idx") * 16 + 1, F.lit(20)).alias("text"))
 
     def files(self) -> DataFrame:
         """folder, name, folder_mtime, mtime: a listing of screenshots, a third of them processed."""
@@ -103,7 +103,7 @@ SQL = {
     "heat": """SELECT CAST(floor(vec_id / 4.0) AS BIGINT) AS image_id, CAST(vec_id % 4 AS INT) AS tile_id,
  CAST(floor(p / 8.0) + 6 * floor((vec_id % 4) / 2.0) AS INT) AS y, CAST(p % 8 + 6 * ((vec_id % 4) % 2) AS INT) AS x, abs(v) AS val
  FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings)""",
-    "segments": "SELECT doc_id AS box_idx, CAST(k AS INT) AS sub_idx, substring(text, k * 16 + 1, 20) AS text FROM documents, range(5) r(k) WHERE length(text) > k * 16",
+    "segments": "SELECT box_idx, CAST(k AS INT) AS sub_idx, substring(text, k * 16 + 1, 20) AS text FROM (SELECT doc_id AS box_idx, text, unnest(range((length(text) + 15) // 16)) AS k FROM documents)",
     "files": """SELECT concat('/shots/', CAST(CAST(ts AS DATE) AS VARCHAR)) AS folder,
  concat('shot_', CAST(event_id AS VARCHAR), CASE WHEN event_id % 3 = 0 THEN '_ocr' ELSE '' END, '.jpg') AS name,
  max(ts) OVER (PARTITION BY CAST(ts AS DATE)) AS folder_mtime, ts AS mtime FROM events""",

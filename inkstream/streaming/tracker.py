@@ -1,5 +1,9 @@
 """Multi-object tracking by association: boxes are followed by a constant-velocity Kalman filter and matched
-to sure detections first, to unsure ones next. State is kept per stream; classes never match each other."""
+to sure detections first, to unsure ones next. State is kept per stream; classes never match each other.
+
+A new track is shown at once and followed like any other, but it must be seen again in the next frame, else it is
+forgotten without a word. A track seen twice that is lost comes back by a sure detection, or is removed after a while.
+Frame numbers without detections are frames without detections: they age what is lost."""
 
 from __future__ import annotations
 
@@ -7,13 +11,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.tracks import assign
 
-#: Score of sure detections and of new tracks; limits of the three matchings; frames that a lost track is kept;
+#: Score of sure detections and of new tracks; limits of the two matchings; frames that a lost track is kept;
 #: distance of duplicates.
-SURE, START, FIRST, SECOND, THIRD, KEEP, SAME = 0.5, 0.3, 0.8, 0.5, 0.7, 30, 0.15
+SURE, START, FIRST, SECOND, KEEP, SAME = 0.5, 0.3, 0.8, 0.5, 30, 0.15
 POSITION, VELOCITY = 1 / 20, 1 / 160
 OUTPUT = "stream_id int, frame_id long, track_id long, class string, state string, x double, y double, w double, h double, score double"
 
@@ -31,13 +37,20 @@ class Kalman:
         std = np.array([2 * POSITION * h, 2 * POSITION * h, 1e-2, 2 * POSITION * h, 10 * VELOCITY * h, 10 * VELOCITY * h, 1e-5, 10 * VELOCITY * h])
         return Kalman(np.r_[z, np.zeros(4)], np.diag(std**2))
 
-    def predict(self) -> None:
-        h = self.mean[3]
-        std = np.array([POSITION * h, POSITION * h, 1e-2, POSITION * h, VELOCITY * h, VELOCITY * h, 1e-5, VELOCITY * h])
-        f = np.eye(8)
-        f[:4, 4:] = np.eye(4)
-        self.mean = f @ self.mean
-        self.cov = f @ self.cov @ f.T + np.diag(std**2)
+    @staticmethod
+    def predict(all_of: list["Kalman"]) -> None:
+        """One step of each: with F = [[1, 1], [0, 1]] in blocks, F cov F' is sums of blocks."""
+        if not all_of:
+            return
+        mean, cov = np.stack([k.mean for k in all_of]), np.stack([k.cov for k in all_of])
+        h = mean[:, 3].copy()
+        mean[:, :4] += mean[:, 4:]
+        cov[:, :4] += cov[:, 4:]
+        cov[:, :, :4] += cov[:, :, 4:]
+        std = np.repeat(h[:, None], 8, 1) * np.array([POSITION, POSITION, 0, POSITION, VELOCITY, VELOCITY, 0, VELOCITY]) + np.array([0, 0, 1e-2, 0, 0, 0, 1e-5, 0])
+        cov[:, np.arange(8), np.arange(8)] += std**2
+        for i, k in enumerate(all_of):
+            k.mean, k.cov = mean[i], cov[i]
 
     def update(self, z: np.ndarray, score: float) -> None:
         h = self.mean[3]
@@ -63,11 +76,10 @@ class Track:
     start: int
     frame: int
     state: str = "New"
-    confirmed: bool = False
 
 
 def _z(b: np.ndarray) -> np.ndarray:
-    return np.array([b[0] + b[2] / 2, b[1] + b[3] / 2, b[2] / b[3], b[3]])
+    return np.array([b[0] + b[2] / 2, b[1] + b[3] / 2, b[2] / max(b[3], 1e-6), b[3]])
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -92,38 +104,31 @@ class ClassTracker:
     def update(self, frame: int, boxes: np.ndarray, scores: np.ndarray, new_id) -> list[Track]:
         corners = np.c_[boxes[:, :2], boxes[:, :2] + boxes[:, 2:]] if len(boxes) else np.zeros((0, 4))
         sure, unsure = np.flatnonzero(scores >= SURE), np.flatnonzero(scores < SURE)
-        confirmed = [t for t in self.tracked if t.confirmed]
-        fresh = [t for t in self.tracked if not t.confirmed]
-        pool = confirmed + self.lost
-        for t in pool:
-            t.filter.predict()
+        pool = self.tracked + self.lost
+        Kalman.predict([t.filter for t in pool])
         where = lambda ts: np.array([t.filter.box() for t in ts]).reshape(-1, 4)
 
         def take(t: Track, d: int) -> None:
             t.filter.update(_z(boxes[d]), float(scores[d]))
-            t.box, t.score, t.frame, t.state, t.confirmed = boxes[d], float(scores[d]), frame, "Tracked", True
+            t.box, t.score, t.frame, t.state = boxes[d], float(scores[d]), frame, "Tracked"
 
         pairs, rest, over = assign(_distance(where(pool), corners[sure]), FIRST)
         for a, b in pairs:
             take(pool[a], int(sure[b]))
-        second = [pool[a] for a in rest if pool[a].state != "Lost"]
+        second = [pool[a] for a in rest if pool[a].state == "Tracked"]
         pairs, rest2, _ = assign(_distance(where(second), corners[unsure]), SECOND)
         for a, b in pairs:
             take(second[a], int(unsure[b]))
+        lost_now = {second[a].id for a in rest2}
         for a in rest2:
             second[a].state = "Lost"
-        over = [int(sure[b]) for b in over]
-        pairs, rest3, over3 = assign(_distance(where(fresh), corners[over]), THIRD)
-        for a, b in pairs:
-            take(fresh[a], over[b])
-        removed = [fresh[a] for a in rest3]
-        for b in over3:
-            d = over[b]
+        self.tracked = [t for t in self.tracked if t.state != "New"]  # new ones not seen again are forgotten
+        for b in over:
+            d = int(sure[b])
             if scores[d] >= START:
-                t = Track(new_id(), self.kind, Kalman.start(_z(boxes[d])), boxes[d], float(scores[d]), frame, frame)
-                self.tracked.append(t)
+                self.tracked.append(Track(new_id(), self.kind, Kalman.start(_z(boxes[d])), boxes[d], float(scores[d]), frame, frame))
         everything = {t.id: t for t in [*self.tracked, *self.lost]}
-        gone = {t.id for t in removed} | {t.id for t in everything.values() if t.state == "Lost" and frame - t.frame > KEEP}
+        gone = {t.id for t in everything.values() if t.state == "Lost" and t.id not in lost_now and frame - t.frame > KEEP}
         out = []
         for i in gone:
             everything[i].state = "Removed"
@@ -146,40 +151,81 @@ class StreamTracker:
 
     def __init__(self):
         self.classes: dict[str, ClassTracker] = {}
-        self.count = 0
+        self.count, self.last = 0, None
 
     def _next(self) -> int:
         self.count += 1
         return self.count
 
-    def frame(self, number: int, detections: pd.DataFrame) -> list[tuple]:
+    def frame(self, number: int, kinds: np.ndarray, boxes: np.ndarray, scores: np.ndarray) -> list[tuple]:
+        """One frame's tracks; detections come by class, best first."""
         out = []
-        groups = {k: g for k, g in detections.groupby("class", sort=True)}
+        edge = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1], True]) if len(kinds) else np.zeros(1, int)
+        groups = {kinds[a]: slice(a, z) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)}
         for kind in sorted({*self.classes, *groups}):
             tracker = self.classes.setdefault(kind, ClassTracker(kind))
-            g = groups.get(kind)
-            g = g.sort_values(["score", "idx"], ascending=[False, True]) if g is not None else None
-            boxes = g[["x", "y", "w", "h"]].to_numpy(float) if g is not None else np.zeros((0, 4))
-            scores = g["score"].to_numpy(float) if g is not None else np.zeros(0)
-            out += [(number, t.id, kind, t.state, *map(float, t.box), t.score) for t in sorted(tracker.update(number, boxes, scores, self._next), key=lambda t: t.id)]
+            at = groups.get(kind, slice(0, 0))
+            if kind in groups or tracker.tracked or tracker.lost:
+                out += [(number, t.id, kind, t.state, *map(float, t.box), t.score) for t in sorted(tracker.update(number, boxes[at], scores[at], self._next), key=lambda t: t.id)]
+        return out
+
+    def rows(self, part: pd.DataFrame) -> list[tuple]:
+        """The tracks of the frames of ``part``, sorted by frame, class, score downwards and idx; and of those between."""
+        out = []
+        numbers, kinds = part["frame_id"].to_numpy(np.int64), part["class"].to_numpy(object)
+        boxes, scores = part[["x", "y", "w", "h"]].to_numpy(float), part["score"].to_numpy(float)
+        edge = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1], True])
+        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            number = int(numbers[a])
+            if self.last is not None:
+                for empty in range(self.last + 1, number):
+                    if not any(c.tracked or c.lost for c in self.classes.values()):
+                        break
+                    out += self.frame(empty, kinds[:0], boxes[:0], scores[:0])
+            out += self.frame(number, kinds[a:z], boxes[a:z], scores[a:z])
+            self.last = number
         return out
 
 
 _COLUMNS = ["frame_id", "track_id", "class", "state", "x", "y", "w", "h", "score"]
+_INPUT = ["stream_id", "frame_id", "idx", "class", "x", "y", "w", "h", "score"]
+_ORDER = {"frame_id": True, "class": True, "score": False, "idx": True}
 
 
 def track(detections: DataFrame) -> DataFrame:
-    """Tracks of all streams (stream_id, frame_id, idx, class, x, y, w, h, score), frames in order within each stream."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = StreamTracker(), []
-        for number, g in pdf.groupby("frame_id", sort=True):
-            rows += state.frame(int(number), g)
-        out = pd.DataFrame(rows, columns=_COLUMNS)
-        out.insert(0, "stream_id", pdf["stream_id"].iloc[0])
-        return out
-
-    return detections.select("stream_id", "frame_id", "idx", "class", "x", "y", "w", "h", "score").groupBy("stream_id").applyInPandas(run, OUTPUT)
+    """Tracks of all streams (stream_id, frame_id, idx, class, x, y, w, h, score), frames in order within each stream.
+
+    Streams are sorted and passed through in batches, with only their trackers held: a stream is one task's,
+    as each frame needs the one before, but none is in memory whole. Rows without a stream, frame or class are left out.
+    """
+    sorted_ = detections.select(*_INPUT).where("stream_id is not null and frame_id is not null and class is not null").repartition("stream_id")
+    sorted_ = sorted_.sortWithinPartitions("stream_id", "frame_id", "class", F.col("score").desc(), "idx")
+
+    def run(batches):
+        tracker, stream, left = StreamTracker(), None, None
+
+        def out(rows):
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in _COLUMNS]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.float64()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array([stream] * len(rows), pa.int32()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["stream_id", *_COLUMNS])
+
+        for batch in batches:
+            part = batch.to_pandas()
+            part = pd.concat([left, part]) if left is not None else part
+            streams, numbers = part["stream_id"].to_numpy(), part["frame_id"].to_numpy()
+            edge = np.flatnonzero(np.r_[True, streams[1:] != streams[:-1], True]) if len(part) else []
+            for a, z in zip(edge[:-1], edge[1:], strict=True):
+                if streams[a] != stream:
+                    tracker, stream = StreamTracker(), int(streams[a])
+                # the last frame may go on in the next batch
+                end = z if z < len(part) else a + int(np.searchsorted(numbers[a:z], numbers[z - 1]))
+                if end > a:
+                    yield out(tracker.rows(part.iloc[a:end]))
+                left = part.iloc[end:z]
+        if left is not None and len(left):
+            yield out(tracker.rows(left))
+
+    return sorted_.mapInArrow(run, OUTPUT)
 
 
 def track_stream(detections: DataFrame) -> DataFrame:
@@ -190,22 +236,21 @@ def track_stream(detections: DataFrame) -> DataFrame:
 
     def run(key, parts, state: GroupState):
         tracker = pickle.loads(state.get[0]) if state.exists else StreamTracker()
-        rows = []
-        for number, g in pd.concat(list(parts)).groupby("frame_id", sort=True):
-            rows += tracker.frame(int(number), g)
+        rows = tracker.rows(pd.concat(list(parts)).sort_values(list(_ORDER), ascending=list(_ORDER.values())))
         state.update((pickle.dumps(tracker),))
         out = pd.DataFrame(rows, columns=_COLUMNS)
         out.insert(0, "stream_id", key[0])
         yield out
 
-    return detections.select("stream_id", "frame_id", "idx", "class", "x", "y", "w", "h", "score").groupBy("stream_id").applyInPandasWithState(run, OUTPUT, "tracker binary", "append", GroupStateTimeout.NoTimeout)
+    return detections.select(*_INPUT).groupBy("stream_id").applyInPandasWithState(run, OUTPUT, "tracker binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def assign_frames(distances: DataFrame, keys: tuple[str, ...], limit: float) -> DataFrame:
-    """Cheapest pairs (keys, a_idx, b_idx, distance) under ``limit`` of every frame."""
+    """Cheapest pairs (keys, a_idx, b_idx, distance) under ``limit`` of every frame; only near pairs reach a task of a frame."""
+    distances = distances.where(F.col("distance") < limit)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.astype({"a_idx": int, "b_idx": int}).pivot(index="a_idx", columns="b_idx", values="distance")
+        m = pdf.astype({"a_idx": int, "b_idx": int}).pivot(index="a_idx", columns="b_idx", values="distance").fillna(2 * limit)
         pairs, _, _ = assign(m.to_numpy(float), limit)
         out = pd.DataFrame({k: pd.Series([pdf[k].iloc[0]] * len(pairs), dtype=object if isinstance(pdf[k].iloc[0], str) else pdf[k].dtype) for k in keys})
         return out.assign(a_idx=np.array([m.index[a] for a, _ in pairs], np.int32), b_idx=np.array([m.columns[b] for _, b in pairs], np.int32), distance=np.array([m.iat[a, b] for a, b in pairs], float))
