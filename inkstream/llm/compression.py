@@ -6,6 +6,7 @@ score by logistic calibration on labelled rows that the dictionaries haven't see
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -14,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices, text_column, text_hash
+from .common import Scratch, map_arrow, slices, text_column, text_hash
 
 #: Bounds of the fitting sample, for each class: labelled rows for the dictionaries and for the calibration, and the
 #: bytes that these rows' whole texts have together. PIECE: size of the samples that dictionaries are trained on.
@@ -130,33 +131,43 @@ def settled(labels: DataFrame, label: str) -> DataFrame:
     return rows.withColumn("part", remainder()).where("part <> 2")
 
 
-def sample(docs: DataFrame, rows: DataFrame, most: int) -> DataFrame:
-    """doc_id, y, text of a bounded sample of a class's labelled rows: the first by a hash of the id.
+def sampled(docs: DataFrame, rows: DataFrame, bounds: dict[tuple[int, bool], int], scratch: Scratch) -> dict[tuple[int, bool], DataFrame]:
+    """doc_id, tk, y, text of a bounded sample of each class and use (label, whether for calibration), in one pass.
 
-    At most ``most`` ids, ``most`` different rows of them, and so many of those as have FIT_BYTES together; texts are
-    whole, and none longer than FIT_BYTES is taken.
+    The first labelled ids by a hash: at most ``bounds`` of them, as many different rows of theirs, and so many of
+    those as have FIT_BYTES together. Texts are whole, and none longer than FIT_BYTES is taken.
     """
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "y")
-    found = docs.select("doc_id", text_hash().alias("tk"), text_column().alias("text")).join(F.broadcast(chosen), "doc_id")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("tk")]
-    listed = found.select("doc_id", "tk", F.octet_length("text").alias("bytes")).distinct().where(F.col("bytes") <= FIT_BYTES).orderBy(*order).limit(most)
-    listed = listed.withColumn("sum", F.sum("bytes").over(Window.orderBy(*order))).where(F.col("sum") <= FIT_BYTES).select("doc_id", "tk")
-    return found.join(F.broadcast(listed), ["doc_id", "tk"]).dropDuplicates(["doc_id", "tk"]).select("doc_id", "tk", "y", "text")
+    rows = rows.withColumn("calibrates", F.col("part") == 3)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    one = {key: rows.where((F.col("y") == key[0]) & (F.col("calibrates") == key[1])).orderBy(*order).limit(n) for key, n in bounds.items()}
+    chosen = functools.reduce(DataFrame.unionByName, one.values()).select("doc_id", "y", "calibrates")
+    # at most the bounds together, so this broadcast is bounded
+    found = docs.select("doc_id", text_hash().alias("tk"), text_column().alias("text")).join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= FIT_BYTES)
+    found = scratch.table(found)
+    out = {}
+    for (y, calibrates), n in bounds.items():
+        mine = found.where((F.col("y") == y) & (F.col("calibrates") == calibrates)).select("doc_id", "tk", "y", "text")
+        listed = mine.select("doc_id", "tk", F.octet_length("text").alias("bytes")).distinct().orderBy(*order, "tk").limit(n)
+        listed = listed.withColumn("sum", F.sum("bytes").over(Window.orderBy(*order, "tk"))).where(F.col("sum") <= FIT_BYTES).select("doc_id", "tk")
+        out[y, calibrates] = mine.join(F.broadcast(listed), ["doc_id", "tk"]).dropDuplicates(["doc_id", "tk"]).select("doc_id", "tk", "y", "text")
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """Fitted on a bounded sample of the labelled rows that aren't held out; see ``settled`` and ``sample``."""
+    """Fitted on a bounded sample of the labelled rows that aren't held out; see ``settled`` and ``sampled``."""
     rows = settled(labels, label)
-    one = lambda y, part, most: sample(docs, rows.where(f"y = {y} and part {part}"), most)
+    scratch = Scratch(docs.sparkSession, "compression")
+    parts = sampled(docs, rows, {(1, False): FIT_ROWS, (0, False): FIT_ROWS, (0, True): CALIBRATION_ROWS, (1, True): CALIBRATION_ROWS}, scratch)
     order = [("doc_id", "ascending"), ("tk", "ascending")]
-    model = Model(*(dictionary(one(y, "<> 3", FIT_ROWS).toArrow().sort_by(order).column("text").to_pylist()) for y in (1, 0)))
-    measured = _features(one(0, "= 3", CALIBRATION_ROWS).unionByName(one(1, "= 3", CALIBRATION_ROWS)), model).toArrow().sort_by(order)
+    model = Model(*(dictionary(parts[y, False].toArrow().sort_by(order).column("text").to_pylist()) for y in (1, 0)))
+    measured = _features(parts[0, True].unionByName(parts[1, True]), model).toArrow().sort_by(order)
     x, y = measured.column("x").to_numpy(), measured.column("y").to_numpy().astype(float)
     model.calibrate(x, y)
     # each class has its own sample, so the constant is set back to the classes' true shares
     shares = {r["y"]: r["count"] for r in rows.where("part = 3").groupBy("y").count().collect()}
     if len(shares) == 2 and 0 < y.sum() < len(y):
         model.weights[0] += math.log(shares[1] / shares[0]) - math.log(y.sum() / (len(y) - y.sum()))
+    scratch.drop()
     return model
 
 

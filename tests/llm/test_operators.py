@@ -646,7 +646,8 @@ def test_the_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(compression, "FIT_BYTES", 5000)
     d = spark.createDataFrame([(1, words(i, 100)) for i in range(300)] + [(2, words(7, 3000))] + [(i, words(i, 50)) for i in range(3, 60)], "doc_id long, text string")
     y = spark.createDataFrame([(i, 1) for i in range(1, 60)], "doc_id long, quality int")
-    got = compression.sample(d, y.withColumnRenamed("quality", "y"), 4000).collect()
+    rows_ = y.withColumnRenamed("quality", "y").withColumn("part", F.lit(0))
+    got = compression.sampled(d, rows_, {(1, False): 4000}, common.Scratch(spark, "t"))[1, False].collect()
     assert got and sum(len(r.text.encode()) for r in got) <= 5000 and {r.text for r in got} <= {r.text for r in d.collect()}
 
 
