@@ -59,8 +59,11 @@ class Inputs:
 
     def segments(self) -> DataFrame:
         """box_idx, sub_idx, text: overlapping windows over a document's whole text."""
-        docs = self.table("documents").where(F.length("text") > 0).select(F.col("doc_id").alias("box_idx"), "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 16).cast("int"))).alias("sub_idx"))
-        return docs.select("box_idx", "sub_idx", F.substring(F.col("text"), F.col("sub_idx") * 16 + 1, F.lit(20)).alias("text"))
+        # pieces of 16 characters and the next one's first 4: cutting windows by place would count from the start each time
+        parts = F.regexp_extract_all("text", F.lit("(?s).{1,16}"), F.lit(0))
+        windows = F.transform("parts", lambda x, k: F.concat(x, F.coalesce(F.substring(F.get("parts", k + 1), 1, 4), F.lit(""))))
+        docs = self.table("documents").select(F.col("doc_id").alias("box_idx"), parts.alias("parts"))
+        return docs.select("box_idx", F.posexplode(windows).alias("sub_idx", "text"))
 
     def files(self) -> DataFrame:
         """folder, name, folder_mtime, mtime: a listing of screenshots, a third of them processed."""
