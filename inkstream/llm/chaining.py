@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BitmapFilter, Scratch, flagged, list_array, map_arrow, slices, spare, text_column, text_hash, utf8
-from .textcore import ALNUM, Words, grams, winnow
+from .textcore import ALNUM, Words, grams, winnow_all
 
 #: Words of a seed, k-mers of which one is a seed (a shared run of SEED + WINDOW - 1 words shares one),
 #: words of a duplicate passage (with 4 changed words it has a run of 10 yet), and words that may differ between two merged stretches.
@@ -152,7 +152,7 @@ def stretches(words: list[int], chains: list[dict], bridge: int = BRIDGE) -> lis
     out = []
     # every chain is aligned: seeds that another chain covers don't tell how far this one's alignment goes
     for c in chains:
-        b, shift = np.asarray(c["words"]).tolist(), c["shift"]
+        b, shift = c["words"], c["shift"]
         matched = align(words, b, c["pos"], [x - shift for x in c["other"]])
         start = 0
         for i in range(1, len(matched) + 1):
@@ -266,14 +266,13 @@ def _word_slices(batches):
 def _seeds(w: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, hash, place and number within its text of each seed."""
     g = grams(w.hash, SEED)
-    found = []
-    for d in np.flatnonzero(w.counts >= max(least, SEED)).tolist():
-        a, b = int(w.first[d]), int(w.first[d + 1])
-        at = winnow(g[a : b - SEED + 1], WINDOW, robust=True)
-        found.append((np.full(len(at), d), g[a + at], at, np.arange(len(at))))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    long = np.flatnonzero(w.counts >= max(least, SEED))
+    at = winnow_all(g, w.first[long], w.first[long + 1] - SEED + 1, WINDOW, robust=True)
+    which = np.searchsorted(w.first[long], at, side="right") - 1
+    doc = long[which] if len(at) else which
+    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(at) else doc
+    number = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    return doc, g[at], at - w.first[doc], number
 
 
 def first_places(docs: DataFrame, hashed) -> DataFrame:
@@ -406,9 +405,14 @@ def _aligned(docs: DataFrame, chained: DataFrame, least: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             parts, hashes, places = [], [], []
+            inner = batch.column(3).flatten()
+            source, shift = inner.field("source").to_pylist(), inner.field("shift").to_pylist()
+            pos, other, near = (_lists(inner.field(c)) for c in ("pos", "other", "words"))
+            edge = [0, *np.cumsum(pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)).tolist()]
             for r in range(batch.num_rows):
                 words = np.asarray(batch.column(2)[r].values)
-                one = stretches(words.tolist(), batch.column(3)[r].as_py())
+                chains = [{"source": source[x], "shift": shift[x], "pos": pos[x], "other": other[x], "words": near[x]} for x in range(edge[r], edge[r + 1])]
+                one = stretches(words.tolist(), chains)
                 found = [(x["from"], x["to"]) for x in merge(one, least)]
                 at = uncovered([(x["a"], x["z"]) for x in batch.column(4)[r].as_py()], found, len(words), least)
                 h, pos = long_grams(words, at, least) if len(at) else (np.zeros(0, np.uint64), at)
@@ -420,6 +424,13 @@ def _aligned(docs: DataFrame, chained: DataFrame, least: int) -> DataFrame:
     return map_arrow(both, run, f"doc_id {kind}, tk long, parts array<struct<a:bigint,z:bigint,n:bigint,source:{kind},at:bigint>>, h array<long>, pos array<int>")
 
 
+def _lists(cells: pa.ListArray) -> list[list]:
+    """The cells as lists of Python numbers, converted all at once."""
+    values = cells.flatten().to_numpy(zero_copy_only=False).tolist()
+    edge = [0, *np.cumsum(pc.list_value_length(cells).to_numpy(zero_copy_only=False)).tolist()]
+    return [values[a:z] for a, z in zip(edge, edge[1:], strict=False)]
+
+
 def _arrow_type(docs: DataFrame) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

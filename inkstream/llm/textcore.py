@@ -134,17 +134,40 @@ def winnow(hashes: np.ndarray, window: int, robust: bool = False) -> np.ndarray:
     fingerprints; equal texts then still share the hash, but not always its place.
     """
     n = len(hashes)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    if n <= window:
-        return np.array([n - 1 - int(np.argmin(hashes[::-1]))])
-    view = np.lib.stride_tricks.sliding_window_view(hashes[::-1], window)
-    at = np.arange(len(view)) + np.argmin(view, axis=1)
-    out = np.unique(n - 1 - at)
-    if robust and (hashes[out[1:]] == hashes[out[:-1]]).any():
-        kept = [int(out[0])]
-        for p in out[1:].tolist():
-            if hashes[p] != hashes[kept[-1]] or p - kept[-1] >= window:
-                kept.append(p)
-        out = np.array(kept)
+    return winnow_all(hashes, np.array([0]), np.array([n]), window, robust) if n else np.zeros(0, np.int64)
+
+
+def winnow_all(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, window: int, robust: bool = False) -> np.ndarray:
+    """``winnow`` of many texts at once: their hashes are those from start to end, in order and apart."""
+    n = len(hashes)
+    chosen = np.zeros(n, bool)
+    if n >= window:
+        m = n - window + 1
+        best, at = hashes[window - 1 :].copy(), np.full(m, window - 1)
+        for j in range(window - 2, -1, -1):
+            less = hashes[j : j + m] < best
+            best[less], at[less] = hashes[j : j + m][less], j
+        inside = np.zeros(n + 1, np.int64)  # window starts within a text
+        long = end - start >= window
+        np.add.at(inside, start[long], 1)
+        np.add.at(inside, end[long] - window + 1, -1)
+        inside = np.cumsum(inside)[:m] > 0
+        chosen[(np.arange(m) + at)[inside]] = True
+    for a, b in zip(start.tolist(), end.tolist(), strict=True) if (end - start < window).any() else ():
+        if 0 < b - a < window:
+            chosen[b - 1 - int(np.argmin(hashes[a:b][::-1]))] = True
+    out = np.flatnonzero(chosen)
+    if robust and len(out) > 1:
+        text = np.searchsorted(start, out, side="right")
+        same = (hashes[out[1:]] == hashes[out[:-1]]) & (text[1:] == text[:-1])
+        if same.any():
+            drop, kept = np.zeros(len(out), bool), -1
+            for i in (np.flatnonzero(same) + 1).tolist():  # in runs of equal hashes, those near the last kept go
+                if not same[i - 2] if i > 1 else True:
+                    kept = int(out[i - 1])
+                if out[i] - kept < window:
+                    drop[i] = True
+                else:
+                    kept = int(out[i])
+            out = out[~drop]
     return out
