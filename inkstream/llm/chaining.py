@@ -415,10 +415,10 @@ def _aligned(docs: DataFrame, chained: DataFrame, least: int) -> DataFrame:
                 one = stretches(words.tolist(), chains)
                 found = [(x["from"], x["to"]) for x in merge(one, least)]
                 at = uncovered([(x["a"], x["z"]) for x in batch.column(4)[r].as_py()], found, len(words), least)
-                h, pos = long_grams(words, at, least) if len(at) else (np.zeros(0, np.uint64), at)
+                h, where = long_grams(words, at, least) if len(at) else (np.zeros(0, np.uint64), at)
                 parts.append([{"a": a, "z": z, "n": n, "source": s, "at": b} for a, z, n, s, b in one])
                 hashes.append(h.view(np.int64))
-                places.append(pos.astype(np.int32))
+                places.append(where.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, kinds), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "tk", "parts", "h", "pos"])
 
     return map_arrow(both, run, f"doc_id {kind}, tk long, parts array<struct<a:bigint,z:bigint,n:bigint,source:{kind},at:bigint>>, h array<long>, pos array<int>")
