@@ -317,9 +317,10 @@ def first_places(docs: DataFrame, hashed) -> DataFrame:
             yield from flush()
 
     found = map_arrow(_identified(docs), run, f"h long, sdoc {kind}, stk long, spos int, many boolean")
-    same = Window.partitionBy("h")
-    found = found.withColumn("n", F.count("*").over(same)).withColumn("seen", F.max("many").over(same)).withColumn("at", F.row_number().over(same.orderBy("sdoc", "stk", "spos")))
-    return found.where("at = 1 and (n > 1 or seen)").select("h", "sdoc", "stk", "spos")
+    # one pass in order: a first row that another follows, or that stands for several documents
+    same = Window.partitionBy("h").orderBy("sdoc", "stk", "spos")
+    found = found.withColumn("before", F.lag("h").over(same)).withColumn("after", F.lead("h").over(same))
+    return found.where("before is null and (after is not null or many)").select("h", "sdoc", "stk", "spos")
 
 
 def seeds(docs: DataFrame, member, least: int = LEAST) -> DataFrame:
@@ -392,7 +393,7 @@ def _beside_words(docs: DataFrame, chained: DataFrame) -> DataFrame:
     near = chained.join(_word_hashes(docs, chained, "stk"), F.col("sdoc").eqNullSafe(F.col("d")) & (F.col("stk") == F.col("t")))
     near = near.select("doc_id", "tk", "ranges", F.struct(F.col("sdoc").alias("source"), "pos", "other", low.alias("shift"), F.slice("words", low + 1, F.array_max("other") - low + SEED + MARGIN).alias("words")).alias("c"))
     near = near.groupBy("doc_id", "tk").agg(F.collect_set("c").alias("chains"), F.flatten(F.collect_set("ranges")).alias("ranges"))
-    own = _word_hashes(docs, chained, "tk").dropDuplicates(["d", "t"])
+    own = _word_hashes(docs, chained, "tk")  # rows that repeat id and text give equal stretches, which merge
     return near.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t"))).select("doc_id", "tk", "words", "chains", "ranges")
 
 
@@ -479,7 +480,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, scratch: Scratch | No
     chained = scratch.table(_chained(anchors).withColumn("ranges", F.array().cast("array<struct<a:int,z:int>>")))
     again = scratch.table(_aligned(docs, chained, least))
     parts = aligned.select("doc_id", "tk", "parts").unionByName(again.select("doc_id", "tk", "parts"))
-    parts = parts.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("parts")).alias("parts"))
+    parts = parts.groupBy("doc_id", "tk").agg(F.flatten(F.collect_set("parts")).alias("parts"))
 
     def run(batches):
         for batch in batches:
