@@ -452,9 +452,12 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, scratch: Scratch | No
     kind = docs.schema["doc_id"].dataType.simpleString()
     earlier = ~F.struct("doc_id", "tk").eqNullSafe(F.struct("sdoc", "stk"))
     firsts = scratch.table(first_places(docs, lambda w: _seeds(w, least)[:3]))
+    scratch.settle()
     anchors = seeds(docs, scratch.share(BitmapFilter.of(firsts, "h")), least).join(firsts, "h").where(earlier)
     chained = scratch.table(_chained(anchors.select("doc_id", "tk", "pos", "i", "sdoc", "stk", "spos")))
+    scratch.settle()
     aligned = scratch.table(_aligned(docs, chained, least))
+    scratch.settle()
 
     # what is left: long k-mers, those of the passage's own length among them
     wanted = aligned.where(F.size("h") > 0).select("doc_id", "tk", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("doc_id", "tk", "x.h", "x.pos")

@@ -118,6 +118,10 @@ class Scratch:
         df.write.option("compression", "lz4").option("parquet.block.size", 16 << 20).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self) -> None:
+        """Let Spark delete the shuffle files of finished writes: its cleaner follows the collector of the driver's JVM."""
+        self.spark._jvm.java.lang.System.gc()
+
     def share(self, value):
         """A broadcast that ``drop`` ends."""
         self.shared.append(self.spark.sparkContext.broadcast(value))
