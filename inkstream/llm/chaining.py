@@ -298,11 +298,15 @@ def first_places(docs: DataFrame, hashed) -> DataFrame:
             doc, h, pos, r = doc[by], h[by], pos[by], rank[doc[by]]
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             last = np.concatenate((first[1:], [len(h)])) - 1
-            who = table.take(doc[first])
+            many = r[first] != r[last]
+            # rows of one document side by side, their equal fields together: a shuffle compresses these well
+            by = np.argsort(doc[first], kind="stable")
+            first, many = first[by], many[by]
             for i in range(0, len(first), 50_000):
-                at = slice(i, i + 50_000)
-                part = who.slice(i, 50_000).combine_chunks()
-                yield pa.RecordBatch.from_arrays([pa.array(h[first[at]].view(np.int64)), *(part.column(c).combine_chunks() if part.num_rows else pa.array([], part.schema.field(c).type) for c in (0, 1)), pa.array(pos[first[at]].astype(np.int32)), pa.array(r[first[at]] != r[last[at]])], ["h", "sdoc", "stk", "spos", "many"])
+                at = first[i : i + 50_000]
+                who = table.take(doc[at]).combine_chunks()
+                ids_of = (who.column(c).combine_chunks() for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([*ids_of, pa.array(many[i : i + 50_000]), pa.array(h[at].view(np.int64)), pa.array(pos[at].astype(np.int32))], ["sdoc", "stk", "many", "h", "spos"])
 
         for part, w in _word_slices(batches):
             doc, h, pos = hashed(w)
@@ -316,7 +320,7 @@ def first_places(docs: DataFrame, hashed) -> DataFrame:
         if size:
             yield from flush()
 
-    found = map_arrow(_identified(docs), run, f"h long, sdoc {kind}, stk long, spos int, many boolean")
+    found = map_arrow(_identified(docs), run, f"sdoc {kind}, stk long, many boolean, h long, spos int")
     # one pass in order: a first row that another follows, or that stands for several documents
     same = Window.partitionBy("h").orderBy("sdoc", "stk", "spos")
     found = found.withColumn("before", F.lag("h").over(same)).withColumn("after", F.lead("h").over(same))
@@ -392,9 +396,11 @@ def _beside_words(docs: DataFrame, chained: DataFrame) -> DataFrame:
     low = F.greatest(F.array_min("other") - MARGIN, F.lit(0))
     near = chained.join(_word_hashes(docs, chained, "stk"), F.col("sdoc").eqNullSafe(F.col("d")) & (F.col("stk") == F.col("t")))
     near = near.select("doc_id", "tk", "ranges", F.struct(F.col("sdoc").alias("source"), "pos", "other", low.alias("shift"), F.slice("words", low + 1, F.array_max("other") - low + SEED + MARGIN).alias("words")).alias("c"))
-    near = near.groupBy("doc_id", "tk").agg(F.collect_set("c").alias("chains"), F.flatten(F.collect_set("ranges")).alias("ranges"))
-    own = _word_hashes(docs, chained, "tk")  # rows that repeat id and text give equal stretches, which merge
-    return near.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t"))).select("doc_id", "tk", "words", "chains", "ranges")
+    # own words come by the same grouping as the chains; rows that repeat id and text have equal ones
+    own = _word_hashes(docs, chained, "tk").withColumnsRenamed({"d": "doc_id", "t": "tk"})
+    both = near.unionByName(own, allowMissingColumns=True).groupBy("doc_id", "tk")
+    both = both.agg(F.first("words", ignorenulls=True).alias("words"), F.collect_set("c").alias("chains"), F.flatten(F.collect_set("ranges")).alias("ranges"))
+    return both.where(F.size("chains") > 0)
 
 
 def _aligned(docs: DataFrame, chained: DataFrame, least: int) -> DataFrame:
