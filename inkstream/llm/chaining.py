@@ -13,6 +13,8 @@ longest of them are as long as a passage, no passage that an earlier document ha
 
 from __future__ import annotations
 
+import operator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,17 +35,11 @@ LONG = 16
 HELD = 1 << 18
 
 
-def chain(pos: list[int], other: list[int], k: int = SEED, gap: float = GAP) -> list[list[int]]:
-    """Chains of anchors that rise in both texts, best first, each anchor in one chain.
-
-    A chain scores k per anchor less ``gap`` for each word between anchors on either side. With that linear
-    cost the best predecessor is a prefix maximum of score + gap * (pos + other), kept in a Fenwick tree.
-    """
+def _through_tree(pos: list[int], other: list[int], k: int, gap: float, score: list[float], before: list[int]) -> None:
+    """Fill in each anchor's best score and predecessor, by a Fenwick tree of prefix maxima over the other text's places."""
     order = sorted(range(len(pos)), key=lambda i: (pos[i], -other[i]))
     ranks = {v: r + 1 for r, v in enumerate(sorted(set(other)))}
     tree: list[tuple[float, int]] = [(float("-inf"), -1)] * (len(ranks) + 1)
-    score, before = [0.0] * len(pos), [-1] * len(pos)
-    i = 0
     for i in order:
         best, at, r = float("-inf"), -1, ranks[other[i]] - 1
         while r > 0:
@@ -60,6 +56,24 @@ def chain(pos: list[int], other: list[int], k: int = SEED, gap: float = GAP) ->
             if value > tree[r][0]:
                 tree[r] = (value, i)
             r += r & -r
+
+
+def chain(pos: list[int], other: list[int], k: int = SEED, gap: float = GAP) -> list[list[int]]:
+    """Chains of anchors that rise in both texts, best first, each anchor in one chain.
+
+    A chain scores k per anchor less ``gap`` for each word between anchors on either side. With that linear
+    cost the best predecessor is a prefix maximum of score + gap * (pos + other), kept in a Fenwick tree.
+    """
+    score, before = [0.0] * len(pos), [-1] * len(pos)
+    if all(map(operator.lt, pos, pos[1:])) and all(map(operator.lt, other, other[1:])):
+        # of anchors that all rise, score + gap * (pos + other) rises too: the one before is the prefix maximum
+        best = float("-inf")
+        for i, (p, q) in enumerate(zip(pos, other, strict=True)):
+            joined = best - gap * (p + q)
+            score[i], before[i] = (k + joined, i - 1) if joined > 0 else (float(k), -1)
+            best = score[i] + gap * (p + q)
+    else:
+        _through_tree(pos, other, k, gap, score, before)
     used, out = [False] * len(pos), []
     for i in sorted(range(len(pos)), key=lambda i: -score[i]):
         part = []
@@ -72,19 +86,21 @@ def chain(pos: list[int], other: list[int], k: int = SEED, gap: float = GAP) ->
     return out
 
 
-def _extend(a, i: int, b, j: int, step: int) -> list[tuple[int, int]]:
-    """Matched places going outward from (i, j): +1 a match, -2 a word put in, left out or changed; ends DROP below its best."""
+def _extend(a: list, i: int, b: list, j: int, step: int) -> list[tuple[int, int, int]]:
+    """Runs (place, place, words) matched going outward from (i, j): +1 a match, -2 a word put in, left out or changed;
+    ends DROP below its best."""
     score = best = 0
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
     keep = 0
     n, m = len(a), len(b)
     while 0 <= i < n and 0 <= j < m:
         if a[i] == b[j]:
-            out.append((i, j))
-            score += 1
+            run = _same(a, i, b, j, step)
+            out.append((i, j, run) if step > 0 else (i - run + 1, j - run + 1, run))
+            score += run
             if score > best:
                 best, keep = score, len(out)
-            i, j = i + step, j + step
+            i, j = i + step * run, j + step * run
             continue
         score -= 2
         if best - score >= DROP:
@@ -101,18 +117,40 @@ def _extend(a, i: int, b, j: int, step: int) -> list[tuple[int, int]]:
     return out[:keep]
 
 
-def _between(a, i: int, i2: int, b, j: int, j2: int) -> list[tuple[int, int]]:
-    """Matches within a gap by longest common subsequence; long gaps are met from both ends instead."""
+def _same(a: list, i: int, b: list, j: int, step: int, stride: int = 16) -> int:
+    """Words that agree from (i, j) on in the direction of ``step``; compared a stride at a time while whole strides do."""
+    x = 0
+    if step > 0:
+        most = min(len(a) - i, len(b) - j)
+        while x + stride <= most and a[i + x : i + x + stride] == b[j + x : j + x + stride]:
+            x += stride
+        while x < most and a[i + x] == b[j + x]:
+            x += 1
+    else:
+        most = min(i, j) + 1
+        while x + stride <= most and a[i - x - stride + 1 : i - x + 1] == b[j - x - stride + 1 : j - x + 1]:
+            x += stride
+        while x < most and a[i - x] == b[j - x]:
+            x += 1
+    return x
+
+
+def _between(a: list, i: int, i2: int, b: list, j: int, j2: int) -> list[tuple[int, int, int]]:
+    """Matched runs within a gap by longest common subsequence; long gaps are met from both ends instead."""
     n, m = i2 - i, j2 - j
     if n <= 0 or m <= 0:
         return []
-    if n == m and list(a[i:i2]) == list(b[j:j2]):
-        return [(i + x, j + x) for x in range(n)]
+    if n == m and a[i:i2] == b[j:j2]:
+        return [(i, j, n)]
     if n > 80 or m > 80:
         front = _extend(a[:i2], i, b[:j2], j, 1)
-        back = _extend(a[i:], n - 1, b[j:], m - 1, -1)
-        done = front[-1] if front else (i - 1, j - 1)
-        return front + [(x + i, y + j) for x, y in reversed(back) if x + i > done[0] and y + j > done[1]]
+        back = _extend(a[i:i2], n - 1, b[j:j2], m - 1, -1)
+        after = (front[-1][0] + front[-1][2], front[-1][1] + front[-1][2]) if front else (i, j)
+        for x, y, run in reversed(back):
+            cut = max(0, after[0] - x - i, after[1] - y - j)
+            if cut < run:
+                front.append((x + i + cut, y + j + cut, run - cut))
+        return front
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for x in range(n - 1, -1, -1):
         row, below = best[x], best[x + 1]
@@ -122,7 +160,7 @@ def _between(a, i: int, i2: int, b, j: int, j2: int) -> list[tuple[int, int]]:
     out = []
     while x < n and y < m:
         if a[i + x] == b[j + y]:
-            out.append((i + x, j + y))
+            out.append((i + x, j + y, 1))
             x, y = x + 1, y + 1
         elif best[x + 1][y] >= best[x][y + 1]:
             x += 1
@@ -131,35 +169,35 @@ def _between(a, i: int, i2: int, b, j: int, j2: int) -> list[tuple[int, int]]:
     return out
 
 
-def align(a, b, pos, other, k: int = SEED) -> list[tuple[int, int]]:
-    """Matched places of a chain: its seeds, the words between them, and what goes on at either end."""
-    out: list[tuple[int, int]] = []
-    at = (int(pos[0]), int(other[0]))
-    out += reversed(_extend(a, at[0] - 1, b, at[1] - 1, -1))
+def align(a: list, b: list, pos: list[int], other: list[int], k: int = SEED) -> list[tuple[int, int, int]]:
+    """Matched runs (place, place, words) of a chain: its seeds, the words between them, and what goes on at either end."""
+    at = (pos[0], other[0])
+    out = _extend(a, at[0] - 1, b, at[1] - 1, -1)[::-1]
     for p, q in zip(pos, other, strict=True):
-        p, q = int(p), int(q)
         if p > at[0] and q > at[1]:
             out += _between(a, at[0], p, b, at[1], q)
         skip = max(0, at[0] - p, at[1] - q)  # seeds that overlap
-        out += [(p + x, q + x) for x in range(skip, k)]
+        if skip < k:
+            out.append((p + skip, q + skip, k - skip))
         at = (max(at[0], p + k), max(at[1], q + k))
-    out += _extend(a, at[0], b, at[1], 1)
-    return out
+    return out + _extend(a, at[0], b, at[1], 1)
 
 
 def stretches(words: list[int], chains: list[dict], bridge: int = BRIDGE) -> list[tuple]:
     """(from, to, matched words, source, source_from) of one document's aligned chains."""
-    out = []
+    out: list[tuple] = []
     # every chain is aligned: seeds that another chain covers don't tell how far this one's alignment goes
     for c in chains:
-        b, shift = c["words"], c["shift"]
-        matched = align(words, b, c["pos"], [x - shift for x in c["other"]])
-        start = 0
-        for i in range(1, len(matched) + 1):
-            if i == len(matched) or matched[i][0] - matched[i - 1][0] > bridge + 1 or matched[i][1] - matched[i - 1][1] > bridge + 1:
-                part = matched[start:i]
-                out.append((part[0][0], part[-1][0] + 1, len(part), c["source"], part[0][1] + shift))
-                start = i
+        shift, part = c["shift"], None
+        for i, j, n in align(words, c["words"], c["pos"], [x - shift for x in c["other"]]):
+            if part and i - part[1] <= bridge and j - part[4] <= bridge:
+                part[1], part[2], part[4] = i + n, part[2] + n, j + n
+                continue
+            if part:
+                out.append((*part[:3], c["source"], part[3] + shift))
+            part = [i, i + n, n, j, j + n]  # from, to, matched, the source's from and to
+        if part:
+            out.append((*part[:3], c["source"], part[3] + shift))
     return out
 
 
@@ -250,6 +288,15 @@ def _long(words: np.ndarray, k: int) -> np.ndarray:
     return grams(words.view(np.uint32).astype(np.uint64), k) ^ np.uint64(k)
 
 
+def _long_at(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """``_long`` at the rising places alone: those that lie close are hashed together."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    cut = np.flatnonzero(np.diff(at) > k) + 1
+    parts = zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(at)])), strict=True)
+    return np.concatenate([_long(words[at[x] : at[y - 1] + k], k)[at[x:y] - at[x]] for x, y in parts])
+
+
 def _identified(docs: DataFrame) -> DataFrame:
     """doc_id, tk (a hash of the text; rows that repeat both are one), text."""
     return docs.select("doc_id", text_hash().alias("tk"), text_column().alias("text"))
@@ -294,13 +341,17 @@ def first_places(docs: DataFrame, hashed) -> DataFrame:
             rank = np.empty(len(order), np.int64)
             rank[order] = np.cumsum(np.concatenate(([0], ~same.astype(bool))))
             doc, h, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            by = np.lexsort((pos, rank[doc], h))
-            doc, h, pos, r = doc[by], h[by], pos[by], rank[doc[by]]
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            last = np.concatenate((first[1:], [len(h)])) - 1
-            many = r[first] != r[last]
+            place = rank[doc]
+            if (place[1:] < place[:-1]).any():
+                by = np.argsort(place, kind="stable")
+                doc, h, pos, place = doc[by], h[by], pos[by], place[by]
+            # rows are in the order of documents and places: of equal k-mers the smallest row number is the first place
+            by = np.argsort(h)
+            edge = np.flatnonzero(np.concatenate(([True], h[by[1:]] != h[by[:-1]])))
+            first, last = np.minimum.reduceat(by, edge), np.maximum.reduceat(by, edge)
+            many = place[first] != place[last]
             # rows of one document side by side, their equal fields together: a shuffle compresses these well
-            by = np.argsort(doc[first], kind="stable")
+            by = np.argsort(first)
             first, many = first[by], many[by]
             for i in range(0, len(first), 50_000):
                 at = first[i : i + 50_000]
@@ -470,14 +521,20 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, scratch: Scratch | No
     member = scratch.share(BitmapFilter.of(wanted.select("h").distinct(), "h"))
 
     def longs(w: Words):
-        words, out = (w.hash >> np.uint64(32)).astype(np.uint32), []
-        for k in (least, LONG):
-            h = _long(words, k)
-            at = np.flatnonzero(member.value.has(h))
-            doc = np.searchsorted(w.first, at, side="right") - 1
-            inside = (at + k <= w.first[doc + 1]) & (w.counts[doc] >= least)
-            out.append((doc[inside], h[at[inside]], at[inside] - w.first[doc[inside]]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        words = (w.hash >> np.uint64(32)).astype(np.uint32)
+        h = _long(words, LONG)
+        at = np.flatnonzero(member.value.has(h))
+        if len(at) and least > LONG:
+            # a wanted k-mer of ``least`` words begins with a wanted one of LONG
+            start = at[at + least <= len(words)]
+            whole = _long_at(words, start, least)
+            hit = member.value.has(whole)
+            at, h, k = np.concatenate((start[hit], at)), np.concatenate((whole[hit], h[at])), np.repeat((least, LONG), (int(hit.sum()), len(at)))
+        else:
+            h, k = h[at], np.full(len(at), LONG)
+        doc = np.searchsorted(w.first, at, side="right") - 1
+        inside = (at + k <= w.first[doc + 1]) & (w.counts[doc] >= least)
+        return doc[inside], h[inside], at[inside] - w.first[doc[inside]]
 
     more = wanted.join(first_places(docs, longs), "h").where(earlier)
     # hits on one diagonal that go on are one run; its seeds lie side by side

@@ -20,6 +20,8 @@ _power, _inverse = np.ones(1, U), np.ones(1, U)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: what a byte adds to a word's hash, as it is and lower-cased
+_CODE, _FOLDED_CODE = np.arange(1, 257, dtype=U), LOWER.astype(U) + U(1)
 #: words of [^\x20\x09-\x0D]+
 SPACED = np.ones(256, bool)
 SPACED[[0x20, *range(0x09, 0x0E)]] = False
@@ -64,8 +66,9 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool
         base, stop = int(start[i]), int(end[j - 1])
         _tables(stop - base)
         sums = np.zeros(stop - base + 1, U)
-        piece = LOWER[raw[base:stop]] if lower else raw[base:stop]
-        np.cumsum((piece.astype(U) + U(1)) * _power[: stop - base], out=sums[1:])
+        piece = np.take(_FOLDED_CODE if lower else _CODE, raw[base:stop])
+        piece *= _power[: stop - base]
+        np.cumsum(piece, out=sums[1:])
         out[i:j] = (sums[end[i:j] - base] - sums[start[i:j] - base]) * _inverse[start[i:j] - base]
         i = j
     return mix(out + U(_G) * (end - start).astype(U))
@@ -145,8 +148,8 @@ def winnow_all(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, window: i
         m = n - window + 1
         best, at = hashes[window - 1 :].copy(), np.full(m, window - 1)
         for j in range(window - 2, -1, -1):
-            less = hashes[j : j + m] < best
-            best[less], at[less] = hashes[j : j + m][less], j
+            np.copyto(at, j, where=hashes[j : j + m] < best)
+            np.minimum(best, hashes[j : j + m], out=best)
         inside = np.zeros(n + 1, np.int64)  # window starts within a text
         long = end - start >= window
         np.add.at(inside, start[long], 1)
