@@ -94,6 +94,13 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_scratch
 
 
+def settle(spark: SparkSession) -> None:
+    """Collect in the driver's JVM between steps: Spark's cleaner then deletes the shuffle files of finished writes, and
+    the heap that large plans left behind shrinks; also give back what the driver's Python has freed."""
+    spark._jvm.java.lang.System.gc()
+    give_back()
+
+
 class Scratch:
     """Written intermediates and broadcasts of one operator call; deleted by ``drop``, or as the JVM ends."""
 
@@ -119,8 +126,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def settle(self) -> None:
-        """Let Spark delete the shuffle files of finished writes: its cleaner follows the collector of the driver's JVM."""
-        self.spark._jvm.java.lang.System.gc()
+        settle(self.spark)
 
     def share(self, value):
         """A broadcast that ``drop`` ends."""

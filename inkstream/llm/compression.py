@@ -168,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     if len(shares) == 2 and 0 < y.sum() < len(y):
         model.weights[0] += math.log(shares[1] / shares[0]) - math.log(y.sum() / (len(y) - y.sum()))
     scratch.drop()
+    scratch.settle()
     return model
 
 

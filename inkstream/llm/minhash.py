@@ -181,6 +181,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         if state == before:
             break
         before = state
+        scratch.settle()
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct())
 
 
@@ -201,16 +202,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SHINGLE) -> Dat
     entries = scratch.table(entries.join(crowded, "h").select("h", "vertex", "n"))
     wanted = scratch.table(classes.join(entries.select("vertex").distinct(), "vertex", "left_semi").select("vertex", "set_key", "tk"))
     sets = scratch.table(_sets(docs, wanted, k))
+    scratch.settle()
     # one star per bucket, about a centre of its own
     centre = entries.groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "vertex").alias("p"), F.col("vertex").alias("a"), F.col("n").alias("na"))).alias("s")).select("h", "s.a", "s.na")
     star = entries.join(centre, "h").where((F.col("vertex") != F.col("a")) & _near("n", "na", percent)).select("a", F.col("vertex").alias("b"))
     links = scratch.table(confirm(star.distinct(), sets, percent))
+    scratch.settle()
     roots = components(links, scratch)
     # buckets that hold more than one component may hide links yet
     labelled = entries.join(roots, "vertex", "left").select("h", "vertex", "n", F.coalesce("root", "vertex").alias("c"))
     mixed = labelled.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
     left = scratch.table(labelled.join(mixed, "h", "left_semi").select("vertex", "n", "c").distinct())
     more = scratch.table(confirm(prefix_pairs(left, sets, percent, scratch), sets, percent))
+    scratch.settle()
     roots = components(more.unionByName(roots.where("vertex != root").select(F.col("vertex").alias("a"), F.col("root").alias("b"))), scratch)
     named = classes.select("set_key", "vertex", "low")
     named = named.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
