@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame to
 be written as Parquet and reread as the next one's ``docs``. As a stage begins, what the earlier ones wrote
-in the shared folder for their own use is deleted: by then their results are written.
+in the shared folder for their own use is deleted, and memory given back: by then their results are written.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ def _stage(function):
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         while _spent:
             _spent.pop().drop()
+        common.settle(spark)
         before = {id(x) for x in common._opened}
         out = function(spark, docs, sf_dir)
         _spent.extend(x for x in common._opened if id(x) not in before)
