@@ -115,8 +115,8 @@ class Slice:
         out[self.starts] = before
         return out
 
-    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct hashes of the n-grams that end at each token, and which of these each token has."""
+    def grams(self, order: int, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes of the n-grams that end at each token (or those of the mask), and which of them each has."""
         if order == 1:
             place = np.argsort(self.words)
             rank = np.empty(len(place), np.int64)
@@ -128,35 +128,106 @@ class Slice:
             earlier = self.shifted(earlier, _BEGIN)
             power = _U(pow(int(_G), k, 1 << 64))
             out = out + earlier * power
-        return np.unique(mix(out + _U(order)), return_inverse=True)
+        out = mix(out + _U(order))
+        return np.unique(out if where is None else out[where], return_inverse=True)
+
+
+class Known:
+    """What a slice knows of its tokens' n-grams of one order: counts in the texts kept and in all training texts,
+
+    and which are alone: seen once in training, in this slice, and asked for by no other.
+    """
+
+    def __init__(self, s: Slice, kind: int, order: int, answers: dict, shorter: Known | None, texts: int):
+        self.ask = np.ones(len(s.ids), bool)
+        known_alone = ~self.ask
+        if order > 2:
+            known_alone = s.shifted(shorter.alone, False)
+            self.ask = ~known_alone & (s.shifted(shorter.total, texts) > 0)
+        if answers is None:
+            return
+        cells = [unpack(answers[k]).astype(np.int64) for k in sorted(answers) if k[0] == order]
+        _, at = s.grams(order, self.ask if order > 2 else None)
+        if kind == HELD:
+            kept = np.concatenate([c[: len(c) // 2] for c in cells] or [np.zeros(0, np.int64)])[at]
+            cells = [c[len(c) // 2 :] for c in cells]
+        total = np.concatenate(cells or [np.zeros(0, np.int64)])[at]
+        self.alone = known_alone.copy()
+        if kind != OTHER:
+            self.alone[self.ask] = total == 0
+        self.total = self.alone.astype(np.int64)
+        self.total[self.ask] += total
+        self.kept = self.total
+        if kind == HELD:
+            self.kept = np.zeros(len(s.ids), np.int64)
+            self.kept[self.ask] = kept
+
+
+def _cut(s: Slice, slice_id: int, kind: int, order: int, bits: int, where: np.ndarray | None = None):
+    """Requests of a slice: a batch of level, range, slice, kind, hashes, n."""
+    grams, at = s.grams(order, where)
+    n = np.bincount(at, minlength=len(grams))
+    edges = np.searchsorted(grams, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits)) if bits else []
+    cut = np.concatenate(([0], edges, [len(grams)])).astype(np.int64)
+    rows = []
+    for r in np.flatnonzero(np.diff(cut)).tolist():
+        g = grams[cut[r] : cut[r + 1]]
+        rows.append((order, r, slice_id, kind, pack(np.diff(g, prepend=_U(0))), pack(n[cut[r] : cut[r + 1]]) if kind != OTHER else None))
+    return _columns(rows, _ASKED)
+
+
+_ASKED = pa.schema({"level": pa.int32(), "range": pa.int32(), "slice": pa.int64(), "kind": pa.int32(), "hashes": pa.binary(), "n": pa.binary()})
+_ANSWERED = pa.schema({"level": pa.int32(), "range": pa.int32(), "slice": pa.int64(), "counts": pa.binary(), "seen_kept": pa.int64(), "seen": pa.int64()})
+_REQUESTS = "level int, range int, slice long, kind int, hashes binary, n binary"
+
+
+def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _asked(parts: DataFrame, bits: int) -> DataFrame:
-    """level, range, slice, kind, hashes, n: the distinct n-grams of each slice, cut by their hashes' leading bits."""
+    """The requests of each slice for its words and pairs of words."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 s = Slice(row)
-                for level in range(1, ORDER + 1):
-                    grams, at = s.grams(level)
-                    n = np.bincount(at, minlength=len(grams))
-                    cut = np.searchsorted(grams, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits)) if bits else []
-                    cut = np.concatenate(([0], cut, [len(grams)])).astype(np.int64)
-                    rows = []
-                    for r in np.flatnonzero(np.diff(cut)).tolist():
-                        g = grams[cut[r] : cut[r + 1]]
-                        rows.append((level, r, row["slice"], row["kind"], pack(np.diff(g, prepend=_U(0))), pack(n[cut[r] : cut[r + 1]]) if row["kind"] != OTHER else None))
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, ["level", "range", "slice", "kind", "hashes", "n"])
+                for order in range(1, min(ORDER, 2) + 1):
+                    yield _cut(s, row["slice"], row["kind"], order, bits)
+
+    return map_arrow(parts.select("slice", "kind", "lengths", "ids", "words"), run, _REQUESTS)
+
+
+def _known(left: pa.Table, right: pa.Table, texts: int, orders) -> tuple[Slice, int, list[Known]]:
+    """The slice of a group, its kind, and by order what its answers say."""
+    row = left.select(["kind", "lengths", "ids", "words"]).to_pylist()[0]
+    answers = {(a, b): c for a, b, c in zip(*(right.column(n).to_pylist() for n in ("level", "range", "counts")), strict=True)}
+    s, out = Slice(row), [None]
+    for order in orders:
+        out.append(Known(s, row["kind"], order, answers, out[-1], texts))
+    return s, row["kind"], out[1:]
+
+
+def _asked_again(parts: DataFrame, answers: DataFrame, order: int, bits: int, texts: int) -> DataFrame:
+    """The requests of each slice for its n-grams of an order above two, where the shorter ones' answers leave them open."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        s, kind, known = _known(left, right, texts, range(2, order))
+        where = Known(s, kind, order, None, known[-1], texts).ask
+        out = pa.Table.from_batches([_cut(s, left.column("slice")[0].as_py(), kind, order, bits, where)])
+        give_back()
+        return out
 
-    return map_arrow(parts.select("slice", "kind", "lengths", "ids", "words"), run, "level int, range int, slice long, kind int, hashes binary, n binary")
+    needed = answers.where(F.col("level").between(2, order - 1))
+    return parts.drop("doc_ids").groupBy("slice").cogroup(needed.groupBy("slice")).applyInArrow(run, _REQUESTS)
 
 
 def _answered(asked: DataFrame) -> DataFrame:
-    """level, range, slice, counts: for each request the n-grams' counts in the texts kept, and in all training texts;
+    """level, range, slice, counts: for each request the n-grams' counts in all training texts, 0 for those that are alone
 
-    and a row without a slice for each range: how many n-grams were seen in either.
+    (requests of held-out texts: before these the counts in the texts kept); and a row without a slice for each range: how
+    many n-grams were seen in the texts kept, and in all.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -171,35 +242,18 @@ def _answered(asked: DataFrame) -> DataFrame:
         counts = np.concatenate([np.zeros(m) if k == OTHER else unpack(ns[i].as_py()).astype(float) for i, m, k in zip(order.tolist(), sizes, kinds, strict=True)])
         kept = np.bincount(at, counts * np.repeat(kinds == KEPT, sizes), len(grams)).astype(np.int64)
         total = np.bincount(at, counts, len(grams)).astype(np.int64)
-        ends = np.cumsum(sizes)
         rows = [(level, part, None, None, int((kept > 0).sum()), int((total > 0).sum()))]
+        total[(total == 1) & (np.bincount(at, minlength=len(grams)) == 1)] = 0
+        ends = np.cumsum(sizes)
         for i, k, a, b in zip(order.tolist(), kinds, ends - sizes, ends, strict=True):
-            # the texts held out are asked for twice: for the weights, then for their scores
             counts = np.concatenate((kept[at[a:b]], total[at[a:b]])) if k == HELD else total[at[a:b]]
             rows.append((level, part, table.column("slice")[i].as_py(), pack(counts), 0, 0))
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
         give_back()
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["level", "range", "slice", "counts", "seen_kept", "seen"])
+        return pa.Table.from_batches([_columns(rows, _ANSWERED)])
 
     return asked.groupBy("level", "range").applyInArrow(run, "level int, range int, slice long, counts binary, seen_kept long, seen long")
 
 
-def _counts(table: pa.Table, s: Slice, kept: bool, texts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """By order: each token's n-gram's count, and its context's."""
-    answers = {(a, b): c for a, b, c in zip(*(table.column(n).to_pylist() for n in ("level", "range", "counts")), strict=True)}
-    grams, contexts = [], []
-    for level in range(1, ORDER + 1):
-        cells = [unpack(answers[k]).astype(np.int64) for k in sorted(answers) if k[0] == level]
-        both = kept is not None
-        if both:
-            cells = [c[: len(c) // 2] if kept else c[len(c) // 2 :] for c in cells]
-        _, at = s.grams(level)
-        grams.append(np.concatenate(cells)[at])
-        if level > 1:
-            contexts.append(s.shifted(grams[level - 2], texts))
-    return grams, contexts
-
-
 def bucket(contexts: np.ndarray) -> np.ndarray:
     """0 for contexts never seen, then one more for each power of two."""
     return np.frexp(contexts.astype(float))[1]
@@ -240,17 +294,18 @@ def learn(bins: np.ndarray, n: np.ndarray, rounds: int = 200) -> float:
     return weight
 
 
-def _events(parts: DataFrame, answers: DataFrame, texts: int) -> DataFrame:
+def _events(parts: DataFrame, answers: DataFrame, kept_texts: int, texts: int) -> DataFrame:
     """The counts of the held-out slices' tokens, by the texts kept alone."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        s = Slice(left.to_pylist()[0])
-        grams, contexts = _counts(right, s, True, texts)
+        s, _, known = _known(left, right, texts, range(1, ORDER + 1))
+        grams = [k.kept for k in known]
+        contexts = [s.shifted(g, kept_texts) for g in grams[:-1]]
         give_back()
         return pa.table([pa.array([pack(x)], pa.binary()) for x in (*grams, *contexts)], [f"x{i}" for i in range(2 * ORDER - 1)])
 
     schema = ", ".join(f"x{i} binary" for i in range(2 * ORDER - 1))
-    return parts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, schema)
+    return parts.drop("doc_ids").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, schema)
 
 
 def weights(events: DataFrame, tokens: int, seen: int) -> list[np.ndarray]:
@@ -299,19 +354,25 @@ def scores(docs: DataFrame, trained: Column) -> DataFrame:
     texts = {k: tallies[k]["texts"] if k in tallies else 0 for k in (OTHER, KEPT, HELD)}
     tokens = {k: tallies[k]["tokens"] if k in tallies else 0 for k in (OTHER, KEPT, HELD)}
     bits = max(0, (sum(tokens.values()) // RANGE).bit_length())
+    n, m = tokens[KEPT] + tokens[HELD], texts[KEPT] + texts[HELD]
     answers = scratch.table(_answered(_asked(parts, bits)))
-    scratch.settle()
+    scratch.settle()  # lets the shuffled requests go
     r = answers.where("slice is null and level = 1").agg(F.sum("seen_kept").alias("kept"), F.sum("seen").alias("all")).first()
     seen_kept, seen = r["kept"] or 0, r["all"] or 0
     answers = answers.where("slice is not null").select("slice", "level", "range", "counts")
+    for order in range(3, ORDER + 1):
+        more = scratch.table(_answered(_asked_again(parts, answers, order, bits, m)))
+        answers = answers.unionByName(more.where("slice is not null").select("slice", "level", "range", "counts"))
+        scratch.settle()
     held = parts.where(F.col("kind") == HELD)
-    events = scratch.table(_events(held, answers.join(held.select("slice"), "slice", "left_semi"), texts[KEPT]))
+    events = scratch.table(_events(held, answers.join(held.select("slice"), "slice", "left_semi"), texts[KEPT], m))
     learned = weights(events, tokens[KEPT], seen_kept)
-    n, m = tokens[KEPT] + tokens[HELD], texts[KEPT] + texts[HELD]
+    scratch.settle()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        s = Slice(left.select(["lengths", "ids", "words"]).to_pylist()[0])
-        grams, contexts = _counts(right, s, False if left.column("kind")[0].as_py() == HELD else None, m)
+        s, _, known = _known(left, right, m, range(1, ORDER + 1))
+        grams = [k.total for k in known]
+        contexts = [s.shifted(g, m) for g in grams[:-1]]
         of = lambda x: np.add.reduceat(x, s.starts)
         base = of(np.log10((grams[0] + 1) / (n + seen + 1)))
         score = of(np.log10(mixture(grams, contexts, learned, n, seen, ORDER)))
