@@ -6,6 +6,6 @@ from pyspark.sql import SparkSession
 
 
 def session(name: str = "inkstream", **settings: str) -> SparkSession:
-    """Adaptive execution, UTC and Arrow; a running session is used as it is."""
-    conf = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true"}
+    """Adaptive execution, UTC, Arrow, and the state store that keyed machines need; a running session is used as it is."""
+    conf = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
     return SparkSession.builder.appName(name).config(map=conf | {k.replace("__", "."): v for k, v in settings.items()}).getOrCreate()
