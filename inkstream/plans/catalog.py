@@ -699,3 +699,6 @@ def tracked_objects(i: Inputs) -> DataFrame:
     from ..streaming.tracker import track
 
     return track(rank.suppress(i.detection()))
+
+
+from . import dealing  # noqa: E402, F401
