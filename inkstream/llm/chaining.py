@@ -8,7 +8,8 @@ and a source's neighbouring stretches merged. Passages of at least ``least`` wor
 A phrase that many documents have can hide a passage's own source: its seeds then meet other documents.
 So what is left of a document where enough seeds have been seen before is searched once more with long
 k-mers: the first documents that have those are further sources, chained and aligned in the same way. As the
-longest of them are as long as a passage, no passage that an earlier document has word for word is lost.
+longest of them are as long as a passage, no passage that an earlier document has word for word is lost: its
+anchors lie on one diagonal, and the run through each anchor is a stretch of its own beside the alignment.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .textcore import ALNUM, Words, grams, winnow_all
 SEED, WINDOW, LEAST, BRIDGE = 6, 5, 50, 3
 #: Cost of a word of gap on either side, words that are looked at beyond a chain, and the drop that ends an extension.
 GAP, MARGIN, DROP = 0.05, 40, 6
+#: Words of the k-mers that cut long gaps between anchors.
+SHORT = 3
 #: Words of the long k-mers of the second search, beside those as long as a passage.
 LONG = 16
 #: K-mers of which one task keeps the first places at a time, before any are shuffled.
@@ -136,13 +139,17 @@ def _same(a: list, i: int, b: list, j: int, step: int, stride: int = 16) -> int:
 
 
 def _between(a: list, i: int, i2: int, b: list, j: int, j2: int) -> list[tuple[int, int, int]]:
-    """Matched runs within a gap by longest common subsequence; long gaps are met from both ends instead."""
+    """Matched runs within a gap by longest common subsequence; a long gap is first cut at the best chain of its shorter
+    k-mers, and one without any is met from both ends."""
     n, m = i2 - i, j2 - j
     if n <= 0 or m <= 0:
         return []
     if n == m and a[i:i2] == b[j:j2]:
         return [(i, j, n)]
     if n > 80 or m > 80:
+        middle = _middle(a, i, i2, b, j, j2)
+        if middle:
+            return align(a[:i2], b[:j2], *middle, k=SHORT, start=(i, j), end=(i2, j2))
         front = _extend(a[:i2], i, b[:j2], j, 1)
         back = _extend(a[i:i2], n - 1, b[j:j2], m - 1, -1)
         after = (front[-1][0] + front[-1][2], front[-1][1] + front[-1][2]) if front else (i, j)
@@ -169,10 +176,44 @@ def _between(a: list, i: int, i2: int, b: list, j: int, j2: int) -> list[tuple[i
     return out
 
 
-def align(a: list, b: list, pos: list[int], other: list[int], k: int = SEED) -> list[tuple[int, int, int]]:
-    """Matched runs (place, place, words) of a chain: its seeds, the words between them, and what goes on at either end."""
-    at = (pos[0], other[0])
-    out = _extend(a, at[0] - 1, b, at[1] - 1, -1)[::-1]
+def _middle(a: list, i: int, i2: int, b: list, j: int, j2: int) -> tuple[list[int], list[int]] | None:
+    """Places of the best chain of SHORT-word k-mers within a gap, each met where the other text has it first."""
+    first: dict[tuple, int] = {}
+    for y in range(j, j2 - SHORT + 1):
+        first.setdefault(tuple(b[y : y + SHORT]), y)
+    met = [(x, y) for x in range(i, i2 - SHORT + 1) if (y := first.get(tuple(a[x : x + SHORT]))) is not None]
+    if not met:
+        return None
+    pos, other = [x for x, _ in met], [y for _, y in met]
+    best = chain(pos, other, SHORT)[0]
+    return [pos[x] for x in best], [other[x] for x in best]
+
+
+def diagonals(a: list, b: list, pos: list[int], other: list[int]) -> list[tuple[int, int, int]]:
+    """Each anchor's whole run of equal words, both ways along its diagonal: (place, place, words), no run twice.
+
+    Where anchors of different diagonals overlap, an alignment gives the words to one of them; a passage word for word is
+    on one diagonal and whole here.
+    """
+    reached: dict[int, int] = {}
+    out = []
+    for p, q in zip(pos, other, strict=True):
+        if p < reached.get(q - p, -1):
+            continue
+        back = _same(a, p - 1, b, q - 1, -1) if p and q else 0
+        run = back + _same(a, p, b, q, 1)
+        reached[q - p] = p - back + run
+        out.append((p - back, q - back, run))
+    return out
+
+
+def align(a: list, b: list, pos: list[int], other: list[int], k: int = SEED, start: tuple[int, int] | None = None, end: tuple[int, int] | None = None) -> list[tuple[int, int, int]]:
+    """Matched runs (place, place, words) of a chain: its seeds, the words between them, and what goes on at either end,
+
+    or, given where the texts are matched up to and from, the words up to there.
+    """
+    at = start or (pos[0], other[0])
+    out = [] if start else _extend(a, at[0] - 1, b, at[1] - 1, -1)[::-1]
     for p, q in zip(pos, other, strict=True):
         if p > at[0] and q > at[1]:
             out += _between(a, at[0], p, b, at[1], q)
@@ -180,7 +221,7 @@ def align(a: list, b: list, pos: list[int], other: list[int], k: int = SEED) ->
         if skip < k:
             out.append((p + skip, q + skip, k - skip))
         at = (max(at[0], p + k), max(at[1], q + k))
-    return out + _extend(a, at[0], b, at[1], 1)
+    return out + (_between(a, at[0], end[0], b, at[1], end[1]) if end else _extend(a, at[0], b, at[1], 1))
 
 
 def stretches(words: list[int], chains: list[dict], bridge: int = BRIDGE) -> list[tuple]:
@@ -189,7 +230,9 @@ def stretches(words: list[int], chains: list[dict], bridge: int = BRIDGE) -> lis
     # every chain is aligned: seeds that another chain covers don't tell how far this one's alignment goes
     for c in chains:
         shift, part = c["shift"], None
-        for i, j, n in align(words, c["words"], c["pos"], [x - shift for x in c["other"]]):
+        other = [x - shift for x in c["other"]]
+        out += [(i, i + n, n, c["source"], j + shift) for i, j, n in diagonals(words, c["words"], c["pos"], other)]
+        for i, j, n in align(words, c["words"], c["pos"], other):
             if part and i - part[1] <= bridge and j - part[4] <= bridge:
                 part[1], part[2], part[4] = i + n, part[2] + n, j + n
                 continue

@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from inkstream.llm import chaining, common, compression, licenses, minhash, packing, perplexity, queries, sharding, tokens, warc, winnowing
 from inkstream.llm.textcore import ALNUM_RE, SPACED_RE, fold
@@ -432,6 +432,7 @@ def test_phrases_of_other_documents_hide_no_passage(spark):
 
 
 @settings(max_examples=6, deadline=None)
+@example(223)
 @given(st.integers(0, 10_000))
 def test_passages_of_few_words(spark, seed):
     """Texts of 2 to 40 different words, with copied stretches: nothing that is repeated is missed."""
@@ -442,6 +443,25 @@ def test_passages_of_few_words(spark, seed):
     assert every_window_is_covered(texts, covered_words(spark, texts))
 
 
+def test_overlapping_anchors_leave_a_run_whole():
+    """Anchors of two diagonals that overlap in the source, as of a passage whose first words also stand before it."""
+    source = [*range(100, 107), *range(107, 157)]
+    own = [*range(20), *source[:13], *range(30, 45), *source[7:], *range(60, 70)]
+    at = own.index(107, 35)
+    chains = [{"source": 1, "shift": 0, "words": source, "pos": [20, 26, *range(at, at + 44, 6)], "other": [0, 6, *range(7, 51, 6)]}]
+    got = chaining.passages(np.array(own), chains)
+    assert any(x["from"] <= at and x["to"] >= at + 50 for x in got)
+
+
+def test_middle_of_a_long_gap_is_matched():
+    """Words that agree between two long changed parts, without a seed of their own."""
+    a = [*range(10), *range(1000, 1060), *[x if x % 5 else -x for x in range(20, 50)], *range(2000, 2060), *range(90, 100)]
+    b = [*range(10), *range(3000, 3060), *range(20, 50), *range(4000, 4060), *range(90, 100)]
+    runs = chaining.align(a, b, [0, 164], [0, 164])
+    matched = {i + x for i, _, n in runs for x in range(n)}
+    assert {i for i in range(70, 100) if a[i] == b[i]} <= matched and sum(n for *_, n in runs) == len(matched)
+
+
 def test_chains_within_others_are_aligned():
     own = list(range(200))
     fuzzy = [w if w % 9 else -1 - w for w in own[:100]]
