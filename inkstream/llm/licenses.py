@@ -16,19 +16,20 @@ from .common import BitmapFilter, Scratch, map_arrow, list_array, slices, text_c
 from .textcore import ALNUM, ALNUM_RE, U, Words, fold, grams, text_words
 
 GRAM = 3
-#: Diagonals this near are one span (words put in or left out); the share of a template's words to be covered,
+#: Diagonals this near are one span (so many words put in or left out); the share of a template's words to be covered,
 #: and of its own: those in k-grams that no other label's template has. Short templates must be covered whole.
-NEAR, COVER, SHORT = 4, 0.6, 15
+NEAR, COVER, SHORT = 12, 0.6, 10
 #: Phrases that are labels by themselves.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 #: Customary notices and short licences, by label, each with the name that tells it from its like
-#: (empty where the wording is its own).
+#: (empty where the wording is its own). A text must have the name's words one after another, as the template has.
 TEMPLATES = (
     ("gpl", "gnu general public license", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("gpl", "gnu general public license", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "gnu general public license", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("lgpl", "gnu lesser general public license", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("lgpl", "gnu lesser general public license", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("lgpl", "gnu lesser general public license", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("agpl", "gnu affero general public license", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("apache", "apache license", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("apache", "apache license", "Licensed under the Apache License, Version 2.0."),
@@ -39,9 +40,13 @@ TEMPLATES = (
     ("bsd", "", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("bsd", "", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("bsd", "", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
     ("isc", "", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("zlib", "", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
     ("mpl", "mozilla public license", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("mpl", "mozilla public license", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("epl", "eclipse public license", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0"),
+    ("epl", "eclipse public license", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
     ("unlicense", "public domain", "This is free and unencumbered software released into the public domain."),
     ("cc-by", "creative commons attribution 4", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-sa", "cc by sa", "Licensed under CC BY-SA 4.0."),
@@ -50,12 +55,19 @@ TEMPLATES = (
     ("cc-by-nc", "attribution noncommercial 4", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc-by-nc-sa", "attribution noncommercial sharealike", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
     ("cc-by-nd", "attribution noderivatives", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-nd", "attribution noncommercial noderivatives", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("cc-by", "creative commons attribution 3", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+    ("cc-by-sa", "attribution sharealike 3", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("cc-by-nc", "attribution noncommercial 3", "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License."),
+    ("cc-by-nd", "attribution noderivs 3", "This work is licensed under a Creative Commons Attribution-NoDerivs 3.0 Unported License."),
+    ("cc0", "cc0 1 0 universal", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("cc0", "", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work."),
 )
 
 
 class Template:
-    """Label, number of words, the words of the telling name, and those in k-grams that no other label's template has."""
+    """Label, number of words, the places and number of words of the telling name, and the words in k-grams that no other
+    label's template has."""
 
     def __init__(self, at: int, templates, k: int):
         self.label, name, text = templates[at]
@@ -63,10 +75,22 @@ class Template:
         runs = lambda w: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
         others = {g for label, _, t in templates if label != self.label for g in runs(ALNUM_RE.findall(fold(t)))}
         self.length, name = len(found), ALNUM_RE.findall(fold(name))
-        self.name = {i + j for i in range(len(found)) if name and found[i : i + len(name)] == name for j in range(len(name))}
+        self.names, self.name_words = [i for i in range(len(found)) if name and found[i : i + len(name)] == name], len(name)
         self.own = {i + j for i, g in enumerate(runs(found)) if g not in others for j in range(k)}
         self.cover = COVER if self.length >= SHORT else 1.0
 
+    def named(self, hits: list[tuple[int, int]], k: int) -> bool:
+        """Whether hits (place, template's place) have the whole name on one diagonal, so that its words follow each other."""
+        diagonals: dict[int, set[int]] = {}
+        for at, p in hits:
+            diagonals.setdefault(at - p, set()).add(p)
+        for at in self.names:
+            last = at + self.name_words - k
+            for found in diagonals.values():
+                if set(range(at, last + 1)) <= found if last >= at else not found.isdisjoint(range(last, at + 1)):
+                    return True
+        return not self.names
+
 
 def prepared(templates=TEMPLATES, k: int = GRAM) -> list[Template]:
     return [Template(i, templates, k) for i in range(len(templates))]
@@ -143,13 +167,13 @@ def verify_spans(diagonals: list[dict], templates: list[Template], k: int = GRAM
     ``diagonals``: template, diagonal and the template positions hit on it. Diagonals within ``near`` of the
     one before are merged. Hits that go on in text and template make a span; a step back or a gap as long as the
     template begins the next. A span counts when it covers enough of the template's words, enough of its own words and
-    its whole telling name. Of spans that overlap by half, that with most words stays.
+    its telling name, whole and word after word. Of spans that overlap by half, that with most words stays.
     """
     found, group = [], []
 
     def judge(t: int, hits: list[tuple[int, int]]) -> None:
         x, covered = templates[t], {p + j for _, p in hits for j in range(k)}
-        if len(covered) >= x.cover * x.length and x.name <= covered and len(covered & x.own) >= x.cover * len(x.own):
+        if len(covered) >= x.cover * x.length and x.named(hits, k) and len(covered & x.own) >= x.cover * len(x.own):
             found.append((t, hits[0][0], hits[-1][0] + k, len(covered) / x.length, len(covered)))
 
     def close() -> None:

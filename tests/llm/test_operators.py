@@ -339,17 +339,24 @@ def test_licences(spark, empty):
 
 
 def brute_labels(text):
-    """By alignment without seeds: every template's words as a longest common subsequence of each window of the text."""
+    """By alignment without seeds, and names looked for in the text itself: blocks of equal words of each template and the text."""
     import difflib
 
     w = ALNUM_RE.findall(fold(text))
+    grams_of = lambda t: {tuple(x[i : i + 3]) for x in [ALNUM_RE.findall(fold(t))] for i in range(len(x) - 2)}
     found = []
-    for t, x in zip(licenses.TEMPLATES, licenses.prepared(), strict=True):
-        words = ALNUM_RE.findall(fold(t[2]))
-        blocks = [b for b in difflib.SequenceMatcher(None, w, words, autojunk=False).get_matching_blocks() if b.size >= licenses.GRAM]
+    for label, name, t in licenses.TEMPLATES:
+        words, name = ALNUM_RE.findall(fold(t)), ALNUM_RE.findall(fold(name))
+        blocks = [b for b in difflib.SequenceMatcher(None, w, words, autojunk=False).get_matching_blocks() if b.size >= 3]
         covered = {b.b + j for b in blocks for j in range(b.size)}
-        if len(covered) >= x.cover * x.length and x.name <= covered and len(covered & x.own) >= x.cover * len(x.own):
-            found.append((len(covered), x.label, {b.a + j for b in blocks for j in range(b.size)}))
+        others = set().union(*(grams_of(x) for other, _, x in licenses.TEMPLATES if other != label))
+        own = {i + j for i in range(len(words) - 2) if tuple(words[i : i + 3]) not in others for j in range(3)}
+        least = 0.6 if len(words) >= 10 else 1.0
+        at = {b.a + j for b in blocks for j in range(b.size)}
+        near = w[min(at) : max(at) + 1] if at else []
+        named = not name or any(near[i : i + len(name)] == name for i in range(len(near)))
+        if named and len(covered) >= least * len(words) and len(covered & own) >= least * len(own):
+            found.append((len(covered), label, at))
     kept = []
     for n, label, at in sorted(found, key=lambda x: -x[0]):
         if all(2 * len(at & other) < min(len(at), len(other)) for _, _, other in kept):
@@ -357,6 +364,30 @@ def brute_labels(text):
     return {label for _, label, _ in kept}
 
 
+GPL = next(t for label, _, t in licenses.TEMPLATES if label == "gpl")
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        (GPL.replace("GNU General", "GNU Lesser General"), {"lgpl"}),
+        (GPL.replace("GNU General", "GNU Affero General"), {"agpl"}),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", {"cc-by-nc-nd"}),
+        ("This work is licensed under the Creative Commons Attribution 3.0 Unported License. To view a copy of this license, visit the page.", {"cc-by"}),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", {"cc-by-sa"}),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. Some more words stand here.", {"mpl"}),
+        ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", {"epl"}),
+        ("This work is dedicated to the public domain under CC0 1.0 Universal.", {"cc0"}),
+        (GPL.replace("modify it under", "modify it as often as anybody may wish under"), {"gpl"}),
+        ("The general public license of GNU is discussed in many a book on software that can be redistributed", set()),
+        ("THIS SOFTWARE IS PROVIDED BY THE AUTHOR AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE AUTHOR OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)", {"bsd"}),
+    ],
+)
+def test_labels_of_look_alikes(spark, text, labels):
+    got = licenses.scan(spark.createDataFrame([(1, f"{words(1, 20)} {text} {words(2, 20)}")], "doc_id int, text string")).first()
+    assert {*filter(None, got["labels"].split(","))} == labels
+
+
 def test_labels_of_every_notice_and_of_prose(spark):
     """Each template, plain and with a word in twelve changed, has its own label alone; prose near a notice has none."""
     docs, want = [], {}
@@ -365,7 +396,7 @@ def test_labels_of_every_notice_and_of_prose(spark):
         docs.append((i, f"{words(i, 30)} {text} {words(100 + i, 30)}"))
         want[i] = {label}
         if len(w) >= 40:
-            keep = set(next(iter([x for x in licenses.prepared() if x.label == label])).name)
+            keep = {at + j for x in licenses.prepared() if x.label == label for at in x.names for j in range(x.name_words)}
             worn = " ".join(f"worn{j}" if j % 12 == 11 and "lic" not in x.lower() and "gnu" not in x.lower() and j not in keep else x for j, x in enumerate(w))
             docs.append((1000 + i, f"{words(200 + i, 30)} {worn} {words(300 + i, 30)}"))
             want[1000 + i] = {label}
