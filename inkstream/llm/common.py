@@ -6,7 +6,9 @@ Every intermediate that must survive the loss of an executor is a Parquet table
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -95,8 +97,12 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def settle(spark: SparkSession) -> None:
-    """Collect in the driver's JVM between steps: Spark's cleaner then deletes the shuffle files of finished writes, and
-    the heap that large plans left behind shrinks; also give back what the driver's Python has freed."""
+    """Collect in the driver between steps: Spark's cleaner then deletes the shuffle files of finished writes, and the heap
+    that large plans left behind shrinks; also give back what the driver's Python has freed. Python goes first: frames and
+    functions in reference cycles keep their plans, and so the shuffles, alive in the JVM. So does Spark's listener thread
+    that of the last query until it hears of another: an empty one."""
+    gc.collect()
+    spark.range(0).write.format("noop").mode("overwrite").save()
     spark._jvm.java.lang.System.gc()
     give_back()
 
@@ -108,6 +114,8 @@ class Scratch:
         self.spark, self.path, self.count = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.shared: list = []
         _opened.append(self)
+        for mine in _collecting:
+            mine.append(self)
 
     def _folder(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -145,6 +153,18 @@ class Scratch:
 
 
 _opened: list[Scratch] = []
+_collecting: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def collecting():
+    """The scratches opened inside, for a caller that knows when their results have been written."""
+    mine: list[Scratch] = []
+    _collecting.append(mine)
+    try:
+        yield mine
+    finally:
+        _collecting.pop(next(i for i, x in enumerate(_collecting) if x is mine))
 
 
 def drop_scratch() -> None:

@@ -37,3 +37,18 @@ def test_edge_tables(docs, empty, spark):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, out, FOLDER).cache()
             out.count()
+
+
+def test_results_of_two_runs_stay_readable(spark):
+    """A second run deletes nothing that the first one's result reads."""
+    first = corpus_pipeline.run(spark, FOLDER)
+    second = corpus_pipeline.run(spark, FOLDER)
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect()))
+
+
+def test_stages_in_a_row_without_writing(spark):
+    """A stage whose input still reads what the one before wrote deletes nothing of it."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    one = corpus_pipeline.deduplicate(spark, docs, FOLDER)
+    two = corpus_pipeline.cut_repeats(spark, one, FOLDER)
+    assert 0 < two.count() <= one.count() <= 60
