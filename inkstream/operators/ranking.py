@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,33 +75,68 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return partial.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).where(F.col("rank") <= k)
 
 
-def _suppress(x, y, w, h, score, tie, threshold: float, contain: float | None) -> np.ndarray:
-    order = np.lexsort((tie, -score))
-    keep: list[int] = []
-    for i in order:
-        if keep:
-            k = np.array(keep)
-            iw = np.minimum(x[k] + w[k], x[i] + w[i]) - np.maximum(x[k], x[i])
-            ih = np.minimum(y[k] + h[k], y[i] + h[i]) - np.maximum(y[k], y[i])
-            common = np.where((iw > 0) & (ih > 0), iw * ih, 0.0)
-            union = w[k] * h[k] + w[i] * h[i] - common
-            if (np.divide(common, union, out=np.zeros_like(common), where=union > 0) > threshold).any():
-                continue
-            if contain is not None and ((common > contain * w[k] * h[k]) | (common > contain * w[i] * h[i])).any():
-                continue
-        keep.append(int(i))
-    return np.array(keep, np.int64)
+def _suppress(group, x, y, w, h, threshold: float, contain: float | None) -> np.ndarray:
+    """Which boxes stay, of rows in the order of group and preference: in rounds, the first open box of every group is kept
+    and closes those of its group that overlap it too much."""
+    kept, open_ = np.zeros(len(group), bool), np.arange(len(group))
+    while len(open_):
+        g = group[open_]
+        first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        k = np.repeat(open_[first], np.diff(np.append(first, len(open_))))
+        kept[open_[first]] = True
+        rest = np.ones(len(open_), bool)
+        rest[first] = False
+        i, k = open_[rest], k[rest]
+        iw = np.minimum(x[k] + w[k], x[i] + w[i]) - np.maximum(x[k], x[i])
+        ih = np.minimum(y[k] + h[k], y[i] + h[i]) - np.maximum(y[k], y[i])
+        common = np.where((iw > 0) & (ih > 0), iw * ih, 0.0)
+        union = w[k] * h[k] + w[i] * h[i] - common
+        over = np.divide(common, union, out=np.zeros_like(common), where=union > 0) > threshold
+        if contain is not None:
+            over |= (common > contain * w[k] * h[k]) | (common > contain * w[i] * h[i])
+        open_ = i[~over]
+    return kept
 
 
 def suppress(detections: DataFrame, threshold: float = 0.45, keys: tuple[str, ...] = ("stream_id", "frame_id"), contain: float | None = None) -> DataFrame:
     """Greedy non-maximum suppression in each frame (with "class" among the keys: in each class).
 
-    Best score first, ties by idx; a box goes if its IoU with a kept one exceeds the threshold, or, with
-    ``contain``, if their common part exceeds that share of either. A frame's boxes are bounded by the network.
+    Best score first (nulls last), ties by idx; a box goes if its IoU with a kept one exceeds the threshold, or, with
+    ``contain``, if their common part exceeds that share of either. Boxes with a null side overlap nothing. One shuffle and
+    sort by frame; a task takes many whole frames of an Arrow batch at once, and a frame's boxes are bounded by the network.
     """
+    names = ("x", "y", "w", "h")
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        return t.take(pa.array(_suppress(*(t.column(c).to_numpy().astype(float) for c in ("x", "y", "w", "h", "score", "idx")), threshold, contain)))
+    def run(batches):
+        held: list[pa.RecordBatch] = []
 
-    return detections.groupBy(*keys).applyInArrow(run, detections.schema)
+        def settled(table: pa.Table, group: np.ndarray):
+            box = [table.column(c).to_numpy().astype(float) for c in names]
+            return table.filter(pa.array(_suppress(group, *box, threshold, contain))).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            group = _numbered(table, keys)
+            cut = int(np.searchsorted(group, group[-1]))  # the last frame may go on
+            if cut:
+                yield from settled(table.slice(0, cut), group[:cut])
+                held = table.slice(cut).to_batches()
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from settled(table, _numbered(table, keys))
+
+    dealt = detections.repartition(*keys).sortWithinPartitions(*keys, F.col("score").desc_nulls_last(), "idx")
+    return dealt.mapInArrow(run, detections.schema)
+
+
+def _numbered(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    """Numbers from 0 of the runs of equal keys, nulls equal each other."""
+    new = np.zeros(table.num_rows, bool)
+    for c in keys:
+        near, far = table.column(c).slice(0, table.num_rows - 1), table.column(c).slice(1)
+        same = pc.or_(pc.fill_null(pc.equal(near, far), False), pc.and_(pc.is_null(near), pc.is_null(far)))
+        new[1:] |= ~same.to_numpy().astype(bool)
+    return np.cumsum(new)

@@ -200,7 +200,9 @@ def connected_components(i: Inputs) -> DataFrame:
     return _components(i)
 
 
-@query(None)
+@query(_COMPONENTS.strip() + """, box AS (SELECT image_id, label, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2, count(*) AS pixels FROM comp GROUP BY image_id, label)
+SELECT image_id, CAST(label AS BIGINT) AS label, pixels, greatest(x1 - p, 0) AS x1, greatest(y1 - p, 0) AS y1, least(x2 + p, 14) AS x2, least(y2 + p, 14) AS y2
+FROM (SELECT *, (y2 - y1) * 70 // 100 // 2 AS p FROM box WHERE pixels >= 3 AND (x2 - x1) * (y2 - y1) >= 4)""", "heat")
 def component_boxes(i: Inputs) -> DataFrame:
     """Boxes of regions of 3 pixels or more and an area of 4 or more, grown by their height."""
     b = heat.component_boxes(_components(i), 3, 4)
@@ -497,13 +499,23 @@ def feature_search(i: Inputs) -> DataFrame:
     return rank.top_k(e.where(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id"), e, 5).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(None)
+def _suppressed_sql(keys: str, over: str) -> str:
+    """A fold over a frame's boxes in order: each is appended unless one kept so far overlaps it too much."""
+    common = "greatest(least(k.x + k.w, b.x + b.w) - greatest(k.x, b.x), 0) * greatest(least(k.y + k.h, b.y + b.h) - greatest(k.y, b.y), 0)"
+    clash = f"len(list_filter(kept, lambda k: {over.format(common=common)})) > 0"
+    return f"""WITH g AS (SELECT list(d ORDER BY score DESC, idx) AS boxes FROM detection d GROUP BY {keys})
+SELECT unnest(list_reduce(boxes, lambda kept, b: CASE WHEN {clash} THEN kept ELSE list_append(kept, b) END, list_filter(boxes, lambda x: false)), recursive := true) FROM g"""
+
+
+_IOU = "({common}) / nullif(k.w * k.h + b.w * b.h - ({common}), 0) > 0.1"
+
+
+@query(_suppressed_sql("stream_id, frame_id", _IOU), "detection")
 def suppressed(i: Inputs) -> DataFrame:
-    """Greedy suppression is sequential: no SQL."""
     return rank.suppress(i.detection(), 0.1)
 
 
-@query(None)
+@query(_suppressed_sql("stream_id, frame_id, class", f"{_IOU} OR ({{common}}) > 0.5 * k.w * k.h OR ({{common}}) > 0.5 * b.w * b.h"), "detection")
 def suppressed_by_class(i: Inputs) -> DataFrame:
     return rank.suppress(i.detection(), 0.1, ("stream_id", "frame_id", "class"), contain=0.5)
 

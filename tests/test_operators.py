@@ -7,6 +7,7 @@ from inkstream.functions import recognition as rec
 from inkstream.functions import text as tx
 from inkstream.functions.observations import observations, to_json
 from inkstream.operators import generators as gen
+from inkstream.operators import heatmap
 from inkstream.operators import geometry as geo
 from inkstream.operators import ranking as rank
 from inkstream.operators.heatmap import _label
@@ -125,3 +126,47 @@ def test_text_helpers(spark):
     r = df.select(tx.processed("p"), tx.directory("p"), tx.ending("p"), tx.is_image("p")).collect()
     assert [tuple(x) for x in r] == [(True, "/a/b.c", ".jpg", True), (False, ".", "", False), (False, ".", ".jpg", True)]
     assert spark.range(1).select(tx.visible_bytes(F.lit("aé"))).first()[0] == "a[0xC3][0xA9]"
+
+
+def test_box_confidence_by_summed_areas(spark):
+    """Random pictures and boxes, some beyond the pixels, against the mean of each box's hot pixels."""
+    r = np.random.default_rng(3)
+    pixels = [(i, 0, int(y), int(x), float(v)) for i in range(4) for y, x, v in zip(r.integers(0, 30, 200), r.integers(5, 40, 200), r.random(200), strict=True)]
+    boxes = [(i, k, int(x), int(y), int(x + w), int(y + h)) for i in range(5) for k, (x, y, w, h) in enumerate(zip(r.integers(-3, 45, 40), r.integers(-3, 35, 40), r.integers(1, 20, 40), r.integers(1, 20, 40), strict=True))]
+    got = heatmap.box_confidence(spark.createDataFrame(boxes, "image_id int, label int, x1 int, y1 int, x2 int, y2 int"), spark.createDataFrame(pixels, "image_id int, tile_id int, y int, x int, val float"), 0.4)
+    top = {}
+    for i, _, y, x, v in pixels:
+        if np.float32(v) > np.float32(0.4):
+            top[i, y, x] = max(top.get((i, y, x), 0.0), float(np.float32(v)))
+    want = {}
+    for i, k, x1, y1, x2, y2 in boxes:
+        inside = [v for (j, y, x), v in top.items() if j == i and x1 <= x < x2 and y1 <= y < y2]
+        if inside:
+            want[i, k] = sum(inside) / len(inside)
+    found = {(x.image_id, x.label): x.confidence for x in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_suppression_across_batches_and_nulls(spark):
+    """Frames that go on over Arrow batches, null keys, scores and sides: as box by box."""
+    r = np.random.default_rng(5)
+    rows = [(int(g) if g else None, int(i), float(x), float(y), 10.0, 10.0, float(s)) for i, (g, x, y, s) in enumerate(zip(r.integers(0, 4, 300), r.integers(0, 60, 300), r.integers(0, 60, 300), r.random(300).round(1), strict=True))]
+    rows += [(1, 900, 5.0, 5.0, None, 10.0, 0.99), (1, 901, 5.0, 5.0, 10.0, 10.0, None)]
+    df = spark.createDataFrame(rows, "frame_id int, idx int, x double, y double, w double, h double, score double")
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(x.frame_id, x.idx) for x in rank.suppress(df, 0.2, ("frame_id",)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    want, kept = set(), {}
+    for g, i, x, y, w, h, s in sorted(rows, key=lambda q: (q[6] is None, -(q[6] or 0), q[1])):
+        over = False
+        for X, Y, W, H in kept.setdefault(g, []):
+            if None not in (w, W):
+                iw, ih = min(x + w, X + W) - max(x, X), min(y + h, Y + H) - max(y, Y)
+                over |= iw > 0 and ih > 0 and iw * ih / (w * h + W * H - iw * ih) > 0.2
+        if not over:
+            kept[g].append((x, y, w, h))
+            want.add((g, i))
+    assert got == want
