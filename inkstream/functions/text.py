@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -166,27 +165,119 @@ def merge_strategies(a: str, b: str) -> str:
     return _doubled(a + b)
 
 
-def merge_texts(texts) -> Column:
-    """``merge_all`` of an array column, in batches."""
+#: A fold keeps so many places of the text's end at hand, and sets the rest aside once the end is longer than the second.
+_NEAR, _FAR = 24, 256
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: an expression of a fold's step is otherwise computed wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _after(s: Column, n) -> Column:
+    """The string without its first n places."""
+    return F.substr(s, F.lit(1) + n)
+
+
+def _joined(a: Column, b: Column, reach: int = 4) -> Column:
+    """``merge_pair`` of two texts that aren't empty."""
+    fold = lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    ends = F.struct(fold(F.right(a, F.lit(reach))).alias("a"), fold(F.left(b, F.lit(reach))).alias("b"), F.length(a).alias("n"))
+
+    def chosen(e: Column) -> Column:
+        out = None
+        for i in range(reach):
+            at = F.call_function("instr", e["b"], F.substring(e["a"], -1 - i, 1))
+            hit, whole = (e["n"] > i) & (at > 0), F.concat(F.left(a, e["n"] - i), _after(b, at))
+            out = F.when(hit, whole) if out is None else out.when(hit, whole)
+        return out.otherwise(F.concat(a, b))
+
+    return _once(ends, chosen)
+
+
+def _strategies(a: Column, b: Column) -> Column:
+    """``merge_strategies`` of two texts that aren't empty, up to the doubled parts: null where no overlap is found."""
+    ends = F.struct(F.right(a, F.lit(10)).alias("a"), F.left(b, F.lit(10)).alias("b"), F.length(a).alias("n"), F.length(b).alias("m"))
+
+    def chosen(e: Column) -> Column:
+        fits = lambda n: (e["n"] >= n) & (e["m"] >= n) & (F.right(e["a"], F.lit(n)) == F.left(e["b"], F.lit(n)))
+        out = F.when(fits(2), F.concat(a, _after(b, 2)))
+        for n in (3, 4, 1):
+            out = out.when(fits(n), F.concat(a, _after(b, n)))
+        out = out.when((e["n"] >= 3) & (e["m"] >= 2) & (F.substring(e["a"], -3, 2) == F.left(e["b"], F.lit(2))), F.concat(F.left(a, e["n"] - 1), _after(b, 2)))
+        out = out.when((e["n"] >= 2) & (e["m"] >= 3) & (F.right(e["a"], F.lit(2)) == F.substring(e["b"], 2, 2)), F.concat(a, _after(b, 3)))
+        for n in range(10, 4, -1):
+            out = out.when(fits(n), F.concat(a, _after(b, n)))
+        return out
+
+    return _once(ends, chosen)
+
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: merge_all(list(x)) if x is not None else None)
+def undoubled(s: Column) -> Column:
+    """Without one copy of the longest part of 2 to 10 places that stands twice in a row; the first of equals."""
+    out = None
+    for n in range(10, 1, -1):
+        twice = F.rlike(s, F.lit(f"(?s)(.{{{n}}})\\1"))
+        less = F.regexp_replace(s, F.lit(f"(?s)^(.*?)(.{{{n}}})\\2"), F.lit("$1$2"))
+        out = F.when(twice, less) if out is None else out.when(twice, less)
+    return out.otherwise(s)
+
+
+def _put(done: Column, text: Column) -> Column:
+    """done and tail of a text so far: all but its end is set aside when that has grown, so a step copies little."""
+    n = F.length(text)
+    return F.when(n > _FAR, F.struct(F.concat(done, F.array(F.left(text, n - _NEAR))).alias("done"), F.right(text, F.lit(_NEAR)).alias("tail"))).otherwise(F.struct(done.alias("done"), text.alias("tail")))
+
+
+def _whole(t: Column) -> Column:
+    return F.concat(F.array_join(t["done"], ""), t["tail"])
+
+
+def _no_texts() -> Column:
+    return F.array().cast("array<string>")
 
-    return run(texts)
+
+def _older(t: Column, b: Column) -> Column:
+    """done and tail of the older merge of a text so far and the next, neither empty."""
+    found = lambda m: F.when(m.isNotNull(), _put(t["done"], m)).otherwise(_once(undoubled(F.concat(_whole(t), b)), lambda u: _put(_no_texts(), u)))
+    return _once(_strategies(t["tail"], b), found)
+
+
+def _folded(texts, step) -> Column:
+    """A left fold over an array of texts; null and empty ones are passed over. A null array stays null."""
+    first = F.struct(_no_texts().alias("done"), F.lit("").alias("tail"))
+    one = lambda t, b: F.when((b.isNull()) | (b == ""), t).when(t["tail"] == "", _put(t["done"], b)).otherwise(step(t, b))
+    return F.aggregate(texts, first, one, _whole)
+
+
+def merge_texts(texts) -> Column:
+    """``merge_all`` of an array column, as one native fold."""
+    return _folded(texts, lambda t, b: _once(_joined(t["tail"], b), lambda m: _put(t["done"], m)))
 
 
 def merge_texts_older(texts) -> Column:
-    """Fold of ``merge_strategies`` over an array column."""
+    """Fold of ``merge_strategies`` over an array column; only a text without overlap is looked at whole."""
+    return _folded(texts, _older)
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        def fold(x):
-            out = ""
-            for t in x:
-                out = merge_strategies(out, t or "")
-            return out
 
-        return s.map(lambda x: fold(x) if x is not None else None)
+def merge_readings_older(readings) -> Column:
+    """The older merge of an array of (idx, text, confidence) in order, as an array of the same.
 
-    return run(texts)
+    A reading goes on the one before if both have texts and its index is the index of the merged one or the next; then
+    the texts are merged and the confidence is the mean of the merged one's so far and its own. Others begin a row.
+    """
+    text = lambda r: F.coalesce(r["text"], F.lit(""))
+    row = lambda c: F.struct(c["idx"].alias("idx"), _whole(c["t"]).alias("text"), c["confidence"].alias("confidence"))
+    fresh = lambda r: F.struct(r["idx"].cast("long").alias("idx"), F.struct(_no_texts().alias("done"), text(r).alias("tail")).alias("t"), r["confidence"].cast("double").alias("confidence"))
+
+    def step(acc: Column, r: Column) -> Column:
+        c = acc["current"]
+        goes_on = ((r["idx"] == c["idx"]) | (r["idx"] == c["idx"] + 1)) & (c["t"]["tail"] != "") & (text(r) != "")
+        more = F.struct(c["idx"].alias("idx"), _older(c["t"], text(r)).alias("t"), ((c["confidence"] + r["confidence"]) / 2).alias("confidence"))
+        joined = F.struct(acc["rows"].alias("rows"), more.alias("current"))
+        pushed = F.struct(F.concat(acc["rows"], F.array(row(c))).alias("rows"), fresh(r).alias("current"))
+        begun = F.struct(acc["rows"].alias("rows"), fresh(r).alias("current"))
+        return F.when(c["idx"].isNull(), begun).when(goes_on, joined).otherwise(pushed)
+
+    none = F.struct(F.array().cast("array<struct<idx:bigint,text:string,confidence:double>>").alias("rows"), F.lit(None).cast("struct<idx:bigint,t:struct<done:array<string>,tail:string>,confidence:double>").alias("current"))
+    return F.aggregate(readings, none, step, lambda acc: F.when(acc["current"]["idx"].isNull(), acc["rows"]).otherwise(F.concat(acc["rows"], F.array(row(acc["current"])))))

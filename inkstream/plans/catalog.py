@@ -105,17 +105,60 @@ def full_text(i: Inputs) -> DataFrame:
     return i.segments().groupBy("box_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub_idx", "text"))), lambda x: x["text"]), " ").alias("text"))
 
 
-@query(None)
+def _merge_sql() -> str:
+    """The fold's step: a and b with their overlap once, by places of a from its end, then places of b from its start."""
+    low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    at = lambda i: f"instr({low('left(b, 4)')}, substr({low('right(a, 4)')}, -{i + 1}, 1))"
+    tries = " ".join(f"WHEN length(a) > {i} AND {at(i)} > 0 THEN left(a, length(a) - {i}) || substr(b, {at(i)} + 1)" for i in range(4))
+    return f"CASE WHEN b = '' THEN a WHEN a = '' THEN b {tries} ELSE a || b END"
+
+
+def _older_sql(a: str, b: str) -> str:
+    """The older merge of two texts that aren't empty."""
+    fits = lambda x, y, n: f"length({x}) >= {n} AND length({y}) >= {n} AND right({x}, {n}) = left({y}, {n})"
+    tries = [f"WHEN {fits(a, b, n)} THEN {a} || substr({b}, {n + 1})" for n in (2, 3, 4, 1)]
+    tries.append(f"WHEN length({a}) >= 3 AND {fits(f'left({a}, length({a}) - 1)', b, 2)} THEN left({a}, length({a}) - 1) || substr({b}, 3)")
+    tries.append(f"WHEN length({b}) >= 3 AND {fits(a, f'substr({b}, 2)', 2)} THEN {a} || substr({b}, 4)")
+    tries += [f"WHEN {fits(a, b, n)} THEN {a} || substr({b}, {n + 1})" for n in range(10, 4, -1)]
+    both = f"({a} || {b})"
+    twice = lambda n: f"list_filter(range(1, length({both}) - {2 * n - 2}), lambda i: substr({both}, i, {n}) = substr({both}, i + {n}, {n}))"
+    tries += [f"WHEN len({twice(n)}) > 0 THEN left({both}, CAST({twice(n)}[1] + {n - 1} AS INT)) || substr({both}, {twice(n)}[1] + {2 * n})" for n in range(10, 1, -1)]
+    return f"CASE {' '.join(tries)} ELSE {both} END"
+
+
+_PARTS = "parts AS (SELECT box_idx, list(text ORDER BY sub_idx) AS parts FROM segments GROUP BY box_idx)"
+
+
+def _parts(i: Inputs) -> DataFrame:
+    return i.segments().groupBy("box_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("sub_idx", "text"))), lambda x: x["text"]).alias("parts"))
+
+
+@query(f"WITH {_PARTS} SELECT box_idx, list_reduce(parts, lambda a, b: {_merge_sql()}, '') AS text FROM parts", "segments")
 def merged_texts(i: Inputs) -> DataFrame:
-    """Left fold over a box's windows; a fold of this kind is no SQL."""
-    s = i.segments().groupBy("box_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("sub_idx", "text"))), lambda x: x["text"]).alias("parts"))
-    return s.select("box_idx", tx.merge_texts("parts").alias("text"))
+    """Left fold over a box's windows."""
+    return _parts(i).select("box_idx", tx.merge_texts("parts").alias("text"))
 
 
-@query(None)
+@query(f"WITH {_PARTS} SELECT box_idx, list_reduce(parts, lambda a, b: CASE WHEN b = '' THEN a WHEN a = '' THEN b ELSE {_older_sql('a', 'b')} END, '') AS text FROM parts", "segments")
 def merged_texts_older(i: Inputs) -> DataFrame:
-    s = i.segments().groupBy("box_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("sub_idx", "text"))), lambda x: x["text"]).alias("parts"))
-    return s.select("box_idx", tx.merge_texts_older("parts").alias("text"))
+    return _parts(i).select("box_idx", tx.merge_texts_older("parts").alias("text"))
+
+
+@query(
+    f"""WITH pieces AS (SELECT doc_id, k, substring(text, k * 16 + 1, 16) AS t FROM (SELECT doc_id, text, unnest(range((length(text) + 15) // 16)) AS k FROM documents)),
+r AS (SELECT doc_id, list(struct_pack(idx := k // 3, text := t, confidence := CAST((k * 37) % 100 AS DOUBLE) / 100) ORDER BY k) AS readings FROM pieces GROUP BY doc_id),
+f AS (SELECT doc_id, list_reduce(readings, lambda a, b: CASE
+  WHEN a.idx IS NULL THEN struct_pack(done := a.done, idx := b.idx, text := b.text, confidence := b.confidence)
+  WHEN (b.idx = a.idx OR b.idx = a.idx + 1) AND a.text <> '' AND b.text <> '' THEN struct_pack(done := a.done, idx := a.idx, text := {_older_sql("a.text", "b.text")}, confidence := (a.confidence + b.confidence) / 2)
+  ELSE struct_pack(done := list_append(a.done, struct_pack(idx := a.idx, text := a.text, confidence := a.confidence)), idx := b.idx, text := b.text, confidence := b.confidence) END,
+  struct_pack(done := list_filter(readings, lambda x: false), idx := CAST(NULL AS BIGINT), text := '', confidence := CAST(0 AS DOUBLE))) AS x FROM r)
+SELECT doc_id, d.idx AS idx, d.text AS text, round(d.confidence, 9) AS confidence FROM (SELECT doc_id, unnest(list_append(x.done, struct_pack(idx := x.idx, text := x.text, confidence := x.confidence))) AS d FROM f)"""
+)
+def merged_readings(i: Inputs) -> DataFrame:
+    """Readings of 16 places, three to an index, merged with a running confidence: pieces without overlap, so all rules are met."""
+    parts = F.transform(F.regexp_extract_all("text", F.lit("(?s).{1,16}"), F.lit(0)), lambda x, k: F.struct(F.floor(k / 3).cast("long").alias("idx"), x.alias("text"), ((k * 37 % 100).cast("double") / 100).alias("confidence")))
+    rows = i.table("documents").where("text is not null and text <> ''").select("doc_id", F.explode(tx.merge_readings_older(parts)).alias("r"))
+    return rows.select("doc_id", "r.idx", "r.text", F.round("r.confidence", 9).alias("confidence"))
 
 
 @query("SELECT box_idx, arg_min(length(text), sub_idx) AS first_length FROM segments WHERE sub_idx > 0 GROUP BY box_idx", "segments")

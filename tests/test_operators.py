@@ -170,3 +170,40 @@ def test_suppression_across_batches_and_nulls(spark):
             kept[g].append((x, y, w, h))
             want.add((g, i))
     assert got == want
+
+
+def texts_to_merge(n=300):
+    import random
+
+    r, rows = random.Random(1), []
+    for i in range(n):
+        letters = "abAB é😀" if i % 2 else "abcdefghijkl"
+        rows.append((i, [None if r.random() < 0.05 else "".join(r.choice(letters) for _ in range(r.choice((0, 1, 2, 3, 5, 20)))) for _ in range(r.randrange(0, 50))]))
+    return [*rows, (n, None), (n + 1, ["ab" * 200, "b" * 300, "xy"])]
+
+
+def test_native_folds_are_the_pairs_in_turn(spark):
+    rows = texts_to_merge()
+    df = spark.createDataFrame(rows, "i int, p array<string>").select("i", tx.merge_texts("p").alias("a"), tx.merge_texts_older("p").alias("b"))
+    got = {x.i: (x.a, x.b) for x in df.collect()}
+    for i, p in rows:
+        older = ""
+        for x in p or []:
+            older = tx.merge_strategies(older, x or "")
+        assert got[i] == ((tx.merge_all(p), older) if p is not None else (None, None))
+
+
+def test_readings_merged_with_a_running_confidence(spark):
+    """Rows end at an empty text or an index further on than the merged one's next; the confidence is halved at each merge."""
+    rows = [(i, [(k // 2 + (k > 5), x, k / 10) for k, x in enumerate(p or [])]) for i, p in texts_to_merge(120)]
+    df = spark.createDataFrame(rows, "i int, r array<struct<idx:int,text:string,confidence:double>>").select("i", tx.merge_readings_older("r").alias("m"))
+    for i, merged in df.collect():
+        want, current = [], None
+        for idx, text, confidence in rows[i][1]:
+            text = text or ""
+            if current and idx in (current[0], current[0] + 1) and current[1] and text:
+                current = (current[0], tx.merge_strategies(current[1], text), (current[2] + confidence) / 2)
+            else:
+                want += [current] if current else []
+                current = (idx, text, confidence)
+        assert [tuple(m) for m in merged] == want + ([current] if current else [])
