@@ -108,11 +108,8 @@ def _label(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def components(mask: DataFrame) -> DataFrame:
-    """image_id, y, x, label: connected regions of distinct hot pixels; an image is one task's, as a picture is bounded.
-
-    The label is the number of the region's first pixel, row by row, as y * 2**20 + x.
-    """
+def _labelled(mask: DataFrame, *keys: str) -> DataFrame:
+    """image_id, y, x, label of the regions within each group of the keys: the place of a region's first pixel there."""
 
     def run(t: pa.Table) -> pa.Table:
         y, x = t.column("y").to_numpy().astype(np.int64), t.column("x").to_numpy().astype(np.int64)
@@ -123,7 +120,61 @@ def components(mask: DataFrame) -> DataFrame:
         return t.select(["image_id", "y", "x"]).append_column("label", pa.array(first[group]))
 
     kind = mask.schema["image_id"].dataType.simpleString()
-    return mask.select("image_id", "y", "x").groupBy("image_id").applyInArrow(run, f"image_id {kind}, y int, x int, label long")
+    return mask.groupBy(*keys).applyInArrow(run, f"image_id {kind}, y int, x int, label long")
+
+
+def components(mask: DataFrame) -> DataFrame:
+    """image_id, y, x, label: connected regions of distinct hot pixels; an image is one task's (``tiled_components`` has no such bound).
+
+    The label is the number of the region's first pixel, row by row, as y * 2**20 + x.
+    """
+    return _labelled(mask.select("image_id", "y", "x"), "image_id")
+
+
+def roots(edges: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """keys, node, root: the smallest node that edges (keys, a, b) connect each node with.
+
+    Alternating stars, each round a checkpoint: larger neighbours are linked to a node's smallest, then smaller ones to
+    theirs, until nothing changes; the rounds grow with the logarithm of the longest chain.
+    """
+    from ..session import checkpointed
+
+    both = edges.where("a <> b").select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = checkpointed(both)  # from larger to smaller
+    while True:
+        around = links.unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+        least = around.groupBy(*keys, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = around.join(least, [*keys, "a"]).where("b > a").select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.distinct()
+        least = large.groupBy(*keys, "a").agg(F.min("b").alias("m"))
+        small = large.join(least, [*keys, "a"])
+        small = small.where("b <> m").select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select(*keys, "a", F.col("m").alias("b")))
+        after = checkpointed(small.where("a <> b").distinct())
+        if after.exceptAll(links).isEmpty() and links.exceptAll(after).isEmpty():
+            break
+        links = after
+    nodes = links.select(*keys, F.col("a").alias("node"), F.col("b").alias("root"))
+    return nodes.unionByName(links.select(*keys, F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def tiled_components(mask: DataFrame, tile: int = 1024) -> DataFrame:
+    """``components`` of pictures of any size: no task holds more than a tile of ``tile`` pixels a side.
+
+    Regions are labelled within tiles; pixels that touch across a border make their labels equal, and only such labels
+    meet in the rounds of ``roots``. A label is at most what it was, so the first pixel's place is the smallest.
+    """
+    from ..session import checkpointed
+
+    cell = lambda v: F.floor(F.col(v) / tile)
+    m = mask.select("image_id", "y", "x").withColumns({"_ty": cell("y"), "_tx": cell("x")})
+    inside = checkpointed(_labelled(m, "image_id", "_ty", "_tx"))
+    border = inside.where((F.pmod("y", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("x", F.lit(tile)).isin(0, tile - 1)))
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])).alias("s")
+    moved = border.select("image_id", F.col("label").alias("a"), "y", "x", steps).withColumns({"y2": F.col("y") + F.col("s.dy"), "x2": F.col("x") + F.col("s.dx")})
+    moved = moved.where((F.floor(F.col("y2") / tile) != cell("y")) | (F.floor(F.col("x2") / tile) != cell("x"))).select("image_id", "a", F.col("y2").alias("y"), F.col("x2").alias("x"))
+    edges = moved.join(border, ["image_id", "y", "x"]).select("image_id", "a", F.col("label").alias("b"))
+    joined = inside.join(roots(edges).withColumnRenamed("node", "label"), ["image_id", "label"], "left")
+    return joined.select("image_id", "y", "x", F.coalesce("root", "label").alias("label"))
 
 
 def component_boxes(labelled: DataFrame, least_pixels: int = 0, least_area: int = 0) -> DataFrame:

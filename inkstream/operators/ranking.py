@@ -45,33 +45,44 @@ def newest(rows: DataFrame, keys: list[str], depth: int, order: str = "frame_id"
     return rows.withColumn("age", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))).where(F.col("age") <= depth)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, rank: the k vectors of largest cosine; a bounded query set against all, in one pass.
+#: Queries and vectors of one block of the search.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 16384
 
-    Queries (query_id, embedding) are a stated small set and are broadcast; each task keeps its own top k
-    before the final ranking, so no more than k rows per query and task are shuffled.
-    """
-    q = queries.select("query_id", "embedding").toArrow()
-    ids, m = q.column("query_id"), np.array(q.column("embedding").to_pylist(), np.float64)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids.to_numpy(), m / np.linalg.norm(m, axis=1, keepdims=True)))
 
-    def run(batches):
-        qid, unit = shared.value
-        best = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = np.array(b.column(1).to_pylist(), np.float64)
-            s = unit @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-            vid = np.broadcast_to(b.column(0).to_numpy(), s.shape)
-            best = (s, vid) if best is None else (np.hstack([best[0], s]), np.hstack([best[1], vid]))
-            top = np.stack([np.lexsort((best[1][i], -best[0][i]))[:k] for i in range(len(qid))])
-            best = np.take_along_axis(best[0], top, 1), np.take_along_axis(best[1], top, 1)
-        if best is not None:
-            n = best[0].shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(best[1].ravel()), pa.array(best[0].ravel())], ["query_id", "vec_id", "score"])
-
-    partial = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+    """query_id, vec_id, score, rank: the k vectors of largest cosine of each query, ties by vec_id.
+
+    Queries and vectors are dealt to blocks by hash; each pair of blocks is one product of matrices, whose k best a query
+    go on to the ranking, so a query sends k rows for each block of vectors and nothing is gathered or broadcast. Null
+    vectors, those without length and those with a null or not finite entry are like nothing: they have no rows. Repeated
+    ids are ranked each.
+    """
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    usable = lambda df, name: df.select(name, F.transform("embedding", lambda x: x.cast("double")).alias("v"), norm.alias("n")).where((F.col("n") > 0) & (F.col("n") < float("inf")))
+    q, v = usable(queries, "query_id"), usable(vectors, "vec_id")
+    nq, nv = (max(1, -(-df.count() // size)) for df, size in ((q, query_block), (v, vector_block)))
+    block = lambda n, *names: F.pmod(F.xxhash64(*names), F.lit(n)).cast("int")
+    # repeated rows of one id are dealt apart by their entries
+    q = q.withColumn("q", block(nq, "query_id", "v")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
+    v = v.withColumn("b", block(nv, "vec_id", "v")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
+
+    def unit(t: pa.Table) -> np.ndarray:
+        cells = t.column("v").combine_chunks()
+        return cells.flatten().to_numpy().reshape(len(cells), -1) / t.column("n").to_numpy()[:, None]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["query_id", "vec_id", "score"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([left.column("query_id").slice(0, 0), right.column("vec_id").slice(0, 0), pa.array([], pa.float64())], names)
+        s = unit(left) @ unit(right).T
+        order = right.column("vec_id").combine_chunks()
+        place = np.empty(len(order), np.int64)
+        place[pc.array_sort_indices(order).to_numpy()] = np.arange(len(order))
+        best = np.stack([np.lexsort((place, -row))[:k] for row in s])
+        return pa.table([left.column("query_id").take(pa.array(np.repeat(np.arange(len(s)), best.shape[1]))), right.column("vec_id").take(pa.array(best.ravel())), pa.array(np.take_along_axis(s, best, 1).ravel())], names)
+
+    partial = q.groupBy("q", "b").cogroup(v.groupBy("q", "b")).applyInArrow(run, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
     return partial.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).where(F.col("rank") <= k)
 
 

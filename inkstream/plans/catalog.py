@@ -243,6 +243,12 @@ def connected_components(i: Inputs) -> DataFrame:
     return _components(i)
 
 
+@query(_COMPONENTS.strip() + " SELECT image_id, y, x, CAST(label AS BIGINT) AS label FROM comp", "heat")
+def tiled_components(i: Inputs) -> DataFrame:
+    """Pictures of 14 pixels a side in tiles of 5: regions that cross borders are one."""
+    return heat.tiled_components(heat.merge_or(i.heat(), 0.2), 5)
+
+
 @query(_COMPONENTS.strip() + """, box AS (SELECT image_id, label, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2, count(*) AS pixels FROM comp GROUP BY image_id, label)
 SELECT image_id, CAST(label AS BIGINT) AS label, pixels, greatest(x1 - p, 0) AS x1, greatest(y1 - p, 0) AS y1, least(x2 + p, 14) AS x2, least(y2 + p, 14) AS y2
 FROM (SELECT *, (y2 - y1) * 70 // 100 // 2 AS p FROM box WHERE pixels >= 3 AND (x2 - x1) * (y2 - y1) >= 4)""", "heat")
@@ -727,14 +733,21 @@ def idle_sessions(i: Inputs) -> DataFrame:
     return lives(i.detection().withColumnRenamed("idx", "track_id"), "6 hours")
 
 
-@query(None)
+_PACED = """WITH RECURSIVE e AS (SELECT *, idx AS track_id, row_number() OVER (PARTITION BY stream_id, class, idx ORDER BY ts, frame_id) AS rn FROM detection),
+p AS (SELECT stream_id, class, track_id, rn, ts, {first} AS push FROM e WHERE rn = 1
+ UNION ALL SELECT e.stream_id, e.class, e.track_id, min(e.rn), arg_min(e.ts, e.rn), push + 1 FROM p JOIN e ON e.stream_id = p.stream_id AND e.class = p.class AND e.track_id = p.track_id
+ WHERE e.rn > p.rn AND e.ts >= p.ts + INTERVAL 6 HOUR AND push < 3 GROUP BY e.stream_id, e.class, e.track_id, push)
+SELECT e.* EXCLUDE (idx, rn), push FROM p JOIN e USING (stream_id, class, track_id, rn) WHERE push > 0"""
+
+
+@query(_PACED.format(first="CAST(1 AS INT)"), "detection")
 def push_fast(i: Inputs) -> DataFrame:
     from ..streaming.push import paced
 
     return paced(i.detection().withColumnRenamed("idx", "track_id"), interval_ms=6 * 3600_000, most=3)
 
 
-@query(None)
+@query(_PACED.format(first="CAST(0 AS INT)"), "detection")
 def push_interval(i: Inputs) -> DataFrame:
     from ..streaming.push import paced
 

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from inkstream.functions import recognition as rec
@@ -207,3 +208,65 @@ def test_readings_merged_with_a_running_confidence(spark):
                 want += [current] if current else []
                 current = (idx, text, confidence)
         assert [tuple(m) for m in merged] == want + ([current] if current else [])
+
+
+@pytest.mark.parametrize("tile", [3, 8, 64])
+def test_tiled_components_are_those_of_whole_pictures(spark, tile):
+    """Random pictures, a spiral through all tiles, and one pixel; neighbours meet across corners too."""
+    r = np.random.default_rng(tile)
+    points = {(1, int(y), int(x)) for y, x in r.integers(0, 40, (700, 2))} | {(2, 7, 7)}
+    top, left, bottom, right = 0, 0, 30, 30
+    while top < bottom and left < right:  # a line that winds inwards
+        points |= {(3, top, x) for x in range(left, right + 1)} | {(3, y, right) for y in range(top, bottom + 1)}
+        points |= {(3, bottom, x) for x in range(left + 1, right + 1)} | {(3, y, left + 1) for y in range(top + 2, bottom + 1)} | {(3, top + 2, left + 1)}
+        top, left, bottom, right = top + 2, left + 1, bottom - 2, right - 2
+    mask = spark.createDataFrame(sorted(points), "image_id int, y int, x int")
+    key = lambda df: sorted(map(tuple, df.select("image_id", "y", "x", "label").collect()))
+    assert key(heatmap.tiled_components(mask, tile)) == key(heatmap.components(mask))
+    assert heatmap.tiled_components(mask.where("false"), tile).count() == 0
+
+
+def test_roots_of_long_chains(spark):
+    edges = [(0, i, i + 1) for i in range(200)] + [(1, 5, 9), (1, 9, 7), (1, 3, 3)]
+    got = {(x.image_id, x.node): x.root for x in heatmap.roots(spark.createDataFrame(edges, "image_id int, a long, b long")).collect()}
+    assert got == {(0, i): 0 for i in range(201)} | {(1, i): 5 for i in (5, 7, 9)}
+
+
+def test_search_in_blocks(spark):
+    """Blocks of a few rows against all pairs; ties by id; what has no direction is left out."""
+    r = np.random.default_rng(2)
+    vectors = [(i, r.integers(-2, 3, 3).astype(float).tolist()) for i in range(120)]
+    odd = [(200, None), (201, [0.0, 0.0, 0.0]), (202, [1.0, None, 0.0]), (203, [float("nan"), 1.0, 0.0]), (5, [1.0, 0.0, 0.0])]
+    v = spark.createDataFrame(vectors + odd, "vec_id int, embedding array<double>")
+    got = rank.top_k(v.where("vec_id % 10 = 0 or vec_id > 199").withColumnRenamed("vec_id", "query_id"), v, 4, query_block=5, vector_block=7).collect()
+    unit = [(i, np.array(x) / np.linalg.norm(x)) for i, x in [*vectors, odd[-1]] if np.linalg.norm(x) > 0]
+    for q, x in [(i, x) for i, x in unit if i % 10 == 0]:
+        mine = sorted((a for a in got if a.query_id == q), key=lambda a: a.rank)
+        best = sorted(((round(-float(x @ y), 9), i) for i, y in unit))[:4]
+        assert [round(-a.score, 9) for a in mine] == [s for s, _ in best]
+        assert all(round(float(x @ dict(unit)[a.vec_id]), 9) == round(a.score, 9) or a.vec_id == 5 for a in mine)
+    assert {a.query_id for a in got} == {i for i, _ in unit if i % 10 == 0}
+    assert rank.top_k(v.where("false").withColumnRenamed("vec_id", "query_id"), v, 4).count() == 0
+
+
+def test_stage_log(spark, tmp_path):
+    """Two runs of two stages, one of which fails."""
+    from inkstream.operators import timing
+
+    for run in ("a", "b"):
+        log = timing.StageLog(spark, run, f"{tmp_path}/log")
+        with log.stage("detect") as s:
+            s.watch(spark.range(10)).write.format("noop").mode("overwrite").save()
+        try:
+            with log.stage("read") as s:
+                if run == "b":
+                    raise RuntimeError("no model")
+                s.watch(spark.range(3)).write.format("noop").mode("overwrite").save()
+        except RuntimeError:
+            pass
+        log.close()
+    rows = {(x.run, x.stage): x for x in spark.read.parquet(f"{tmp_path}/log").collect()}
+    assert (rows["a", "detect"].rows, rows["a", "read"].rows, rows["b", "detect"].rows, rows["b", "read"].rows) == (10, 3, 10, None)
+    assert rows["a", None].ms == rows["a", "detect"].ms + rows["a", "read"].ms
+    averages = {x.stage: x for x in timing.session_averages(spark.read.parquet(f"{tmp_path}/log")).collect()}
+    assert averages["detect"].runs == 2 and averages["detect"].rows == 20 and averages[None].mean_ms == (rows["a", None].ms + rows["b", None].ms) / 2
