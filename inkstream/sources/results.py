@@ -13,10 +13,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-
-class QueueEmpty(Exception):
-    """No result came within the time given."""
+from ..errors import QueueEmpty
 
 
 class _Folder:
@@ -96,8 +95,6 @@ class Cursor:
 
     def pull(self, timeout: float | None = None) -> DataFrame:
         """The next batch's rows. Waits up to ``timeout`` seconds (None: forever; 0: not at all), then raises ``QueueEmpty``."""
-        from pyspark.sql.types import StructType
-
         self.done()
         last, until = self.place(), None if timeout is None else time.monotonic() + timeout
         while True:

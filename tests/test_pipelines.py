@@ -57,3 +57,57 @@ def test_pixels_in_spark(spark):
     df = spark.createDataFrame([(bytes(range(24)), 2, 4), (None, 2, 4)], "data binary, h int, w int")
     r = df.select(pixels.letterboxed("data", "h", "w", 4, 4, "nearest"), pixels.png_of("data", "h", "w"), pixels.nv12_of("data", "h", "w")).collect()
     assert len(r[0][0]) == 48 and r[0][1][:4] == b"\x89PNG" and len(r[0][2]) == 12 and r[1][0] is None
+
+
+def test_settings_of_several_parts():
+    """All keys of the tracking pipeline, by their customary names."""
+    s = pl.Settings.read(
+        {
+            "track_disable": False, "push_disable": False, "push_strategy": {"mode": "INTERVAL", "interval_ms": 500, "counts": 3, "same_frame": True}, "target_config": ["body", "face"],
+            "body_max_target_count": 3, "vehicle_max_target_count": 2, "cycle_max_target_count": 1, **{f"{c}_confidence": 0.6 for c in pl.CLASSES}, **{f"{c}_min_size": (10, 20) for c in pl.CLASSES},
+            "detect_roi": {"enable": True, "rect": [0, 0, 100, 50]}, "crop_encoder": 0.2, "crop_encoder_qpLevel": 70, "resize_panorama_encoder_config": {"enable": True, "size": [960, 540]}, "push_panorama": {"enable": True, "quality": 80},
+            "push_quality_body": 0.1, "push_quality_vehicle": 0.2, "push_quality_cycle": 0.3, "push_quality_face": {"width": 40, "height": 50, "pitch": 30, "yaw": 20, "roll": 10, "blur": 0.5}, "push_quality_plate": 0.4,
+        }
+    )
+    assert (s.push_strategy, s.push_interval_ms, s.push_counts, s.push_same_frame, s.target_config, s.detect_roi) == ("INTERVAL", 500, 3, True, ("body", "face"), (0, 0, 100, 50))
+    assert (s.push_panorama, s.panorama_quality, s.panorama_size, s.crop_quality) == (True, 80.0, (960, 540), 70.0)
+    face, body = s.classes["face"], s.classes["body"]
+    assert (face.crop_w, face.crop_h, face.pitch, face.yaw, face.roll, face.blur, face.min_w, face.min_h) == (40, 50, 30, 20, 10, 0.5, 10, 20)
+    assert (body.max_count, body.confidence, body.quality, body.expand) == (3, 0.6, 0.1, 0.2)
+    p = s.push_settings(4)
+    assert p.enabled and p.version == 4 and p.most == 3 and not p.admits("face", 1.0, 0, 0, 39, 50) and p.admits("face", 0.0, 0, 0, 40, 50)
+    assert pl.Settings.read({"detect_roi": {"enable": False}}, s).detect_roi is None
+    for bad in ({"body_min_size": 5}, {"detect_roi": {"side": 1}}, {"push_strategy": {"mode": "SLOW"}}, {"push_counts": True}, {"target_config": "body"}, {"face_max_size": 3}):
+        with pytest.raises(pl.ConfigError):
+            pl.Settings.read(bad)
+
+
+def test_pipeline_reads_and_changes_its_settings(spark):
+    from datetime import datetime
+
+    from inkstream import errors
+    from inkstream.streaming.dealer import PushSettings
+
+    p = pl.Pipeline()
+    assert p.get_config("track_disable", "push_disable", "body_confidence") == {"track_disable": False, "push_disable": True, "body_confidence": 0.55}
+    p.set_config({"push_disable": False, "push_strategy": "FAST"})
+    with pytest.raises(pl.ConfigError):
+        p.set_config({"push_counts": 5, "nothing": 1})
+    assert p.get_config("push_counts", "push_strategy") == {"push_counts": 1, "push_strategy": "FAST"} and p.version == 1
+    row = p.control(spark, datetime(2026, 1, 1)).first()
+    assert PushSettings.of(row.settings).mode == "FAST" and PushSettings.of(row.settings).version == 1
+    p.close()
+    with pytest.raises(errors.InvalidHandle):
+        p.get_config()
+    assert len({e.name for e in errors.EngineError.__subclasses__()}) == len(errors.EngineError.__subclasses__()) == 12
+
+
+def test_limit_of_tracks_and_dealing(spark, folder):
+    items = spark.createDataFrame([(0, 1, t, c) for t, c in ((5, "body"), (3, "body"), (9, "body"), (1, "face"), (2, "face"))], "stream_id int, frame_id long, track_id long, class string")
+    s = pl.Settings.read({"body_max_target_count": 2, "face_max_count": 1})
+    assert sorted(x.track_id for x in pl.limit_tracks(items, s).collect()) == [1, 2, 3, 5]
+    d = Inputs(spark, folder).detection()
+    out = pl.dealt(d, pl.Settings.read({"push_disable": False, "push_strategy": "FAST"})).cache()
+    tracks = pl.follow(d, pl.Settings()).where("state = 'NEW'").count()
+    assert out.where("event = 'SELECT'").count() > 0 and out.select("stream_id", "class", "track_id").distinct().count() <= tracks
+    assert pl.dealt(d, pl.Settings()).count() == 0
