@@ -35,7 +35,7 @@ def folders(spark: SparkSession, path: str) -> DataFrame:
 
 def poll(spark: SparkSession, path: str, glob: str = "*.jpg", files_per_trigger: int = 1) -> DataFrame:
     """A stream of new files, the newest first; start it with a trigger of 5 seconds to poll as often."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("latestFirst", True).option("maxFilesPerTrigger", files_per_trigger).load(path)
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("latestFirst", True).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
 def frames(spark: SparkSession, schema: str, path: str, files_per_trigger: int = 20) -> DataFrame:
