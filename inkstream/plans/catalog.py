@@ -73,11 +73,11 @@ _BLOCKS = f"{_BEST}, {_CTC}, {_READ}, blocks AS (SELECT image_id // 4 AS image_i
 
 
 def _screens(i: Inputs) -> DataFrame:
-    return i.screens().withColumn("image_path", F.format_string("/shots/2025-03-07T09-%02d-41+01-00.jpg", F.col("image_id") % 60))
+    return i.screens().withColumn("image_path", F.format_string("/shots/2025-03-07T09-%02d-41+08-00.jpg", F.col("image_id") % 60))
 
 
 _OBSERVATION = f"""WITH {_BLOCKS}, doc AS (SELECT image_id, string_agg(text, ' ' ORDER BY ord) AS text, avg(confidence) AS confidence, count(*) AS n FROM blocks WHERE text <> '' GROUP BY image_id)
-SELECT s.image_id, 1 AS schema_version, concat('2025-03-07T09:', lpad(CAST(s.image_id % 60 AS VARCHAR), 2, '0'), ':41+01:00') AS captured_at, width, height,
+SELECT s.image_id, 1 AS schema_version, concat('2025-03-07T09:', lpad(CAST(s.image_id % 60 AS VARCHAR), 2, '0'), ':41+08:00') AS captured_at, width, height,
  coalesce(text, '') AS text, round(coalesce(confidence, 0.0), 6) AS confidence, CAST(coalesce(n, 0) AS INT) AS block_count FROM screens s LEFT JOIN doc USING (image_id)"""
 
 
