@@ -754,7 +754,15 @@ def push_interval(i: Inputs) -> DataFrame:
     return paced(i.detection().withColumnRenamed("idx", "track_id"), interval_ms=6 * 3600_000, most=3, first_waits=True)
 
 
-@query(None)
+_CORR = "(64 * list_dot_product(f.p, r.kept_p) - list_sum(f.p) * list_sum(r.kept_p)) / sqrt((64 * list_dot_product(f.p, f.p) - list_sum(f.p) ** 2) * (64 * list_dot_product(r.kept_p, r.kept_p) - list_sum(r.kept_p) ** 2))"
+
+
+@query(
+    f"""WITH RECURSIVE f AS (SELECT label AS stream_id, vec_id + o AS frame_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS p, row_number() OVER (PARTITION BY label ORDER BY vec_id + o) AS rn FROM embeddings, (VALUES (0), (1000000)) AS t(o)),
+r AS (SELECT stream_id, frame_id, rn, p AS kept_p, true AS kept FROM f WHERE rn = 1
+ UNION ALL SELECT stream_id, frame_id, rn, CASE WHEN c < 0.95 THEN p ELSE kept_p END, c < 0.95 FROM (SELECT f.*, r.kept_p, {_CORR} AS c FROM r JOIN f ON f.stream_id = r.stream_id AND f.rn = r.rn + 1))
+SELECT stream_id, frame_id FROM r WHERE kept"""
+)
 def last_kept_frames(i: Inputs) -> DataFrame:
     from ..streaming.dedup import keep_changed
 

@@ -158,3 +158,19 @@ def test_command_line(spark, folder, tmp_path, capsys):
     spark.createDataFrame(d, "stream_id int, frame_id long, idx int, class string, x double, y double, w double, h double, score double").write.parquet(f"{tmp_path}/d")
     assert main(["follow", f"{tmp_path}/d", f"{tmp_path}/items", "--config", str(tmp_path / "s.json")]) == 0
     assert [r["class"] for r in spark.read.parquet(f"{tmp_path}/items").collect()] == ["body"]
+
+
+def test_changed_frames_across_batches_and_nulls(spark):
+    rows = [(s, f, None if f % 7 == 3 else [] if f % 7 == 5 else [float(x) for x in np.random.default_rng(f // 2).random(4)]) for s in (0, 1, None) for f in range(40)]
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {(x.stream_id, x.frame_id) for x in dedup.keep_changed(spark.createDataFrame(rows, "stream_id int, frame_id int, pixels array<double>")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    want, last = set(), {}
+    for s, f, p in rows:
+        if s is not None and (not p or not last.get(s) or np.corrcoef(last[s], p)[0, 1] < 0.95):
+            want.add((s, f))
+            last[s] = p
+    assert got == want
