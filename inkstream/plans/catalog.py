@@ -343,10 +343,10 @@ def expand_boxes(i: Inputs) -> DataFrame:
     return i.boxes().where("y2 > y1").select("image_id", "box_idx", *[v.alias(n) for v, n in zip(b, ("x1", "y1", "x2", "y2"), strict=True)])
 
 
-@query("SELECT image_id, box_idx, round(x1 - p, 6) AS x1, round(y2 + p, 6) AS y2 FROM (SELECT *, least(x2 - x1, y2 - y1) * CAST(0.15 AS DOUBLE) AS p FROM boxes)", "boxes")
+@query("SELECT image_id, box_idx, round(x1 - p, 6) AS x1, round(y1 - p, 6) AS y1, round(x2 + p, 6) AS x2, round(y2 + p, 6) AS y2 FROM (SELECT *, least(x2 - x1, y2 - y1) * CAST(0.15 AS DOUBLE) AS p FROM boxes)", "boxes")
 def expand_boxes_by_side(i: Inputs) -> DataFrame:
     b = geo.expand_by_side("x1", "y1", "x2", "y2")
-    return i.boxes().select("image_id", "box_idx", F.round(b[0], 6).alias("x1"), F.round(b[3], 6).alias("y2"))
+    return i.boxes().select("image_id", "box_idx", *[F.round(v, 6).alias(n) for v, n in zip(b, ("x1", "y1", "x2", "y2"), strict=True)])
 
 
 @query("SELECT stream_id, frame_id, idx, round(x - w * expand, 6) AS x, round(y - h * expand, 6) AS y, round(w * (1 + 2 * expand), 6) AS w, round(h * (1 + 2 * expand), 6) AS h FROM detection JOIN class_config USING (class)", "detection", "class_config")
@@ -392,22 +392,29 @@ def box_forms(i: Inputs) -> DataFrame:
     return i.detection().select("stream_id", "frame_id", "idx", t[2].alias("x2"), t[3].alias("y2"), a[0].alias("cx"), a[1].alias("cy"), F.round(a[2], 9).alias("aspect"))
 
 
-@query("WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[4] AS DOUBLE) AS d, vec_id % 80 AS gx, vec_id // 80 AS gy FROM embeddings) SELECT vec_id, round((a + gx) * 8 - exp(c) * 8 / 2, 6) AS x, round((b + gy) * 8 - exp(d) * 8 / 2, 6) AS y, round(exp(c) * 8, 6) AS w, round(exp(d) * 8, 6) AS h FROM e")
+@query("WITH e AS (SELECT vec_id, k, CAST(embedding[4 * k + 1] AS DOUBLE) AS a, CAST(embedding[4 * k + 2] AS DOUBLE) AS b, CAST(embedding[4 * k + 3] AS DOUBLE) AS c, CAST(embedding[4 * k + 4] AS DOUBLE) AS d, (vec_id * 16 + k) % 80 AS gx, (vec_id * 16 + k) // 80 AS gy FROM embeddings, range(16) AS r(k)) SELECT vec_id, CAST(k AS INT) AS k, round((a + gx) * 8 - exp(c) * 8 / 2, 6) AS x, round((b + gy) * 8 - exp(d) * 8 / 2, 6) AS y, round(exp(c) * 8, 6) AS w, round(exp(d) * 8, 6) AS h FROM e")
 def anchor_decode(i: Inputs) -> DataFrame:
-    e = i.table("embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate("abcd")])
-    box = geo.anchor_decode("a", "b", "c", "d", F.col("vec_id") % 80, F.floor(F.col("vec_id") / 80), F.lit(8))
-    return e.select("vec_id", *[F.round(v, 6).alias(n) for v, n in zip(box, ("x", "y", "w", "h"), strict=True)])
+    """Sixteen anchors of four values a vector."""
+    e = i.table("embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
+    e = e.select("vec_id", "k", (F.col("vec_id") * 16 + F.col("k")).alias("anchor"), *[F.get("embedding", F.col("k") * 4 + j).cast("double").alias(n) for j, n in enumerate("abcd")])
+    box = geo.anchor_decode("a", "b", "c", "d", F.col("anchor") % 80, F.floor(F.col("anchor") / 80), F.lit(8))
+    return e.select("vec_id", "k", *[F.round(v, 6).alias(n) for v, n in zip(box, ("x", "y", "w", "h"), strict=True)])
 
 
-@query("WITH e AS (SELECT vec_id, side, list_transform(embedding[side * 8 + 1 : side * 8 + 8], lambda v: exp(CAST(v AS DOUBLE))) AS p FROM embeddings, range(4) r(side)), d AS (SELECT vec_id, side, 8 * list_sum(list_transform(range(8), lambda k: k * p[k + 1])) / list_sum(p) AS v FROM e), o AS (SELECT vec_id, max(v) FILTER (side = 0) AS l, max(v) FILTER (side = 1) AS t, max(v) FILTER (side = 2) AS r, max(v) FILTER (side = 3) AS b FROM d GROUP BY vec_id) SELECT vec_id, round((vec_id % 80 + 0.5) * 8 - l, 6) AS x, round((vec_id // 80 + 0.5) * 8 - t, 6) AS y, round(l + r, 6) AS w, round(t + b, 6) AS h FROM o")
+@query("WITH e AS (SELECT vec_id, half, side, list_transform(embedding[half * 32 + side * 8 + 1 : half * 32 + side * 8 + 8], lambda v: exp(CAST(v AS DOUBLE))) AS p FROM embeddings, range(4) r(side), range(2) t(half)), d AS (SELECT vec_id, half, side, 8 * list_sum(list_transform(range(8), lambda k: k * p[k + 1])) / list_sum(p) AS v FROM e), o AS (SELECT vec_id, half, vec_id * 2 + half AS anchor, max(v) FILTER (side = 0) AS l, max(v) FILTER (side = 1) AS t, max(v) FILTER (side = 2) AS r, max(v) FILTER (side = 3) AS b FROM d GROUP BY vec_id, half) SELECT vec_id, CAST(half AS INT) AS half, round((anchor % 80 + 0.5) * 8 - l, 6) AS x, round((anchor // 80 + 0.5) * 8 - t, 6) AS y, round(l + r, 6) AS w, round(t + b, 6) AS h FROM o")
 def bins_decode(i: Inputs) -> DataFrame:
-    box = geo.bins_decode("embedding", F.col("vec_id") % 80, F.floor(F.col("vec_id") / 80), F.lit(8))
-    return i.table("embeddings").select("vec_id", *[F.round(v, 6).alias(n) for v, n in zip(box, ("x", "y", "w", "h"), strict=True)])
+    """Two proposals of four sides of eight bins a vector."""
+    e = i.table("embeddings").select("vec_id", "embedding", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+    e = e.select("vec_id", "half", F.slice("embedding", F.col("half") * 32 + 1, F.lit(32)).alias("bins"), (F.col("vec_id") * 2 + F.col("half")).alias("anchor"))
+    box = geo.bins_decode("bins", F.col("anchor") % 80, F.floor(F.col("anchor") / 80), F.lit(8))
+    return e.select("vec_id", "half", *[F.round(v, 6).alias(n) for v, n in zip(box, ("x", "y", "w", "h"), strict=True)])
 
 
-@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS class, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))), 9) AS sigmoid, round(exp(CAST(embedding[1] AS DOUBLE)) / list_sum(list_transform(embedding, lambda v: exp(CAST(v AS DOUBLE)))), 9) AS softmax FROM embeddings")
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS class, CAST(k AS INT) AS k, round(1 / (1 + exp(-CAST(embedding[k + 1] AS DOUBLE))), 9) AS sigmoid, round(exp(CAST(embedding[k + 1] AS DOUBLE)) / list_sum(list_transform(embedding, lambda v: exp(CAST(v AS DOUBLE)))), 9) AS softmax FROM embeddings, range(64) AS r(k)")
 def activations(i: Inputs) -> DataFrame:
-    return i.table("embeddings").select("vec_id", geo.argmax("embedding").alias("class"), F.round(geo.sigmoid(F.col("embedding")[0].cast("double")), 9).alias("sigmoid"), F.round(geo.softmax("embedding")[0], 9).alias("softmax"))
+    e = i.table("embeddings").select("vec_id", "embedding", geo.argmax("embedding").alias("class"), geo.softmax("embedding").alias("soft"))
+    e = e.select("vec_id", "class", F.posexplode(F.arrays_zip("embedding", "soft")).alias("k", "v"))
+    return e.select("vec_id", "class", "k", F.round(geo.sigmoid(F.col("v.embedding").cast("double")), 9).alias("sigmoid"), F.round("v.soft", 9).alias("softmax"))
 
 
 @query("SELECT event_id, round(((event_id % 256) - 7) * CAST(0.0125 AS DOUBLE), 9) AS value, event_id % 256 >= CAST(0.7 AS DOUBLE) * 0.7 / 0.0125 + 7 AS proposed FROM events")
@@ -678,10 +685,10 @@ def json_escape(i: Inputs) -> DataFrame:
     return i.table("documents").select("doc_id", F.get_json_object(j, "$.s").alias("text"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS size FROM events")
+@query("SELECT event_id, true AS ok, CAST(json_extract(props, '$.k') AS BIGINT) AS size, CAST(event_id % 1920 AS INT) AS width, CAST(NULL AS INT) AS height FROM events")
 def header_fields(i: Inputs) -> DataFrame:
-    line = F.concat(F.lit('{"ok":true,"width":640,"size":'), F.get_json_object("props", "$.k"), F.lit("}"))
-    return i.table("events").select("event_id", tx.snapshot_header(line)["size"].alias("size"))
+    line = F.concat(F.lit('{"ok":true,"width":'), (F.col("event_id") % 1920).cast("string"), F.lit(',"size":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    return i.table("events").select("event_id", tx.snapshot_header(line).alias("h")).select("event_id", "h.*")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE concat('1.', event_id) END AS version, CAST(CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS INT) AS level FROM events")
