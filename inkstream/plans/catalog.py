@@ -59,9 +59,11 @@ def valid_readings(i: Inputs) -> DataFrame:
     return rec.read(i.logits(), i.dictionary()).where(rec.valid(confidence="confidence")).select("image_id", "text")
 
 
-@query("SELECT * FROM dictionary", "dictionary")
+@query(f"WITH {_BEST}, {_CTC} SELECT dict_idx, token, count(c.image_id) AS uses FROM dictionary LEFT JOIN ctc c USING (dict_idx) GROUP BY ALL", "logits", "dictionary")
 def dictionary(i: Inputs) -> DataFrame:
-    return i.dictionary()
+    """The dictionary's entries, and how often the readings have each."""
+    used = rec.collapse(rec.best_classes(i.logits())).groupBy("dict_idx").agg(F.count("*").alias("uses"))
+    return i.dictionary().join(used, "dict_idx", "left").select("dict_idx", "token", F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
 def _blocks(i: Inputs) -> DataFrame:
@@ -309,9 +311,16 @@ def line_windows_wide_overlap(i: Inputs) -> DataFrame:
     return gen.line_windows(i.screens(), overlap=96)
 
 
-@query("SELECT range AS anchor, 8 AS stride, CAST(range % 80 AS INT) AS gx, CAST(range // 80 AS INT) AS gy FROM range(3840) UNION ALL SELECT range + 3840, 16, CAST(range % 40 AS INT), CAST(range // 40 AS INT) FROM range(960) UNION ALL SELECT range + 4800, 32, CAST(range % 20 AS INT), CAST(range // 20 AS INT) FROM range(240)")
+_ANCHORS = "a AS (SELECT range AS anchor, 8 AS stride, CAST(range % 80 AS INT) AS gx, CAST(range // 80 AS INT) AS gy FROM range(3840) UNION ALL SELECT range + 3840, 16, CAST(range % 40 AS INT), CAST(range // 40 AS INT) FROM range(960) UNION ALL SELECT range + 4800, 32, CAST(range % 20 AS INT), CAST(range // 20 AS INT) FROM range(240))"
+
+
+@query(f"WITH {_ANCHORS} SELECT stream_id, frame_id, idx, a.stride, a.anchor FROM detection JOIN a ON a.gx = CAST(floor((x + w / 2) * 0.3125 / a.stride) AS INT) AND a.gy = CAST(floor((y + h / 2) * 0.34375 / a.stride) AS INT)", "detection")
 def anchor_grid(i: Inputs) -> DataFrame:
-    return gen.anchor_grid(i.spark)
+    """The anchors, one of each stride, in whose cell the centre of a detection lies."""
+    cell = lambda at, size, scale: F.floor((F.col(at) + F.col(size) / 2) * scale / F.col("stride")).cast("int")
+    d = i.detection().select("stream_id", "frame_id", "idx", "x", "y", "w", "h", F.explode(F.array(F.lit(8), F.lit(16), F.lit(32))).alias("stride"))
+    d = d.select("stream_id", "frame_id", "idx", "stride", cell("x", "w", 0.3125).alias("gx"), cell("y", "h", 0.34375).alias("gy"))
+    return d.join(F.broadcast(gen.anchor_grid(i.spark)), ["stride", "gx", "gy"]).select("stream_id", "frame_id", "idx", "stride", "anchor")
 
 
 # --- geometry ------------------------------------------------------------------------------------
