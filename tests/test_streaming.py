@@ -101,3 +101,21 @@ def test_track_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     key = lambda d: sorted((r.frame_id, r.track_id, r.state) for r in d.collect())
     assert key(spark.table("tracks")) == key(tracker.track(df))
+
+
+def test_classes_of_a_stream_are_tasks_of_their_own(spark, monkeypatch):
+    """One stream of three classes: more than one task follows it, and its tracks, their ids among them, are those of one tracker frame by frame."""
+    rng, rows = np.random.default_rng(3), []
+    for f in sorted({*range(0, 3000, 2), *range(700, 760), *range(5000, 5090)}):
+        for k, kind in enumerate(("body", "face", "plate")):
+            if f > 5030 and kind != "face":  # the others' lost tracks are removed while only faces go on
+                continue
+            for j in range(int(rng.integers(0, 4))):
+                rows.append((0, f, 4 * k + j, kind, 100.0 * float(rng.integers(0, 4)) + float(rng.normal()), 50.0, 60.0 + k, 80.0, float(rng.choice([0.3, 0.6, 0.9, np.nan], p=[0.3, 0.3, 0.35, 0.05]))))
+    df, dealt = spark.createDataFrame(rows, DETECTIONS), []
+    monkeypatch.setattr(tracker, "checkpointed", lambda d, f=tracker.checkpointed: dealt.append(f(d)) or dealt[0])
+    got = sorted(tuple(r)[1:] for r in tracker.track(df).collect())
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in DETECTIONS.split(", ")]).sort_values(["frame_id", "class", "score", "idx"], ascending=[True, True, False, True])
+    assert got == sorted(tracker.StreamTracker().rows(frame))
+    assert {"New", "Tracked", "Removed"} == {r[3] for r in got}
+    assert dealt[0].select(F.spark_partition_id()).distinct().count() > 1
