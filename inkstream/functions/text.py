@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,99 +169,186 @@ def merge_strategies(a: str, b: str) -> str:
     return _doubled(a + b)
 
 
-#: A fold keeps so many places of the text's end at hand, and sets the rest aside once the end is longer than the second.
-_NEAR, _FAR = 24, 256
-
-
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once: an expression of a fold's step is otherwise computed wherever it stands."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _after(s: Column, n) -> Column:
-    """The string without its first n places."""
-    return F.substr(s, F.lit(1) + n)
-
-
-def _joined(a: Column, b: Column, reach: int = 4) -> Column:
-    """``merge_pair`` of two texts that aren't empty."""
-    fold = lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    ends = F.struct(fold(F.right(a, F.lit(reach))).alias("a"), fold(F.left(b, F.lit(reach))).alias("b"), F.length(a).alias("n"))
-
-    def chosen(e: Column) -> Column:
-        out = None
-        for i in range(reach):
-            at = F.call_function("instr", e["b"], F.substring(e["a"], -1 - i, 1))
-            hit, whole = (e["n"] > i) & (at > 0), F.concat(F.left(a, e["n"] - i), _after(b, at))
-            out = F.when(hit, whole) if out is None else out.when(hit, whole)
-        return out.otherwise(F.concat(a, b))
+#: A fold sets a text's settled part aside once its end is longer than the first, and keeps so many places before what isn't settled.
+_LONG, _NEAR = 4096, 64
+_TWICE = {n: re.compile(rf"(?s)(.{{{n}}})\1") for n in range(10, 1, -1)}
+#: What a part of 4 to 10 places that stands twice in a row has: four places that come again soon.
+_FOUR = re.compile(r"(?s)(....).{0,6}\1")
 
-    return _once(ends, chosen)
 
+class Merged:
+    """A text that grows by ``merge_pair`` or ``merge_strategies``, at the cost of what is added.
 
-def _strategies(a: Column, b: Column) -> Column:
-    """``merge_strategies`` of two texts that aren't empty, up to the doubled parts: null where no overlap is found."""
-    ends = F.struct(F.right(a, F.lit(10)).alias("a"), F.left(b, F.lit(10)).alias("b"), F.length(a).alias("n"), F.length(b).alias("m"))
-
-    def chosen(e: Column) -> Column:
-        fits = lambda n: (e["n"] >= n) & (e["m"] >= n) & (F.right(e["a"], F.lit(n)) == F.left(e["b"], F.lit(n)))
-        out = F.when(fits(2), F.concat(a, _after(b, 2)))
-        for n in (3, 4, 1):
-            out = out.when(fits(n), F.concat(a, _after(b, n)))
-        out = out.when((e["n"] >= 3) & (e["m"] >= 2) & (F.substring(e["a"], -3, 2) == F.left(e["b"], F.lit(2))), F.concat(F.left(a, e["n"] - 1), _after(b, 2)))
-        out = out.when((e["n"] >= 2) & (e["m"] >= 3) & (F.right(e["a"], F.lit(2)) == F.substring(e["b"], 2, 2)), F.concat(a, _after(b, 3)))
-        for n in range(10, 4, -1):
-            out = out.when(fits(n), F.concat(a, _after(b, n)))
-        return out
-
-    return _once(ends, chosen)
+    ``end`` is the text without the parts set aside in ``done``. No part of n places that stands twice in a row lies wholly
+    before the place ``clear[n]`` of ``end``: only what joins and removals touch is looked at again.
+    """
 
+    __slots__ = ("done", "end", "clear")
+
+    def __init__(self, text: str = ""):
+        self.done, self.end, self.clear = [], text, dict.fromkeys(_TWICE, 0)
+
+    def whole(self) -> str:
+        return "".join(self.done) + self.end if self.done else self.end
+
+    def _touched(self, place: int) -> None:
+        """The text was changed from ``place`` on."""
+        if max(self.clear.values()) > place:
+            self.clear = {n: min(x, place) for n, x in self.clear.items()}
+
+    def _settle(self) -> None:
+        """Set aside what is settled, or take back what may be touched again."""
+        if len(self.end) > _LONG and (cut := min(self.clear.values()) - _NEAR) > 0:
+            self.done.append(self.end[:cut])
+            self.end = self.end[cut:]
+            self.clear = {n: x - cut for n, x in self.clear.items()}
+        while self.done and min(self.clear.values()) < _NEAR // 2:
+            part = self.done.pop()
+            self.end = part + self.end
+            self.clear = {n: x + len(part) for n, x in self.clear.items()}
+
+    def add(self, b: str, reach: int = 4) -> None:
+        """``merge_pair`` with b."""
+        if len(self.end) > _LONG:
+            self.done.append(self.end[:-reach])
+            self.end = self.end[-reach:]
+        while self.done and len(self.end) < reach:
+            self.end = self.done.pop() + self.end
+        a = self.end
+        x, y = a[-reach:], b[:reach]
+        if x and y and x.isascii() and y.isascii():
+            y = y.lower()
+            for i, z in enumerate(reversed(x.lower())):
+                j = y.find(z)
+                if j >= 0:
+                    self.end = (a[:-i] if i else a) + b[j + 1 :]
+                    return
+            self.end = a + b
+        else:
+            self.end = merge_pair(a, b, reach)
+
+    def add_older(self, b: str) -> None:
+        """``merge_strategies`` with b."""
+        a = self.end
+        if not a or not b:
+            self.end = a or b
+            return
+        m, cut, skip = len(b), 0, 0
+        if m >= 2 and a.endswith(b[:2]):
+            skip = 2
+        elif m >= 3 and a.endswith(b[:3]):
+            skip = 3
+        elif m >= 4 and a.endswith(b[:4]):
+            skip = 4
+        elif a[-1] == b[0]:
+            skip = 1
+        elif m >= 2 and a[-3:-1] == b[:2]:
+            cut, skip = 1, 2
+        elif m >= 3 and a.endswith(b[1:3]):
+            skip = 3
+        elif m >= 5 and b[0] in a[-10:-4]:
+            for n in range(10, 4, -1):
+                if m >= n and a.endswith(b[:n]):
+                    skip = n
+                    break
+        self._touched(len(a) - cut)
+        if skip:
+            self.end = a[: len(a) - cut] + b[skip:]
+        else:
+            self.end = a + b
+            self._undouble()
+        if self.done or len(self.end) > _LONG:
+            self._settle()
+
+    def _undouble(self) -> None:
+        s, clear = self.end, self.clear
+        size = len(s)
+        low = min(x for n, x in clear.items() if n > 3)
+        if low < size and not _FOUR.search(s, max(low - 19, 0)):
+            for n in range(10, 3, -1):
+                clear[n] = size
+        for n, twice in _TWICE.items():
+            if clear[n] == size:
+                continue
+            found = twice.search(s, max(clear[n] - 2 * n + 1, 0))
+            if found:
+                at = found.start() + n
+                clear[n] = at
+                self.end = s[:at] + s[at + n :]
+                self._joined(at, n)
+                return
+            clear[n] = size
+
+    def _joined(self, at: int, less: int) -> None:
+        """``less`` places were taken out at ``at``: what is clear behind it stays so, unless a part lies across."""
+        for n, x in self.clear.items():
+            if x > at:
+                far = x - less > at + _NEAR and not _TWICE[n].search(self.end, max(at - 2 * n + 1, 0), at + 2 * n - 1)
+                self.clear[n] = x - less if far else at
+
+
+def merged(texts: Iterable[str | None], older: bool = False) -> str:
+    """Left fold of ``merge_pair`` or ``merge_strategies`` over texts in order; null and empty ones are passed over."""
+    out = Merged()
+    add = out.add_older if older else out.add
+    for t in texts:
+        if t:
+            add(t)
+    return out.whole()
 
-def undoubled(s: Column) -> Column:
-    """Without one copy of the longest part of 2 to 10 places that stands twice in a row; the first of equals."""
-    out = None
-    for n in range(10, 1, -1):
-        twice = F.rlike(s, F.lit(f"(?s)(.{{{n}}})\\1"))
-        less = F.regexp_replace(s, F.lit(f"(?s)^(.*?)(.{{{n}}})\\2"), F.lit("$1$2"))
-        out = F.when(twice, less) if out is None else out.when(twice, less)
-    return out.otherwise(s)
 
+def merged_readings_older(readings: Iterable[tuple[int | None, str | None, float | None]]) -> list[tuple[int | None, str, float | None]]:
+    """``merge_readings_older`` of one array."""
+    rows, current = [], None
+    for idx, text, confidence in readings:
+        text = text or ""
+        if current is not None and current[0] is not None:
+            at, so_far, sure = current
+            if idx is not None and at <= idx <= at + 1 and so_far.end and text:
+                so_far.add_older(text)
+                current = at, so_far, None if sure is None or confidence is None else (sure + confidence) / 2
+                continue
+            rows.append((at, so_far.whole(), sure))
+        current = idx, Merged(text), confidence
+    if current is not None and current[0] is not None:
+        rows.append((current[0], current[1].whole(), current[2]))
+    return rows
 
-def _put(done: Column, text: Column) -> Column:
-    """done and tail of a text so far: all but its end is set aside when that has grown, so a step copies little."""
-    n = F.length(text)
-    return F.when(n > _FAR, F.struct(F.concat(done, F.array(F.left(text, n - _NEAR))).alias("done"), F.right(text, F.lit(_NEAR)).alias("tail"))).otherwise(F.struct(done.alias("done"), text.alias("tail")))
 
+def _strings(column: pa.Array) -> list[str | None]:
+    """The strings of a column; bytes that are no UTF-8 are replaced."""
+    try:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    except (UnicodeDecodeError, pa.ArrowException):
+        return [x if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
 
-def _whole(t: Column) -> Column:
-    return F.concat(F.array_join(t["done"], ""), t["tail"])
 
+def _numbers(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count else column.to_numpy().tolist()
 
-def _no_texts() -> Column:
-    return F.array().cast("array<string>")
 
+def _bounds(column: pa.ListArray) -> list[tuple[int, int] | None]:
+    """Where each list lies in the flat values that ``column.values`` has; nothing for a null list."""
+    at = column.offsets.to_pylist()
+    return [None if null else (a, b) for a, b, null in zip(at[:-1], at[1:], column.is_null().to_pylist(), strict=True)]
 
-def _older(t: Column, b: Column) -> Column:
-    """done and tail of the older merge of a text so far and the next, neither empty."""
-    found = lambda m: F.when(m.isNotNull(), _put(t["done"], m)).otherwise(_once(undoubled(F.concat(_whole(t), b)), lambda u: _put(_no_texts(), u)))
-    return _once(_strategies(t["tail"], b), found)
 
+def _folds(older: bool):
+    def fold(column: pa.Array) -> pa.Array:
+        flat = _strings(column.values)
+        return pa.array([None if x is None else merged(flat[x[0] : x[1]], older) for x in _bounds(column)], pa.string())
 
-def _folded(texts, step) -> Column:
-    """A left fold over an array of texts; null and empty ones are passed over. A null array stays null."""
-    first = F.struct(_no_texts().alias("done"), F.lit("").alias("tail"))
-    one = lambda t, b: F.when((b.isNull()) | (b == ""), t).when(t["tail"] == "", _put(t["done"], b)).otherwise(step(t, b))
-    return F.aggregate(texts, first, one, _whole)
+    return F.arrow_udf(fold, "string")
 
 
 def merge_texts(texts) -> Column:
-    """``merge_all`` of an array column, as one native fold."""
-    return _folded(texts, lambda t, b: _once(_joined(t["tail"], b), lambda m: _put(t["done"], m)))
+    """``merge_all`` of an array column. A fold's step needs the one before, so rows are folded in Arrow batches."""
+    return _folds(False)(texts)
 
 
 def merge_texts_older(texts) -> Column:
-    """Fold of ``merge_strategies`` over an array column; only a text without overlap is looked at whole."""
-    return _folded(texts, _older)
+    """Fold of ``merge_strategies`` over an array column."""
+    return _folds(True)(texts)
 
 
 def merge_readings_older(readings) -> Column:
@@ -266,18 +357,12 @@ def merge_readings_older(readings) -> Column:
     A reading goes on the one before if both have texts and its index is the index of the merged one or the next; then
     the texts are merged and the confidence is the mean of the merged one's so far and its own. Others begin a row.
     """
-    text = lambda r: F.coalesce(r["text"], F.lit(""))
-    row = lambda c: F.struct(c["idx"].alias("idx"), _whole(c["t"]).alias("text"), c["confidence"].alias("confidence"))
-    fresh = lambda r: F.struct(r["idx"].cast("long").alias("idx"), F.struct(_no_texts().alias("done"), text(r).alias("tail")).alias("t"), r["confidence"].cast("double").alias("confidence"))
-
-    def step(acc: Column, r: Column) -> Column:
-        c = acc["current"]
-        goes_on = ((r["idx"] == c["idx"]) | (r["idx"] == c["idx"] + 1)) & (c["t"]["tail"] != "") & (text(r) != "")
-        more = F.struct(c["idx"].alias("idx"), _older(c["t"], text(r)).alias("t"), ((c["confidence"] + r["confidence"]) / 2).alias("confidence"))
-        joined = F.struct(acc["rows"].alias("rows"), more.alias("current"))
-        pushed = F.struct(F.concat(acc["rows"], F.array(row(c))).alias("rows"), fresh(r).alias("current"))
-        begun = F.struct(acc["rows"].alias("rows"), fresh(r).alias("current"))
-        return F.when(c["idx"].isNull(), begun).when(goes_on, joined).otherwise(pushed)
-
-    none = F.struct(F.array().cast("array<struct<idx:bigint,text:string,confidence:double>>").alias("rows"), F.lit(None).cast("struct<idx:bigint,t:struct<done:array<string>,tail:string>,confidence:double>").alias("current"))
-    return F.aggregate(readings, none, step, lambda acc: F.when(acc["current"]["idx"].isNull(), acc["rows"]).otherwise(F.concat(acc["rows"], F.array(row(acc["current"])))))
+    kind = pa.list_(pa.struct([("idx", pa.int64()), ("text", pa.string()), ("confidence", pa.float64())]))
+
+    def fold(column: pa.Array) -> pa.Array:
+        idx, text, confidence = column.values.flatten()
+        flat = list(zip(_numbers(idx), _strings(text), _numbers(confidence), strict=True))
+        return pa.array([None if x is None else [{"idx": i, "text": t, "confidence": c} for i, t, c in merged_readings_older(flat[x[0] : x[1]])] for x in _bounds(column)], kind)
+
+    plain = F.transform(readings, lambda r: F.struct(r["idx"].cast("long").alias("idx"), r["text"].alias("text"), r["confidence"].cast("double").alias("confidence")))
+    return F.arrow_udf(fold, "array<struct<idx:bigint,text:string,confidence:double>>")(plain)

@@ -194,6 +194,33 @@ def test_native_folds_are_the_pairs_in_turn(spark):
         assert got[i] == ((tx.merge_all(p), older) if p is not None else (None, None))
 
 
+def test_folds_cost_what_is_added(monkeypatch):
+    """Long texts of many doubled parts, which every step without an overlap used to look at whole: settled parts are set aside and taken back."""
+    import random
+
+    r = random.Random(5)
+    for long, letters in ((4096, "abcdefghijkl"), (90, "abcdefghijkl"), (20, "abcd")):
+        monkeypatch.setattr(tx, "_LONG", long)
+        texts, older = ["".join(r.choice(letters) * r.choice((1, 1, 2, 4)) for _ in range(r.randrange(1, 9))) for _ in range(400)], ""
+        for x in texts:
+            older = tx.merge_strategies(older, x)
+        assert tx.merged(texts, True) == older and tx.merged(texts) == tx.merge_all(texts)
+    looked = []
+
+    def seen(p):
+        def search(_, s, at, end=1 << 30):
+            found = p.search(s, at, end)
+            looked.append((found.end() if found else min(len(s), end)) - at)
+            return found
+
+        return type("Seen", (), {"search": search})()
+
+    monkeypatch.setattr(tx, "_TWICE", {n: seen(p) for n, p in tx._TWICE.items()})
+    texts = [f"{'abcdefghijklm'[k % 13]}{k:015d}" for k in range(3000)]
+    tx.merged(texts, True)
+    assert sum(looked) < 9 * 60 * len(texts)
+
+
 def test_readings_merged_with_a_running_confidence(spark):
     """Rows end at an empty text or an index further on than the merged one's next; the confidence is halved at each merge."""
     rows = [(i, [(k // 2 + (k > 5), x, k / 10) for k, x in enumerate(p or [])]) for i, p in texts_to_merge(120)]
