@@ -57,13 +57,21 @@ class Inputs:
             F.abs("v").alias("val"),
         )
 
-    def segments(self) -> DataFrame:
-        """box_idx, sub_idx, text: overlapping windows over a document's whole text."""
+    def windows(self) -> DataFrame:
+        """box_idx, windows: overlapping windows over a document's whole text, as an array; no row without windows."""
         # pieces of 16 characters and the next one's first 4: cutting windows by place would count from the start each time
         parts = F.regexp_extract_all("text", F.lit("(?s).{1,16}"), F.lit(0))
         windows = F.transform("parts", lambda x, k: F.concat(x, F.coalesce(F.substring(F.get("parts", k + 1), 1, 4), F.lit(""))))
-        docs = self.table("documents").select(F.col("doc_id").alias("box_idx"), parts.alias("parts"))
-        return docs.select("box_idx", F.posexplode(windows).alias("sub_idx", "text"))
+        docs = self.table("documents").where("text <> ''").select(F.col("doc_id").alias("box_idx"), parts.alias("parts"))
+        return docs.select("box_idx", windows.alias("windows"))
+
+    def segments(self) -> DataFrame:
+        """box_idx, sub_idx, text: the windows one by one."""
+        return self.windows().select("box_idx", F.posexplode("windows").alias("sub_idx", "text"))
+
+    def segment_counts(self) -> DataFrame:
+        """box_idx, n: so many windows has a document's text; their places follow from the number."""
+        return self.table("documents").where("text <> ''").select(F.col("doc_id").alias("box_idx"), F.ceil(F.length("text") / 16).cast("int").alias("n"))
 
     def files(self) -> DataFrame:
         """folder, name, folder_mtime, mtime: a listing of screenshots, a third of them processed."""
