@@ -57,6 +57,10 @@ class Inputs:
             F.abs("v").alias("val"),
         )
 
+    def texts(self) -> DataFrame:
+        """box_idx, text: the texts that have windows."""
+        return self.table("documents").where("text <> ''").select(F.col("doc_id").alias("box_idx"), "text")
+
     def windows(self) -> DataFrame:
         """box_idx, windows: overlapping windows over a document's whole text, as an array; no row without windows."""
         # pieces of 16 characters and the next one's first 4: cutting windows by place would count from the start each time

@@ -231,6 +231,36 @@ def test_places_of_windows_are_made_after_the_join(spark, folder):
         assert plan.index("Generate") < min(plan.index(x) for x in ("Join", "Window") if x in plan) and "regexp_extract_all" not in plan
 
 
+def odd_texts(spark, tmp_path):
+    """Texts that share a box or have none; of 0, 16, 17 and 37 places, of line ends and wide characters; one of 160,000."""
+    from inkstream.plans.fixtures import Inputs
+
+    long = "".join(f"{k:07d} " for k in range(20000))
+    rows = [(1, "é😀\n" * 7), (2, long), (3, "a" * 16), (4, "b" * 17), (5, "c\r\n\u2028d" * 8), (6, ""), (7, None), (None, "x" * 37), (None, "y" * 20)]
+    rows += [(8, "n" * 36), (8, "m" * 18), (8, "o" * 16), (8, "k" * 25), (9, "p" * 3), (9, "q" * 29)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/t/documents.parquet")
+    return rows, Inputs(spark, f"{tmp_path}/t")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_segments_by_lengths(spark, tmp_path):
+    """Of texts that share a box the first one with a second window counts, as in the SQL; no window is made for it."""
+    import oracle
+    from inkstream.plans import catalog, registry
+
+    rows, i = odd_texts(spark, tmp_path)
+    got = catalog.first_segment(i)
+    duck = oracle.duckdb.connect()
+    duck.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert oracle.rows_of_frame(got) == oracle.rows_of_sql(duck, registry.ORACLE["first_segment"])
+    assert {x.box_idx: x.first_length for x in got.collect()} == {1: 5, 2: 20, 4: 1, 5: 20, None: 20, 8: 20, 9: 13}
+    assert "regexp_extract_all" not in plan_of(got) and "Generate" not in plan_of(got)
+
+
 def test_readings_merged_with_a_running_confidence(spark):
     """Rows end at an empty text or an index further on than the merged one's next; the confidence is halved at each merge."""
     rows = [(i, [(k // 2 + (k > 5), x, k / 10) for k, x in enumerate(p or [])]) for i, p in texts_to_merge(120)]
