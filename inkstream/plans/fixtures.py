@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -11,6 +11,13 @@ CLASSES = ("body", "vehicle", "cycle", "face", "plate")
 CLASS_CONFIG = [("body", 30, 30, 0.55, 0.0, 3, 0.1), ("vehicle", 30, 30, 0.5, 0.0, 2, 0.1), ("cycle", 30, 30, 0.5, 0.0, 1, 0.1), ("face", 30, 30, 0.5, 0.0, 0, 0.25), ("plate", 30, 30, 0.5, 0.0, 0, 1.0)]
 
 
+def cut(text) -> Column:
+    """Overlapping windows over a whole text, as an array: 16 characters and the next 4."""
+    # found one after another: by place, or by the piece after, a window could cost the whole text
+    parts = [F.regexp_extract_all(text, F.lit("(?s)(.{1,16})(?=(.{0,4}))"), F.lit(k)) for k in (1, 2)]
+    return F.zip_with(*parts, lambda a, b: F.concat(a, b))
+
+
 class Inputs:
     """The driver's tables of a folder and what is derived from them, each read on demand."""
 
@@ -61,17 +68,10 @@ class Inputs:
         """box_idx, text: the texts that have windows."""
         return self.table("documents").where("text <> ''").select(F.col("doc_id").alias("box_idx"), "text")
 
-    def windows(self) -> DataFrame:
-        """box_idx, windows: overlapping windows over a document's whole text, as an array; no row without windows."""
-        # pieces of 16 characters and the next one's first 4: cutting windows by place would count from the start each time
-        parts = F.regexp_extract_all("text", F.lit("(?s).{1,16}"), F.lit(0))
-        windows = F.transform("parts", lambda x, k: F.concat(x, F.coalesce(F.substring(F.get("parts", k + 1), 1, 4), F.lit(""))))
-        docs = self.table("documents").where("text <> ''").select(F.col("doc_id").alias("box_idx"), parts.alias("parts"))
-        return docs.select("box_idx", windows.alias("windows"))
-
     def segments(self) -> DataFrame:
         """box_idx, sub_idx, text: the windows one by one."""
-        return self.windows().select("box_idx", F.posexplode("windows").alias("sub_idx", "text"))
+        # every text has a window; a plain posexplode would have Spark ask for that first, and cut each text again for it
+        return self.texts().select("box_idx", F.posexplode_outer(cut("text")).alias("sub_idx", "text"))
 
     def segment_counts(self) -> DataFrame:
         """box_idx, n: so many windows has a document's text; their places follow from the number."""

@@ -261,6 +261,22 @@ def test_first_segments_by_lengths(spark, tmp_path):
     assert "regexp_extract_all" not in plan_of(got) and "Generate" not in plan_of(got)
 
 
+def test_windows_cost_what_they_hold(spark, tmp_path):
+    """Texts are cut after they are grouped, once, without looking for a piece's place; equal places of shared boxes in order of text."""
+    from inkstream.plans import catalog
+
+    rows, i = odd_texts(spark, tmp_path)
+    want = {}
+    for box, text in rows:
+        want.setdefault(box, []).extend((k, text[16 * k : 16 * k + 20]) for k in range((len(text or "") + 15) // 16))
+    want = {box: sorted(w) for box, w in want.items() if w}
+    full, one = catalog.full_text(i), i.segments()
+    assert {x.box_idx: x.text for x in full.collect()} == {box: " ".join(x for _, x in w) for box, w in want.items()}
+    assert sorted((str(x.box_idx), x.sub_idx, x.text) for x in one.collect()) == sorted((str(box), *x) for box, w in want.items() for x in w)
+    assert "Generate" not in plan_of(full)
+    assert not [x for df in (full, one) for x in plan_of(df).splitlines() if "Filter" in x and "regexp_extract_all" in x]
+
+
 def test_readings_merged_with_a_running_confidence(spark):
     """Rows end at an empty text or an index further on than the merged one's next; the confidence is halved at each merge."""
     rows = [(i, [(k // 2 + (k > 5), x, k / 10) for k, x in enumerate(p or [])]) for i, p in texts_to_merge(120)]
